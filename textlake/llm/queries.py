@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import chat_format, exact_dedup, url_filter
+from textlake.llm import bpe, chat_format, exact_dedup, token_files, url_filter
+from textlake.llm.common import scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,5 +79,28 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_url_filter": op4_url_filter, "op7_chat_format": op7_chat_format}
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file is; any other path does as well."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-files")
+    token_files.write(_table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"), end_id=0)
+    return token_files.read_documents(spark, path)
+
+
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op2_bpe": op2_bpe,
+    "op4_url_filter": op4_url_filter,
+    "op7_chat_format": op7_chat_format,
+    "op9_token_files": op9_token_files,
+}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op4_url_filter": OP4_SQL, "op7_chat_format": OP7_SQL}
