@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import bpe, chat_format, exact_dedup, token_files, url_filter
+from textlake.llm import bpe, chat_format, exact_dedup, language_id, token_files, url_filter
 from textlake.llm.common import scratch
 
 
@@ -90,6 +90,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    trained = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
+    found = language_id.predict(docs, trained)
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-files")
     token_files.write(_table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"), end_id=0)
@@ -101,6 +108,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op4_url_filter": op4_url_filter,
     "op7_chat_format": op7_chat_format,
+    "op8_language_id": op8_language_id,
     "op9_token_files": op9_token_files,
 }
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op4_url_filter": OP4_SQL, "op7_chat_format": OP7_SQL}
