@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import bpe, chat_format, exact_dedup, language_id, token_files, url_filter
+from textlake.llm import bpe, chat_format, exact_dedup, language_id, mixing, token_files, url_filter
 from textlake.llm.common import scratch
 
 
@@ -25,6 +25,10 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
@@ -106,6 +110,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
+    "op3_mixing": op3_mixing,
     "op4_url_filter": op4_url_filter,
     "op7_chat_format": op7_chat_format,
     "op8_language_id": op8_language_id,
