@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import bpe, chat_format, exact_dedup, language_id, mixing, token_files, url_filter
+from textlake.llm import bpe, chat_format, exact_dedup, language_id, mixing, simhash, token_files, url_filter
 from textlake.llm.common import scratch
 
 
@@ -52,6 +52,11 @@ FROM parts p LEFT JOIN best b USING (page_id)
 """
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), k=4, distance=4, segments=3)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     says = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
@@ -112,6 +117,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_mixing": op3_mixing,
     "op4_url_filter": op4_url_filter,
+    "op5_simhash": op5_simhash,
     "op7_chat_format": op7_chat_format,
     "op8_language_id": op8_language_id,
     "op9_token_files": op9_token_files,
