@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import bpe, chat_format, exact_dedup, language_id, mixing, simhash, token_files, url_filter
+from textlake.llm import bpe, chat_format, exact_dedup, language_id, mixing, simhash, token_files, url_filter, vector_search
 from textlake.llm.common import scratch
 
 
@@ -112,6 +112,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, path)
 
 
+def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_search.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
@@ -121,5 +126,6 @@ QUERIES = {
     "op7_chat_format": op7_chat_format,
     "op8_language_id": op8_language_id,
     "op9_token_files": op9_token_files,
+    "op10_vector_search": op10_vector_search,
 }
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op4_url_filter": OP4_SQL, "op7_chat_format": OP7_SQL}
