@@ -38,23 +38,24 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def attach(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "left") -> DataFrame:
-    """Equi-join `left` with `right` (one row per key) where some keys may hold a large part of `left`.
+def attach(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
+    """Left equi-join of `left` with `right` (one row per key) where some keys may hold a large part of `left`.
 
-    `weight` is a column of `right` that says how many rows of `left` a key has. The HEAVY heaviest keys are
-    broadcast (a bound by construction: HEAVY rows), so their rows never meet in one task. Any other key has at most
-    1/HEAVY of all rows and goes through a shuffled join. `weight` is dropped. Null keys match nothing.
+    `weight` is a column of `right` that says how many rows of `left` a key has; it is dropped. The HEAVY heaviest keys
+    are broadcast (a bound by construction: HEAVY rows), and their rows are spread by their other columns in the shuffled
+    join that follows, where no other key has more than 1/HEAVY of all rows. Null keys match nothing.
     """
-    right = right.where(F.col(key).isNotNull())
-    heavy = right.orderBy(F.desc(weight), key).limit(HEAVY).drop(weight)
-    mark = "__heavy"
     values = [c for c in right.columns if c not in (key, weight)]
-    tagged = left.join(
-        F.broadcast(heavy.select(key, *[F.col(c).alias(f"__h_{c}") for c in values], F.lit(True).alias(mark))), key, "left"
-    )
-    hot = tagged.where(F.col(mark)).select(*left.columns, *[F.col(f"__h_{c}").alias(c) for c in values])
-    rest = tagged.where(F.col(mark).isNull()).select(*left.columns).join(right.drop(weight), key, how)
-    return hot.unionByName(rest.select(*left.columns, *values))
+    right = right.where(F.col(key).isNotNull())
+    heavy = right.orderBy(F.desc(weight), key).limit(HEAVY)
+    heavy = heavy.select(F.col(key).alias("__key"), F.struct(F.lit(True), *values).alias("__heavy"))
+    rows = left.join(F.broadcast(heavy), F.col(key) == F.col("__key"), "left").drop("__key")
+    spread = F.when(F.col("__heavy").isNotNull() | F.col(key).isNull(), F.xxhash64(*left.columns)).otherwise(F.lit(0))
+    rows = rows.withColumn("__spread", spread)
+    rest = right.select(F.col(key).alias("__key"), F.struct(F.lit(True), *values).alias("__rest"), F.lit(0).cast("bigint").alias("__none"))
+    rows = rows.join(rest, (F.col(key) == F.col("__key")) & (F.col("__spread") == F.col("__none")), "left")
+    found = F.coalesce("__heavy", "__rest")
+    return rows.select(*left.columns, *[found[c].alias(c) for c in values])
 
 
 # --- a filter of fixed size over 64-bit hashes ---------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import bpe, chat_format, exact_dedup, language_id, mixing, simhash, token_files, url_filter, vector_search
+from textlake.llm import bpe, chat_format, exact_dedup, language_id, mixing, simhash, suffix_dedup, token_files, url_filter, vector_search
 from textlake.llm.common import scratch
 
 
@@ -57,6 +57,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), texts=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     says = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
@@ -123,6 +128,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_url_filter": op4_url_filter,
     "op5_simhash": op5_simhash,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_chat_format": op7_chat_format,
     "op8_language_id": op8_language_id,
     "op9_token_files": op9_token_files,
