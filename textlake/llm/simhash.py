@@ -115,15 +115,13 @@ def _values(fp: np.ndarray, cuts: list[tuple[int, int]]) -> list[np.ndarray]:
 
 
 class _Values:
-    """An exact bitmap of the segment values that occur."""
+    """An exact bitmap of the segment values that occur; Spark numbers bits and rows from 1."""
 
     def __init__(self, rows: list, cuts: list[tuple[int, int]]):
         self.base = np.concatenate([[0], np.cumsum([1 << w for _, w in cuts])])
-        self.bits = np.zeros(int(self.base[-1]) // 8 + 4096, np.uint8)
+        self.bits = np.zeros((int(self.base[-1]) // 32768 + 1) * 4096, np.uint8)  # a row has 32,768 bits
         for r in rows:
-            part = np.frombuffer(r.bitmap, np.uint8)
-            at = (r.bucket - 1) * 4096
-            self.bits[at : at + len(part)] |= part[: max(0, len(self.bits) - at)]
+            self.bits[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bitmap, np.uint8)
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
         at = self.base[keys >> 40] + (keys & (1 << 40) - 1)
@@ -179,8 +177,8 @@ def _linked(rows: dict[str, np.ndarray], distance: int, extra: list[str], apart:
 def links(nodes: DataFrame, distance: int, segments: int, extra: tuple[str, ...] = (), apart: int = 0) -> DataFrame:
     """Edges (a, b) that connect exactly the nodes whose fingerprints differ in at most `distance` bits (and, with `extra`
     64-bit columns, in at most `apart` bits of these together). `nodes`: node bigint (unique), fp bigint, extra bigints."""
-    if not 0 <= distance <= 2 * segments - 1:
-        raise ValueError("a distance of 2 * segments - 1 at most")
+    if segments < 3 or not 0 <= distance <= 2 * segments - 1:
+        raise ValueError("3 segments at least, a distance of 2 * segments - 1 at most")
     spark, cuts, extra = nodes.sparkSession, _cuts(segments), list(extra)
     nodes = nodes.select("node", "fp", *extra)
     base = np.concatenate([[0], np.cumsum([1 << w for _, w in cuts])]).tolist()
@@ -188,7 +186,7 @@ def links(nodes: DataFrame, distance: int, segments: int, extra: tuple[str, ...]
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s, keys in enumerate(_values(b.column(1).to_numpy().view(np.uint64), cuts)):
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(base[s] + (keys & (1 << 40) - 1))], ["key", "bit"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(base[s] + 1 + (keys & (1 << 40) - 1))], ["key", "bit"])
 
     crowd = stored(nodes.mapInArrow(entries, "key bigint, bit bigint").groupBy("key", "bit").agg(F.count("*").alias("n")), "values")
     bitmap = crowd.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
