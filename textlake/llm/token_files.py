@@ -30,8 +30,8 @@ from textlake.llm.bpe import byte_symbols
 from textlake.llm.wavelet import WaveletMatrix, build
 
 SHARD_TOKENS = 1 << 21
-#: Remembered chunks of each of a worker's two caches.
-CACHE_CHUNKS = 300_000
+#: Remembered chunks of each of a worker's two caches, about 0.2 KB each.
+CACHE_CHUNKS = 600_000
 SHARDS = "part int, seq int, n_docs bigint, n_tokens bigint, payload binary"
 _WHITE = "\t-\r \x85\xa0  -     　"
 
@@ -54,6 +54,7 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.width <= 16 else "<u4")
         self.code = "H" if self.width <= 16 else "I"
         self.symbols = dict(enumerate(byte_symbols()))
+        self.each = [self._bytes([i]) for i in range(1 << self.width)]
         self.special = {t.content: self._bytes([i]) for i, t in added.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else None
         self.chunks = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
@@ -68,8 +69,11 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         """A single piece's ids."""
-        symbols = piece.encode().decode("latin-1").translate(self.symbols)
-        return self._bytes([t.id for t in self.tokenizer.model.tokenize(symbols)])
+        if piece.isascii():  # letters, marks and the space: all but the space stand for themselves
+            symbols = piece.replace(" ", self.symbols[32])
+        else:
+            symbols = piece.encode().decode("latin-1").translate(self.symbols)
+        return b"".join([self.each[t.id] for t in self.tokenizer.model.tokenize(symbols)])
 
     def _learn(self, chunks: list[str]) -> None:
         new = {c for c in chunks if c not in self.young}

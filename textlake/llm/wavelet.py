@@ -20,7 +20,7 @@ def build(ids: np.ndarray, width: int) -> bytes:
     ids = np.ascontiguousarray(ids, dtype=np.uint16 if width <= 16 else np.uint32)
     out = [MAGIC, struct.pack("<IQ", width, len(ids))]
     for shift in range(width - 1, -1, -1):
-        ones = (ids >> shift & 1).astype(bool)
+        ones = (ids & ids.dtype.type(1 << shift)).astype(bool)
         bits = np.packbits(ones, bitorder="little")
         bits = np.concatenate([bits, np.zeros(-len(bits) % 8, np.uint8)])
         blocks = np.add.reduceat(np.bitwise_count(bits.view("<u8")), np.arange(0, len(bits) // 8, BLOCK // 64), dtype=np.uint32) if len(bits) else np.zeros(0, np.uint32)
