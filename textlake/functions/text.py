@@ -5,7 +5,7 @@ All are built-in expressions, so they stay in generated code and can be pushed t
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +17,11 @@ NUMERALS = "一二三四五六七八九"
 OPENING, CLOSING = "“「『", "”」』"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, also where `body` uses it inside a lambda for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def clean(text: Column) -> Column:
     """LF line ends, plain blanks, no BOM, single blanks, at most one empty line, nothing at either end."""
     out = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
@@ -63,17 +68,27 @@ def _quoted(s: str) -> str:
 
 def overlapping_positions(text: Column, word: Column | str) -> Column:
     """0-based positions of all matches, overlapping ones too, without regard to case."""
-    low, word = F.lower(text), F.lower(F.lit(word) if isinstance(word, str) else word)
-    span = F.length(low) - F.length(word)
-    at = F.filter(F.sequence(F.lit(0), span), lambda i: F.substring(low, i + 1, F.length(word)) == word)
-    return F.when((span >= 0) & low.contains(word), at).otherwise(F.array().cast("array<int>"))
+    word = F.lower(F.lit(word) if isinstance(word, str) else word)
+    none = F.array().cast("array<int>")
+
+    def found(low: Column) -> Column:
+        span = F.length(low) - F.length(word)
+        return F.when(low.contains(word), F.filter(F.sequence(F.lit(0), F.greatest(span, F.lit(0))), lambda i: F.substring(low, i + 1, F.length(word)) == word)).otherwise(none)
+
+    return bind(F.lower(text), found)
 
 
 def positions(text: Column, word: str) -> Column:
     """0-based positions of matches that don't overlap, found from the left."""
-    parts = F.split(text, _quoted(word))
-    ends = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p, i: F.length(F.array_join(F.slice(parts, 1, i + 1), word)))
-    return F.when(text.contains(word), ends).otherwise(F.array().cast("array<int>"))
+    size = len(word)
+
+    def ends(parts: Column) -> Column:
+        """Lengths of the pieces before each match, summed from the left."""
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, p: F.struct((acc["at"] + F.length(p) + size).alias("at"), F.array_append(acc["out"], acc["at"] + F.length(p)).alias("out"))
+        return F.aggregate(F.slice(parts, 1, F.size(parts) - 1), start, step)["out"]
+
+    return F.when(text.contains(word), bind(F.split(text, _quoted(word)), ends)).otherwise(F.array().cast("array<int>"))
 
 
 def count_literal(text: Column, word: Column | str) -> Column:
@@ -121,13 +136,22 @@ def words(text: Column) -> Column:
 
 def char_ngrams(text: Column, n: int) -> Column:
     """All n-character strings of a text, in order."""
-    last = F.length(text) - n + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    def grams(t: Column) -> Column:
+        last = F.length(t) - n + 1
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return bind(text, grams)
 
 
 def word_ngrams(tokens: Column, n: int) -> Column:
-    last = F.size(tokens) - n + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """All strings of n tokens in a row, in order."""
+
+    def grams(t: Column) -> Column:
+        last = F.size(t) - n + 1
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return bind(tokens, grams)
 
 
 def fts_tokens(text: Column) -> Column:
@@ -181,14 +205,18 @@ def chinese_number(text: Column) -> Column:
 def verbatim(quote: Column, source: Column, prefix: int = 12, window: int = 15, step: int = 5) -> Column:
     """Whether a quote stands in a source: as it is, in letters and digits, by its first `prefix` of these, or by any
     `window` of them at multiples of `step`."""
-    q, s = letters_and_digits(quote), letters_and_digits(source)
-    windows = F.transform(F.sequence(F.lit(0), F.greatest(F.length(q) - window, F.lit(0)), F.lit(step)), lambda i: F.substring(q, i + 1, F.lit(window)))
-    return (
-        (F.length(quote) > 0) & source.contains(quote)
-        | (F.length(q) > 0) & s.contains(q)
-        | (F.length(q) >= prefix) & s.contains(F.substring(q, 1, prefix))
-        | (F.length(q) >= window) & F.exists(windows, lambda w: s.contains(w))
-    )
+
+    def found(both: Column) -> Column:
+        q, s = both["q"], both["s"]
+        starts = F.sequence(F.lit(0), F.greatest(F.length(q) - window, F.lit(0)), F.lit(step))
+        return (
+            (F.length(q) > 0) & s.contains(q)
+            | (F.length(q) >= prefix) & s.contains(F.substring(q, 1, prefix))
+            | (F.length(q) >= window) & F.exists(starts, lambda i: s.contains(F.substring(q, i + 1, F.lit(window))))
+        )
+
+    both = F.struct(letters_and_digits(quote).alias("q"), letters_and_digits(source).alias("s"))
+    return (F.length(quote) > 0) & source.contains(quote) | bind(both, found)
 
 
 def typed_statement(text: Column, types: Sequence[str], default: str) -> tuple[Column, Column]:
