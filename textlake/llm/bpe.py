@@ -17,12 +17,14 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -162,17 +164,31 @@ def model(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", id_type: str | None = None) -> DataFrame:
-    """Per row: doc_id, n_tokens, ids array<int>, decoded."""
-    schema = f"doc_id {id_type or dict(docs.dtypes)[id_col]}, n_tokens bigint, ids array<int>, decoded string"
+#: Ids in one output batch, about; a longer text is a batch of its own.
+BATCH_IDS = 1 << 17
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = True) -> DataFrame:
+    """Per row: doc_id, n_tokens, ids array<int> and, with `decoded`, the decoded text."""
+    schema = f"doc_id {dict(docs.dtypes)[id_col]}, n_tokens bigint, ids array<int>" + ", decoded string" * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path)
         for b in batches:
-            ids = [bpe.encode(t) if t else [] for t in b.column(1).to_pylist()]
-            n = pa.array([len(x) for x in ids], pa.int64())
-            cols = [b.column(0), n, pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids", "decoded"])
+            at, ids, ends, texts = 0, array("i"), [0], []
+            for k in range(b.num_rows):
+                each = bpe.names(b.column(1)[k].as_py() or "").split()
+                ids.extend(map(int, each))
+                ends.append(len(ids))
+                texts.append(bpe.joiner.join([bpe.by_name[x] for x in each]) if decoded else None)
+                if len(ids) >= BATCH_IDS or k == b.num_rows - 1:
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))
+                    cols = [b.column(0).slice(at, k + 1 - at), pa.array(np.diff(ends).astype(np.int64)), lists]
+                    names = ["doc_id", "n_tokens", "ids"]
+                    if decoded:
+                        cols, names = [*cols, pa.array(texts, pa.string())], [*names, "decoded"]
+                    yield pa.RecordBatch.from_arrays(cols, names)
+                    at, ids, ends, texts = k + 1, array("i"), [0], []
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 

@@ -41,7 +41,7 @@ WINDOW, GRAM, PIECE = 50, 16, 1 << 22
 #: Bits of each filter (16 MB); documents from which on an anchor is crowded; groups of anchors per input partition.
 FILTER_BITS, CROWD, GROUPS = 1 << 27, 1 << 17, 8
 #: Segments that a task holds before it hands them on; bytes of text that are sorted together.
-HELD, SORTED = 300_000, 1 << 17
+HELD, SORTED = 150_000, 1 << 17
 _LAST = (1 << 63) - 1  # stands for a null doc_id
 _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
@@ -101,7 +101,7 @@ def _pack(**arrays: np.ndarray) -> bytes:
     parts = []
     for a in arrays.values():
         parts += [np.array([len(a.tobytes())], "<i8").tobytes(), a.tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def _unpack(data: bytes, *kinds: type | str) -> list[np.ndarray]:
@@ -149,7 +149,7 @@ def _anchor_counts(rows: DataFrame, groups: int) -> DataFrame:
                 h = np.unique(segments(_bytes_of(t))[0])
                 held.append(h)
                 size += len(h)
-            if size >= 4 * HELD:
+            if size >= 8 * HELD:
                 yield out()
                 held, size = [], 0
         if size:
@@ -171,7 +171,8 @@ def _filters(counts: DataFrame, groups: int) -> tuple[np.ndarray, np.ndarray]:
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             total = np.add.reduceat(n, first)
             some = total > 1
-            return pa.RecordBatch.from_arrays([pa.array((h[first][some] % _U(bits)).astype(np.int64)), pa.array(total[some] > crowd)], ["bit", "crowded"])
+            h, total = h[first][some], np.tile(total[some] > crowd, 2)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(_bits(h, bits))), pa.array(total)], ["bit", "crowded"])
 
         grp, group = None, []
         for b in batches:
@@ -185,20 +186,27 @@ def _filters(counts: DataFrame, groups: int) -> tuple[np.ndarray, np.ndarray]:
             yield out(group)
 
     found = counts.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "bit bigint, crowded boolean")
-    at = F.col("bit") + 1  # Spark numbers bits from 1
-    rows = found.groupBy(F.bitmap_bucket_number(at).alias("bucket"), "crowded").agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
-    repeated, crowded = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-    for r in rows.collect():  # bits / 32,768 rows of 4 KB for each filter, at most
-        part = slice((r.bucket - 1) * 4096, r.bucket * 4096)
-        repeated[part] |= np.frombuffer(r.bitmap, np.uint8)
-        if r.crowded:
-            crowded[part] |= np.frombuffer(r.bitmap, np.uint8)
-    return repeated, crowded
+    found = stored(found.distinct(), "bits")
+    return _bitmap(found, bits), _bitmap(found.where("crowded"), bits)
+
+
+def _bitmap(rows: DataFrame, bits: int) -> np.ndarray:
+    """The bits of column `bit` as an array. What reaches the driver is 4 KB for each 32,768 of `bits`, at most."""
+    at, out = F.col("bit") + 1, np.zeros(bits // 8, np.uint8)  # Spark numbers bits from 1
+    parts = rows.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
+    for r in parts.collect():
+        out[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bitmap, np.uint8)
+    return out
+
+
+def _bits(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a hash in a filter."""
+    return (h % _U(bits)).astype(np.int64), (h // _U(bits) % _U(bits)).astype(np.int64)
 
 
 def _holds(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = (h % _U(len(bitmap) * 8)).astype(np.int64)
-    return (bitmap[at >> 3] >> (at & 7) & 1).astype(bool)
+    one, two = _bits(h, len(bitmap) * 8)
+    return (bitmap[one >> 3] >> (one & 7) & bitmap[two >> 3] >> (two & 7) & 1).astype(bool)
 
 
 class _Candidates:
@@ -341,15 +349,29 @@ def _resolve(packed: DataFrame) -> DataFrame:
 # --- step 3: occurrences and cutting -------------------------------------------------------------------------------
 
 
-def _occurrences(rows: DataFrame, filters) -> DataFrame:
-    """(doc, row, first, n, key) of each segment of a repeated anchor."""
+def _useful(found: DataFrame) -> np.ndarray:
+    """A filter of the segments that cut anything: in several places, or with windows that a smaller document has."""
+    bits = FILTER_BITS
+    keys = found.where("uses > 1 or mask <> 0").select("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_bits(b.column(0).to_numpy().view(_U), bits)))], ["bit"])
+
+    return _bitmap(keys.mapInArrow(run, "bit bigint"), bits)
+
+
+def _occurrences(rows: DataFrame, filters, useful) -> DataFrame:
+    """(doc, row, first, n, key) of each segment that may cut something."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list[np.ndarray]] = [[], [], [], [], []]
             for d, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 c = _Candidates(_bytes_of(t), *filters.value)
-                for col, x in zip(out, (np.full(len(c.first), d), np.full(len(c.first), r), c.first, c.n, c.key.view(np.int64)), strict=True):
+                some = _holds(useful.value, c.key)
+                first, n, key = c.first[some], c.n[some], c.key[some].view(np.int64)
+                for col, x in zip(out, (np.full(len(key), d), np.full(len(key), r), first, n, key), strict=True):
                     col.append(x)
             cols = [pa.array(np.concatenate(x).astype(np.int64)) if x else pa.array([], pa.int64()) for x in out]
             yield pa.RecordBatch.from_arrays([*cols[:3], cols[3].cast(pa.int32()), cols[4]], ["doc", "row", "first", "n", "key"])
@@ -398,11 +420,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     text: Column = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     doc = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST))
-    rows = docs.select(F.col(id_col).alias("doc_id"), doc.alias("doc"), text.alias("text")).withColumn("row", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), doc.alias("doc"), text.alias("text"))
+    # Rows are told apart by their ids, or, where ids are repeated, by a hash of the text as well.
+    repeated = not rows.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    rows = rows.withColumn("row", F.xxhash64("text") if repeated else F.lit(0).cast("bigint"))
     groups = GROUPS * max(1, docs.rdd.getNumPartitions())
     filters = spark.sparkContext.broadcast(_filters(_anchor_counts(rows, groups), groups))
     found = stored(_resolve(_segment_groups(rows, filters, groups)), "segments")
-    uses = _occurrences(rows, filters)
+    uses = _occurrences(rows, filters, spark.sparkContext.broadcast(_useful(found)))
     spans = attach(uses, found, "key", "uses")
     whole = F.expr("shiftleft(1L, n) - 1")
     bits = F.when(F.col("doc") > F.col("least"), whole).when(F.col("doc") == F.col("least"), F.col("mask")).otherwise(0)
