@@ -213,13 +213,13 @@ class _Candidates:
     """Segments of one text whose anchor is repeated; those of crowded anchors as single windows."""
 
     def __init__(self, data: np.ndarray, repeated: np.ndarray, crowded: np.ndarray):
-        from xxhash import xxh3_64_intdigest
-
         h, first, n = segments(data)
         some = _holds(repeated, h)
         h, first, n = h[some], first[some], n[some]
         many = _holds(crowded, h)
         if many.any():
+            from xxhash import xxh3_64_intdigest
+
             single = np.repeat(first[many], n[many]) + _within(n[many])
             raw = data.tobytes()
             own = np.array([xxh3_64_intdigest(raw[s : s + WINDOW]) for s in single.tolist()], _U)
@@ -228,7 +228,12 @@ class _Candidates:
         self.anchor, self.first, self.n = h, first, n
         raw = data.tobytes()
         self.text = [raw[a : a + c + WINDOW - 1] for a, c in zip(first.tolist(), n.tolist(), strict=True)]
-        self.key = np.array([xxh3_64_intdigest(t) for t in self.text], _U)
+
+    def keys(self) -> np.ndarray:
+        """A hash of each segment's bytes."""
+        from xxhash import xxh3_64_intdigest
+
+        return np.array([xxh3_64_intdigest(t) for t in self.text], _U)
 
 
 def _within(n: np.ndarray) -> np.ndarray:
@@ -267,7 +272,9 @@ def _segment_groups(rows: DataFrame, filters, groups: int) -> DataFrame:
                     if found is None:
                         held[text] = [d, 1, h]
                     else:
-                        found[0], found[1] = min(d, found[0]), found[1] + 1
+                        found[1] += 1
+                        if d < found[0]:
+                            found[0] = d
                 if len(held) >= HELD:
                     yield out()
                     held.clear()
@@ -369,8 +376,9 @@ def _occurrences(rows: DataFrame, filters, useful) -> DataFrame:
             out: list[list[np.ndarray]] = [[], [], [], [], []]
             for d, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 c = _Candidates(_bytes_of(t), *filters.value)
-                some = _holds(useful.value, c.key)
-                first, n, key = c.first[some], c.n[some], c.key[some].view(np.int64)
+                key = c.keys()
+                some = _holds(useful.value, key)
+                first, n, key = c.first[some], c.n[some], key[some].view(np.int64)
                 for col, x in zip(out, (np.full(len(key), d), np.full(len(key), r), first, n, key), strict=True):
                     col.append(x)
             cols = [pa.array(np.concatenate(x).astype(np.int64)) if x else pa.array([], pa.int64()) for x in out]
