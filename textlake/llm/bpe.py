@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textlake.llm.common import releasing
+
 #: Remembered pieces of each of a worker's two caches (about 0.2 KB each); when the young one is full, it becomes the old.
 CACHE_PIECES = 400_000
 _WHITE = "\t-\r \x85\xa0  -     　"
@@ -151,6 +153,10 @@ class Bpe:
                     out.append(found)
         return " ".join(out)
 
+    def forget(self) -> None:
+        """Empty the caches, at a task's end."""
+        self.young, self.old = {}, {}
+
     def encode(self, text: str) -> list[int]:
         return list(map(int, self.names(text).split()))
 
@@ -189,8 +195,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                         cols, names = [*cols, pa.array(texts, pa.string())], [*names, "decoded"]
                     yield pa.RecordBatch.from_arrays(cols, names)
                     at, ids, ends, texts = k + 1, array("i"), [0], []
+        bpe.forget()
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(releasing(run), schema)
 
 
 def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,8 +219,9 @@ def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 decoded.append(sha256(bpe.joiner.join([bpe.by_name[x] for x in each]).encode()).hexdigest())
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(releasing(run), schema)
 
 
 def decoded_text(ids: Column, vocabulary: Column) -> Column:

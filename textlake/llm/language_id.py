@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textlake.llm.common import releasing
+
 #: n-grams of a profile; labelled texts of each language at most; code points counted at once.
 TOP, SAMPLE, PIECE = 400, 2_000, 1 << 20
 #: More languages than this are refused, as every worker holds all profiles (3 KB each).
@@ -164,7 +166,7 @@ def predict(docs: DataFrame, trained: list[tuple[str, np.ndarray]], id_col: str
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lang_pred", "score"])
 
     schema = f"doc_id {dict(docs.dtypes)[id_col]}, lang_pred string, score double"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(releasing(run), schema)
 
 
 def keep_known(docs: DataFrame, trained: list[tuple[str, np.ndarray]], least_score: float, text_col: str = "text") -> DataFrame:
@@ -178,7 +180,7 @@ def keep_known(docs: DataFrame, trained: list[tuple[str, np.ndarray]], least_sco
             found = [profiles.judge(t.as_py()) for t in b.column(at)]
             yield b.filter(pa.array([x[0] != "und" and x[1] >= least_score for x in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)
 
 
 def held_out(id_col: Column) -> Column:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm.common import attach, build_filter, probe_filter, stored
+from textlake.llm.common import attach, build_filter, probe_filter, releasing, stored
 from textlake.llm.components import components
 
 #: Table rows of one group; shingles counted at once; candidate pairs compared at once; crowded values that are broadcast.
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str
             fp = [vote(shingle_hashes(t.as_py(), k)) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, fp bigint")
+    return docs.select(id_col, text_col).mapInArrow(releasing(run), f"doc_id {dict(docs.dtypes)[id_col]}, fp bigint")
 
 
 def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,7 +98,7 @@ def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in cols]], ["doc_id", "fp", "s0", "s1", "s2", "s3"])
 
     schema = f"doc_id {dict(docs.dtypes)[id_col]}, fp bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(releasing(run), schema)
 
 
 # --- multi-index ---------------------------------------------------------------------------------------------------
@@ -255,7 +255,7 @@ def links(nodes: DataFrame, distance: int, segments: int, extra: tuple[str, ...]
         if kept:
             yield from settle(True)
 
-    return rows.mapInArrow(compare, "a bigint, b bigint")
+    return rows.mapInArrow(releasing(compare), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, distance: int = 4, segments: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
