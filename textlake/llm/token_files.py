@@ -53,7 +53,7 @@ class Encoder:
         self.width = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length(), *[i.bit_length() for i in added])
         self.kind = np.dtype("<u2" if self.width <= 16 else "<u4")
         self.code = "H" if self.width <= 16 else "I"
-        self.symbols = dict(enumerate(byte_symbols()))
+        self.symbols, self.tokenize = dict(enumerate(byte_symbols())), self.tokenizer.model.tokenize
         self.each = [self._bytes([i]) for i in range(1 << self.width)]
         self.special = {t.content: self._bytes([i]) for i, t in added.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else None
@@ -73,10 +73,10 @@ class Encoder:
             symbols = piece.replace(" ", self.symbols[32])
         else:
             symbols = piece.encode().decode("latin-1").translate(self.symbols)
-        return b"".join([self.each[t.id] for t in self.tokenizer.model.tokenize(symbols)])
+        return b"".join([self.each[t.id] for t in self.tokenize(symbols)])
 
-    def _learn(self, chunks: list[str]) -> None:
-        new = {c for c in chunks if c not in self.young}
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """The ids of chunks that the young cache lacks."""
         known = {c: self.old[c] for c in new if c in self.old}
         new.difference_update(known)
         # An optional space with letters is one piece, and so is one mark after it: these go straight to the model,
@@ -96,8 +96,9 @@ class Encoder:
         for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             known[c] = self._bytes(e.ids)
         if len(self.young) >= CACHE_CHUNKS:
-            self.old, self.young = self.young, {c: self.young[c] for c in chunks if c in self.young}
+            self.old, self.young = self.young, {}
         self.young.update(known)
+        return known
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian integers of `kind`."""
@@ -110,8 +111,8 @@ class Encoder:
             chunks = (self.careful if self.odd(span) else self.chunks)(span)
             found = list(map(self.young.get, chunks))
             if None in found:
-                self._learn(chunks)
-                found = list(map(self.young.__getitem__, chunks))
+                known = self._learn({c for c, ids in zip(chunks, found, strict=True) if ids is None})
+                found = [known[c] if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
             out += found
         return b"".join(out)
 

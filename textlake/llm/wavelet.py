@@ -20,12 +20,12 @@ def build(ids: np.ndarray, width: int) -> bytes:
     ids = np.ascontiguousarray(ids, dtype=np.uint16 if width <= 16 else np.uint32)
     out = [MAGIC, struct.pack("<IQ", width, len(ids))]
     for shift in range(width - 1, -1, -1):
-        ones = (ids & ids.dtype.type(1 << shift)).astype(bool)
+        ones = (ids & ids.dtype.type(1 << shift)) != 0
         bits = np.packbits(ones, bitorder="little")
         bits = np.concatenate([bits, np.zeros(-len(bits) % 8, np.uint8)])
         blocks = np.add.reduceat(np.bitwise_count(bits.view("<u8")), np.arange(0, len(bits) // 8, BLOCK // 64), dtype=np.uint32) if len(bits) else np.zeros(0, np.uint32)
         before = np.concatenate([[0], np.cumsum(blocks, dtype=np.uint32)[:-1]]).astype("<u4") if len(bits) else blocks
-        ids = np.concatenate([left := ids[~ones], ids[ones]])
+        ids = np.concatenate([left := ids.take(np.flatnonzero(~ones)), ids.take(np.flatnonzero(ones))])
         out += [struct.pack("<Q", len(left)), before.tobytes(), bits.tobytes()]
     return b"".join(out)
 
@@ -117,10 +117,10 @@ class WaveletMatrix:
         kind = np.uint16 if self.width <= 16 else np.uint32
         ids = np.zeros(self.n, kind)
         for level in range(self.width - 1, -1, -1):
-            ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
+            ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             above = np.empty(self.n, kind)
             zeros = self.zeros[level]
-            above[~ones] = ids[:zeros]
-            above[ones] = ids[zeros:] | kind(1 << (self.width - 1 - level))
+            above[np.flatnonzero(~ones)] = ids[:zeros]
+            above[np.flatnonzero(ones)] = ids[zeros:] | kind(1 << (self.width - 1 - level))
             ids = above
         return ids
