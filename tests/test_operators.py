@@ -108,6 +108,8 @@ def test_dictionary_prefers_longer_entries(spark):
 
 def test_sentences_and_packing():
     assert K.split_sentences("他说：“走吧。走！”然后走了。是吗？是") == ["他说：“走吧。走！”然后走了。", "是吗？", "是"]
+    assert K.split_sentences("他说\"走。\"了。‘是！’）吗？）") == ["他说\"走。\"了。", "‘是！’）吗？）"]
+    assert K.split_sentences("a. b! (c. d) e.", K.LATIN_ENDS, straight=False) == ["a.", "b!", "(c. d) e."]
     assert K.split_sentences("") == [] and K.split_sentences("no end") == ["no end"]
     rng = random.Random(1)
     text = "".join(rng.choices("ab 。，", k=3000))

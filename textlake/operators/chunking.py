@@ -13,32 +13,36 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Marks that end a sentence, and pairs inside which they don't.
-ENDS, PAIRS = "。！？!?.", {"“": "”", "「": "」", "『": "』", "（": "）", "(": ")", "《": "》"}
-
-
-def split_sentences(text: str) -> list[str]:
-    """Cut after end marks that stand outside all pairs; closing marks stay with the sentence they close."""
-    out, stack, start, i = [], [], 0, 0
-    closing = set(PAIRS.values())
-    while i < len(text):
-        c = text[i]
-        if c in PAIRS:
-            stack.append(PAIRS[c])
-        elif stack and c == stack[-1]:
-            stack.pop()
-        if c == "\n" and not stack or c in ENDS and not stack or c in closing and not stack and i and text[i - 1] in ENDS:
-            end = i + 1
-            while end < len(text) and (text[end] in ENDS or text[end] in closing):
-                end += 1
-            if text[start:end].strip():
-                out.append(text[start:end].strip())
-            start = i = end
+# Marks that end a sentence, pairs inside which they don't, and quotes that open and close in turn.
+ENDS = "。！？"
+PAIRS = {"“": "”", "‘": "’", "（": "）", "【": "】", "《": "》", "(": ")", "[": "]", "{": "}"}
+STRAIGHT = "\"'"
+#: For texts in Latin script, where a straight quote may be an apostrophe (`straight=False`).
+LATIN_ENDS = ENDS + "!?.\n"
+
+
+def split_sentences(text: str, ends: str = ENDS, straight: bool = True) -> list[str]:
+    """Cut after end marks that stand outside all pairs; closing marks that follow stay with the sentence."""
+    closing, turning = "".join(PAIRS.values()), STRAIGHT if straight else ""
+    cuts, waited, turned = [0], [], set()
+    for m in re.finditer("[" + re.escape(ends + "".join(PAIRS) + closing + turning) + "]", text):
+        c = m[0]
+        if m.start() < cuts[-1]:
             continue
-        i += 1
-    if text[start:].strip():
-        out.append(text[start:].strip())
-    return out or ([text.strip()] if text.strip() else [])
+        if c in PAIRS or c in turning and c not in turned:
+            turned.add(c)
+            waited.append(PAIRS.get(c, c))
+        elif c in closing or c in turning:
+            turned.discard(c)
+            if waited and waited[-1] == c:
+                waited.pop()
+        elif not waited:
+            end = m.end()
+            while end < len(text) and text[end] in closing:
+                end += 1
+            cuts.append(end)
+    pieces = [text[a:z].strip() for a, z in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+    return [p for p in pieces if p]
 
 
 def cut_long(text: str, most: int) -> list[str]:

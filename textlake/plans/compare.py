@@ -54,7 +54,7 @@ def dictionary_scan(spark, sf):
 
 
 def sentence_chunks(spark, sf):
-    return K.chunk(table(spark, sf, "documents"), lambda t: K.pack(K.split_sentences(t), 600, 60), "sentence")
+    return K.chunk(table(spark, sf, "documents"), lambda t: K.pack(K.split_sentences(t, K.LATIN_ENDS, straight=False), 600, 60), "sentence")
 
 
 def similar_paragraph_chunks(spark, sf):
