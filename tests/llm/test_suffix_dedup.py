@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from textlake.llm import suffix_dedup
+from textlake.llm import difference_cover, suffix_dedup
 from textlake.llm.difference_cover import equal_prefixes, suffix_array
 
 W = suffix_dedup.WINDOW
@@ -95,3 +95,34 @@ def test_suffix_arrays():
     for i, g in zip(order.tolist(), group.tolist(), strict=True):
         by.setdefault(g, set()).add(bytes(a[i : i + 3]))
     assert all(len(v) == 1 for v in by.values()) and len(by) == len({bytes(a[i : i + 3]) for i in range(10)})
+
+
+@pytest.mark.parametrize("compared", [1 << 18, 7])
+def test_anchors_too_long_for_a_suffix_array(monkeypatch, compared):
+    monkeypatch.setattr(difference_cover, "MOST", 300)
+    monkeypatch.setattr(suffix_dedup, "COMPARED", compared)
+    rng = random.Random(4)
+    anchor = b"the same phrase "
+    texts = sorted({bytes(rng.choices(b"ab\0", k=2)) * 17 + anchor + bytes(rng.choices(b"ab\0", k=2)) * rng.choice([9, 17]) for _ in range(300)})
+    h = np.array([1] * len(texts), np.uint64)
+    doc = np.array([rng.randrange(50) for _ in texts], np.int64)
+    least = {}
+    for d, t in zip(doc.tolist(), texts, strict=True):
+        for i in range(len(t) - W + 1):
+            least[t[i : i + W]] = min(d, least.get(t[i : i + W], d))
+    want = [sum(1 << i for i in range(len(t) - W + 1) if least[t[i : i + W]] < d) for d, t in zip(doc.tolist(), texts, strict=True)]
+    assert sum(map(len, texts)) > 2 * difference_cover.MOST and any(want)
+    assert suffix_dedup._settle(h, doc, texts).tolist() == want
+
+
+def test_a_phrase_in_many_settings_of_one_text(spark, monkeypatch):
+    phrase = "one phrase that comes back in every setting of it, again and again"
+    text = " ".join(f"{i * 7919 % 100003:05d} {phrase} {i * 104729 % 99991:05d}" for i in range(400))
+    rows = [(1, text), (2, f"so {phrase} so"), (3, text[:5000])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(difference_cover, "MOST", 2000)  # without crowding: the whole anchor meets, and is not sorted
+    assert result(suffix_dedup.remove_repeats(docs)) == brute(rows)
+    monkeypatch.setattr(suffix_dedup, "CROWD", 50)  # three documents, many segments: cut to single windows
+    encoded = docs.selectExpr("doc_id as doc", "encode(text, 'UTF-8') as text")
+    assert suffix_dedup._filters(suffix_dedup._anchor_counts(encoded, 4), 4)[1].any()
+    assert result(suffix_dedup.remove_repeats(docs)) == brute(rows)

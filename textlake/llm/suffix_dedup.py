@@ -12,9 +12,10 @@ windows have equal anchors; consecutive windows with one anchor are a *segment*.
    the windows that a smaller one has.
 3. Occurrences of segments are joined with these, gathered by document, and the bytes are cut.
 
-Anchors in more than CROWD documents are cut to single windows, each keyed by its own bytes: copies of one window are
-combined by each task, so neither a common line nor its many surroundings meet in one place. The filters saturate on a
-very large corpus, which costs speed only.
+Anchors with more than CROWD segments in all (several in one document count each) are cut to single windows, each keyed
+by its own bytes: copies of one window are combined by each task, so neither a common line nor its many surroundings meet
+in one place. Below that, an anchor whose distinct segments are too long for one suffix array has its windows grouped by
+their bytes instead. The filters saturate on a very large corpus, which costs speed only.
 
 Defined cases
     null or empty text: no bytes.       texts shorter than a window: kept.         null doc_id: after all other ids.
@@ -33,15 +34,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textlake.llm import difference_cover
 from textlake.llm.common import attach, stored
-from textlake.llm.difference_cover import equal_prefixes
 
 #: Bytes of a repeat; bytes of an anchor; windows of a piece of a long text.
 WINDOW, GRAM, PIECE = 50, 16, 1 << 22
-#: Bits of each filter (16 MB); documents from which on an anchor is crowded; groups of anchors per input partition.
+#: Bits of each filter (16 MB); segments from which on an anchor is crowded; groups of anchors per input partition.
 FILTER_BITS, CROWD, GROUPS = 1 << 27, 1 << 17, 8
-#: Segments that a task holds before it hands them on; bytes of text that are sorted together.
-HELD, SORTED = 150_000, 1 << 17
+#: Segments that a task holds before it hands them on; bytes of text that are sorted together; windows compared at once
+#: where a text is too long to be sorted.
+HELD, SORTED, COMPARED = 150_000, 1 << 17, 1 << 18
 _LAST = (1 << 63) - 1  # stands for a null doc_id
 _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
@@ -128,30 +130,36 @@ def _unplanes(b: np.ndarray, kind: type) -> np.ndarray:
 
 
 def _anchor_counts(rows: DataFrame, groups: int) -> DataFrame:
-    """(grp, packed): per task and group, sorted anchor hashes and how many documents have each."""
+    """(grp, packed): per task and group, sorted anchor hashes, how many documents have each, and its segments in these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        more: list[tuple[np.ndarray, np.ndarray]] = []  # anchors that a document has again
         size = 0
 
         def out() -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(held), return_counts=True)
+            c = n.copy()
+            np.add.at(c, np.searchsorted(h, np.concatenate([x for x, _ in more])), np.concatenate([x for _, x in more]))
             g = _group(h, groups)
             order = np.argsort(g, kind="stable")
-            h, n, g = h[order], np.minimum(n[order], 1 << 31).astype("<u4"), g[order]
+            h, g = h[order], g[order]
+            n, c = (np.minimum(x[order], (1 << 32) - 1).astype("<u4") for x in (n, c))
             first = np.flatnonzero(np.concatenate([[True], np.diff(g) != 0]))
             ends = np.append(first[1:], len(g))
-            packed = [_pack(h=_planes(h[a:z]), n=n[a:z]) for a, z in zip(first, ends, strict=True)]
+            packed = [_pack(h=_planes(h[a:z]), n=n[a:z], c=c[a:z]) for a, z in zip(first, ends, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(g[first].astype(np.int32)), pa.array(packed, pa.binary())], ["grp", "packed"])
 
         for b in batches:
             for t in b.column(0):
-                h = np.unique(segments(_bytes_of(t))[0])
+                h, n = np.unique(segments(_bytes_of(t))[0], return_counts=True)
                 held.append(h)
+                again = n > 1
+                more.append((h[again], n[again] - 1))
                 size += len(h)
             if size >= 8 * HELD:
                 yield out()
-                held, size = [], 0
+                held, more, size = [], [], 0
         if size:
             yield out()
 
@@ -159,20 +167,21 @@ def _anchor_counts(rows: DataFrame, groups: int) -> DataFrame:
 
 
 def _filters(counts: DataFrame, groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps of the anchors in two documents or more, and of those in more than CROWD."""
+    """Bitmaps of the anchors in two documents or more, and of those with more than CROWD segments."""
     crowd, bits = CROWD, FILTER_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(group: list[bytes]) -> pa.RecordBatch:
-            parts = [_unpack(p, np.uint8, "<u4") for p in group]
-            h, n = np.concatenate([_unplanes(p[0], _U) for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
+            parts = [_unpack(p, np.uint8, "<u4", "<u4") for p in group]
+            h = np.concatenate([_unplanes(p[0], _U) for p in parts])
+            n, c = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (1, 2))
             order = np.argsort(h, kind="stable")
-            h, n = h[order], n[order]
+            h, n, c = h[order], n[order], c[order]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            total = np.add.reduceat(n, first)
-            some = total > 1
-            h, total = h[first][some], np.tile(total[some] > crowd, 2)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(_bits(h, bits))), pa.array(total)], ["bit", "crowded"])
+            some = np.add.reduceat(n, first) > 1
+            many = np.tile(np.add.reduceat(c, first)[some] > crowd, 2)
+            h = h[first][some]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(_bits(h, bits))), pa.array(many)], ["bit", "crowded"])
 
         grp, group = None, []
         for b in batches:
@@ -284,6 +293,27 @@ def _segment_groups(rows: DataFrame, filters, groups: int) -> DataFrame:
     return rows.select("doc", "text").mapInArrow(run, "grp int, packed binary")
 
 
+def _equal_windows(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """As `equal_prefixes`, for a text of any length and in no special order: windows are dealt by a hash of their bytes, and
+    each part is sorted by the bytes themselves."""
+    windows = np.lib.stride_tricks.sliding_window_view(text, length)
+    part = (_grams(text, length)[starts] % _U(len(starts) // COMPARED + 1)).astype(np.int64)
+    by = np.argsort(part, kind="stable")
+    starts, edges = starts[by], np.flatnonzero(np.diff(part[by])) + 1
+    orders, groups, at = [], [], 0
+    for own in np.split(starts, edges):
+        words = np.zeros((len(own), -(-length // 8) * 8), np.uint8)
+        words[:, :length] = windows[own]
+        words = words.view(_U)
+        order = np.lexsort(words.T)
+        words = words[order]
+        new = np.concatenate([[0], (words[1:] != words[:-1]).any(axis=1)])
+        orders.append(own[order])
+        groups.append(np.cumsum(new) + at)
+        at = int(groups[-1][-1]) + 1
+    return np.concatenate(orders), np.concatenate(groups)
+
+
 def _settle(h: np.ndarray, doc: np.ndarray, texts: list[bytes]) -> np.ndarray:
     """For distinct segments sorted by anchor: a bit per window which a smaller document than the segment's least has."""
     masks = np.zeros(len(texts), np.int64)
@@ -303,7 +333,8 @@ def _settle(h: np.ndarray, doc: np.ndarray, texts: list[bytes]) -> np.ndarray:
         n = lengths[at:z] - WINDOW + 1
         of, offset = np.repeat(np.arange(len(some)), n), _within(n)
         starts = begin[of] + offset
-        order, group = equal_prefixes(text, starts, WINDOW)
+        equal = difference_cover.equal_prefixes if len(text) <= difference_cover.MOST else _equal_windows
+        order, group = equal(text, starts, WINDOW)
         owner = np.searchsorted(begin, order, side="right") - 1
         least = np.full(int(group[-1]) + 1, _LAST, np.int64)
         np.minimum.at(least, group, doc[some[owner]])
