@@ -169,3 +169,16 @@ def test_long_texts_are_hashed_whole():
     hashes = simhash.shingle_hashes(" ".join(words), 4)
     whole = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     assert simhash.vote(hashes) & (1 << 64) - 1 == sum(1 << b for b in range(64) if whole[b] * 2 > len(hashes))
+
+
+def test_a_repeated_passage_does_not_hide_a_copy(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(2000)]
+    rows = []
+    for i in range(20):
+        text = rng.choices(words, k=300)
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text + text[100:110] * 30))]
+    line = " ".join(rng.choices(words, k=10))
+    rows += [(100 + i, " ".join([*rng.choices(words, k=100), *[line] * 40])) for i in range(10)]
+    out = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in out.collect()} == {2 * i for i in range(20)} | {100 + i for i in range(10)}

@@ -86,13 +86,13 @@ def fingerprints(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str
 
 
 def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, fp of its distinct words, and s0 to s3, 256 bits of its k-word shingles."""
+    """Per row: doc_id, fp of its distinct words, and s0 to s3, 256 bits of its distinct k-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for t in b.column(1):
-                own, shingles = np.unique(shingle_hashes(t.as_py(), 1)), shingle_hashes(t.as_py(), k)
+                own, shingles = (np.unique(shingle_hashes(t.as_py(), n)) for n in (1, k))
                 rows.append([vote(own), *[vote(_mixed(shingles, i)) for i in range(4)]])
             cols = np.array(rows, np.int64).reshape(-1, 5).T
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in cols]], ["doc_id", "fp", "s0", "s1", "s2", "s3"])
