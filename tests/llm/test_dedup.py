@@ -182,3 +182,15 @@ def test_a_repeated_passage_does_not_hide_a_copy(spark):
     rows += [(100 + i, " ".join([*rng.choices(words, k=100), *[line] * 40])) for i in range(10)]
     out = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id for r in out.collect()} == {2 * i for i in range(20)} | {100 + i for i in range(10)}
+
+
+def test_copies_with_a_passage_more_or_less_go(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(3000)]
+    rows = []
+    for i in range(60):
+        text, passage = rng.choices(words, k=300), rng.choices(words, k=48)
+        copy = [text + passage, text[:255], text[:150] + passage + text[150:], passage + text][i % 4]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(copy))]
+    out = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in out.collect()} == {2 * i for i in range(60)}

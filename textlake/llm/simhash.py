@@ -23,7 +23,7 @@ Defined cases
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -86,18 +86,18 @@ def fingerprints(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str
 
 
 def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, fp of its distinct words, and s0 to s3, 256 bits of its distinct k-word shingles."""
+    """Per row: doc_id and s0 to s3, 256 bits of its distinct k-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for t in b.column(1):
-                own, shingles = (np.unique(shingle_hashes(t.as_py(), n)) for n in (1, k))
-                rows.append([vote(own), *[vote(_mixed(shingles, i)) for i in range(4)]])
-            cols = np.array(rows, np.int64).reshape(-1, 5).T
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in cols]], ["doc_id", "fp", "s0", "s1", "s2", "s3"])
+                shingles = np.unique(shingle_hashes(t.as_py(), k))
+                rows.append([vote(_mixed(shingles, i)) for i in range(4)])
+            cols = np.array(rows, np.int64).reshape(-1, 4).T
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in cols]], ["doc_id", "s0", "s1", "s2", "s3"])
 
-    schema = f"doc_id {dict(docs.dtypes)[id_col]}, fp bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
+    schema = f"doc_id {dict(docs.dtypes)[id_col]}, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
     return docs.select(id_col, text_col).mapInArrow(releasing(run), schema)
 
 
@@ -145,8 +145,9 @@ def _star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[label[own]]
 
 
-def _linked(rows: dict[str, np.ndarray], distance: int, extra: list[str], apart: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links within the groups of `rows` (sorted by group), as stars."""
+def _pairs(rows: dict[str, np.ndarray], cols: list[str], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, places, bits apart) of the pairs within the groups of `rows` (sorted by group) that differ in at most `most`
+    bits of `cols` together, some at a time."""
     group = np.flatnonzero(np.concatenate([[True], (np.diff(rows["key"]) != 0) | (np.diff(rows["o"]) != 0) | (np.diff(rows["p"]) != 0)]))
     of = np.repeat(np.arange(len(group)), np.diff(np.append(group, len(rows["key"]))))
     table, visit = np.flatnonzero(rows["kind"] == 0), np.flatnonzero(rows["kind"] == 1)
@@ -154,7 +155,6 @@ def _linked(rows: dict[str, np.ndarray], distance: int, extra: list[str], apart:
     first = np.cumsum(size) - size
     visit = visit[size[of[visit]] > 0]
     upto = np.cumsum(size[of[visit]])
-    found: list[tuple[np.ndarray, np.ndarray]] = []
     at = 0
     while at < len(visit):
         end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
@@ -162,30 +162,45 @@ def _linked(rows: dict[str, np.ndarray], distance: int, extra: list[str], apart:
         n = size[of[some]]
         left = np.repeat(some, n)
         right = table[np.repeat(first[of[some]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        near = np.bitwise_count(rows["fp"][left] ^ rows["fp"][right]) <= distance
-        left, right = left[near], right[near]
-        if extra:
-            total = sum(np.bitwise_count(rows[c][left] ^ rows[c][right]).astype(np.int32) for c in extra)
-            left, right = left[total <= apart], right[total <= apart]
-        found.append(_star(rows["node"][left], rows["node"][right]))
+        total = np.zeros(len(left), np.int32)
+        for c in cols:
+            total += np.bitwise_count(rows[c][left] ^ rows[c][right])
+            near = total <= most
+            left, right, total = left[near], right[near], total[near]
+        yield left, right, total
         at = end
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return _star(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
 
 
-def links(nodes: DataFrame, distance: int, segments: int, extra: tuple[str, ...] = (), apart: int = 0) -> DataFrame:
-    """Edges (a, b) that connect exactly the nodes whose fingerprints differ in at most `distance` bits (and, with `extra`
-    64-bit columns, in at most `apart` bits of these together). `nodes`: node bigint (unique), fp bigint, extra bigints."""
+def _linked(rows: dict[str, np.ndarray], cols: list[str], most: int) -> list[np.ndarray]:
+    """Links within the groups of `rows`, as stars."""
+    found = [_star(rows["node"][left], rows["node"][right]) for left, right, _ in _pairs(rows, cols, most)]
+    none = np.zeros(0, np.int64)
+    return list(_star(*(np.concatenate([none, *(x[i] for x in found)]) for i in range(2))))
+
+
+def links(nodes: DataFrame, distance: int, segments: int) -> DataFrame:
+    """Edges (a, b) that connect exactly the nodes whose fingerprints differ in at most `distance` bits. `nodes`: node bigint
+    (unique), fp bigint."""
     if segments < 3 or not 0 <= distance <= 2 * segments - 1:
         raise ValueError("3 segments at least, a distance of 2 * segments - 1 at most")
-    spark, cuts, extra = nodes.sparkSession, _cuts(segments), list(extra)
-    nodes = nodes.select("node", "fp", *extra)
+    return _met(nodes, ["fp"], ["fp"], segments, lambda rows: _linked(rows, ["fp"], distance))
+
+
+def _met(nodes: DataFrame, indexed: list[str], cols: list[str], segments: int, pairs: Callable[[dict[str, np.ndarray]], list[np.ndarray]], more: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b): what `pairs` makes of groups of nodes that are one bit apart at most in a segment of a fingerprint among
+    `indexed`; the tables of all these are united. Groups have the 64-bit columns `cols` and the bigints `more`."""
+    spark, cuts, voted, carried = nodes.sparkSession, _cuts(segments) * len(indexed), list(cols), [*cols, *more]
+    nodes = nodes.select("node", *carried)
+
+    def valued(b: pa.RecordBatch) -> list[np.ndarray]:
+        each = [_values(b.column(1 + carried.index(c)).to_numpy().view(np.uint64), cuts[:segments]) for c in indexed]
+        return [keys + (i * segments << 40) for i, own in enumerate(each) for keys in own]
+
     base = np.concatenate([[0], np.cumsum([1 << w for _, w in cuts])]).tolist()
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s, keys in enumerate(_values(b.column(1).to_numpy().view(np.uint64), cuts)):
+            for s, keys in enumerate(valued(b)):
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(base[s] + 1 + (keys & (1 << 40) - 1))], ["key", "bit"])
 
     crowd = stored(nodes.mapInArrow(entries, "key bigint, bit bigint").groupBy("key", "bit").agg(F.count("*").alias("n")), "values")
@@ -193,10 +208,9 @@ def links(nodes: DataFrame, distance: int, segments: int, extra: tuple[str, ...]
     present = spark.sparkContext.broadcast(_Values(bitmap.collect(), cuts))  # 2^width bits a segment, 1 MB at most for three
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "kind", "node", "fp", *extra]
+        names = ["key", "kind", "node", *carried]
         for b in batches:
-            fp = b.column(1).to_numpy().view(np.uint64)
-            for s, keys in enumerate(_values(fp, cuts)):
+            for s, keys in enumerate(valued(b)):
                 parts = [(keys, np.arange(len(keys)), 0), (keys, np.arange(len(keys)), 1)]
                 for bit in range(cuts[s][1]):
                     own = np.flatnonzero(keys >> bit & 1)
@@ -205,10 +219,10 @@ def links(nodes: DataFrame, distance: int, segments: int, extra: tuple[str, ...]
                     parts.append((to[held], own[held], 1))
                 take = pa.array(np.concatenate([p[1] for p in parts]))
                 kind = np.concatenate([np.full(len(p[0]), p[2], np.int8) for p in parts])
-                cols = [pa.array(np.concatenate([p[0] for p in parts])), pa.array(kind), *[b.column(i).take(take) for i in range(2 + len(extra))]]
+                cols = [pa.array(np.concatenate([p[0] for p in parts])), pa.array(kind), *[b.column(i).take(take) for i in range(1 + len(carried))]]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    schema = ", ".join(["key bigint, kind tinyint, node bigint, fp bigint", *[f"{c} bigint" for c in extra]])
+    schema = ", ".join(["key bigint, kind tinyint, node bigint", *[f"{c} bigint" for c in carried]])
     rows = nodes.mapInArrow(visits, schema)
     crowded = crowd.where(F.col("n") > CHUNK).select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
     few = crowded.count()
@@ -242,9 +256,9 @@ def links(nodes: DataFrame, distance: int, segments: int, extra: tuple[str, ...]
             count = len(whole) - cut
             if cut:
                 part = {n: c[:cut] for n, c in cols.items()}
-                for n in ("fp", *extra):
+                for n in voted:
                     part[n] = part[n].view(np.uint64)
-                a, b = _linked(part, distance, extra, apart)
+                a, b = pairs(part)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for b in batches:
@@ -272,27 +286,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, distance: int = 4, segments: in
 # --- dedup of a corpus ---------------------------------------------------------------------------------------------
 
 #: A Jaccard similarity J of shingle sets is a cosine of about 2J / (1 + J): at 0.8, an angle of 27 degrees, or 39 of 256
-#: sketch bits, give or take 6. APART leaves two standard deviations. WORDS bits of the distinct words' fingerprints,
-#: found with SEGMENTS segments, hold for 99.8 % of such pairs.
-WORDS, SEGMENTS, APART = 9, 5, 50
+#: sketch bits, give or take 6. APART leaves two standard deviations. One of INDEXED independent fingerprints of SEGMENTS
+#: segments has a segment that differs in one bit at most: if each bit differs for itself, for 99.9 % of such pairs.
+INDEXED, SEGMENTS, APART = ["s0", "s1", "s2"], 5, 50
 
 
-def deduplicate(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, segments: int = SEGMENTS, apart: int = APART) -> DataFrame:
+def deduplicate(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text", segments: int = SEGMENTS, apart: int = APART) -> DataFrame:
     """`docs`, all columns, without those that have a near copy with a smaller id in their group.
 
     Near copies: similarity of k-word shingles of 0.8 or more, as 256 SimHash bits tell. Candidates come from the
-    multi-index over fingerprints of distinct words, which a few changed words move by few bits.
+    multi-indexes over several of their fingerprints.
     """
     marks = stored(sketches(docs, k, id_col, text_col).where("doc_id is not null"), "sketches")
     sketch = ["s0", "s1", "s2", "s3"]
-    classes = marks.groupBy("fp", *sketch).agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
+    classes = marks.groupBy(*sketch).agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
     # An id may come with several texts; such a node is entered once for each.
     nodes = stored(classes, "nodes")
-    roots = components(links(nodes, words, segments, tuple(sketch), apart))
+    roots = components(_met(nodes, INDEXED, sketch, segments, lambda rows: _linked(rows, sketch, apart)))
     nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = nodes.groupBy("root").agg(F.min("node").alias("stays"))
-    members = stored(nodes.join(groups, "root").select("fp", *sketch, "stays", "n"), "members").withColumn("key", F.struct("fp", *sketch)).select("key", "stays", "n")
-    found = attach(marks.select("doc_id", F.struct("fp", *sketch).alias("key")), members, "key", "n")
+    members = stored(nodes.join(groups, "root").select(*sketch, "stays", "n"), "members").withColumn("key", F.struct(*sketch)).select("key", "stays", "n")
+    found = attach(marks.select("doc_id", F.struct(*sketch).alias("key")), members, "key", "n")
     gone = stored(found.where("doc_id <> stays").select("doc_id").distinct(), "gone")
     return without(docs, gone, id_col)
 
