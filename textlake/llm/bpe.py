@@ -29,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textlake.llm.characters import unsettled
 from textlake.llm.common import releasing
 
 #: Remembered pieces of each of a worker's two caches (about 0.2 KB each); when the young one is full, it becomes the old.
 CACHE_PIECES = 400_000
-_WHITE = "\t-\r \x85\xa0  -     　"
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def byte_symbols() -> list[str]:
@@ -49,6 +50,7 @@ class Bpe:
 
     def __init__(self, path: str):
         import regex
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -63,6 +65,10 @@ class Bpe:
             left, right = pair if isinstance(pair, (list, tuple)) else pair.split(" ")
             self.rank[self.vocab[left], self.vocab[right]] = at
             self.merged.append(self.vocab[left + right])
+        # The file's own normaliser and cutter, for texts with characters that Unicode versions treat differently.
+        library = Tokenizer.from_file(path)
+        self.normalized, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.unsettled = unsettled(True)
         normalizers = {n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])}
         if normalizers != {"NFC", "Replace", "Lowercase"}:
             raise ValueError("this encoder takes files with an NFC, white-space and lower-case normaliser")
@@ -70,6 +76,7 @@ class Bpe:
         self.pieces = regex.compile(split["pattern"]["Regex"]).findall
         self.blank_free = regex.compile(f"[^{_WHITE}]+").findall
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
+        self.byte = {s: b for b, s in enumerate(byte_symbols())}
         self.inner = [self.vocab[s] for s in byte_symbols()]
         self.final = [self.vocab[s + self.suffix] for s in byte_symbols()]
         self.joiner = " " if spec.get("decoder") is None else ""  # without a decoder, tokens are joined by spaces
@@ -77,9 +84,8 @@ class Bpe:
         self.young: dict[str, str] = {}
         self.old: dict[str, str] = {}
 
-    def merge(self, piece: str) -> list[int]:
-        """The ids of one piece."""
-        data = piece.encode()
+    def merge(self, data: bytes) -> list[int]:
+        """The ids of one piece, given as its bytes."""
         ids = [self.inner[b] for b in data]
         ids[-1] = self.final[data[-1]]
         n = len(ids)
@@ -113,6 +119,7 @@ class Bpe:
         return [x for x in ids if x >= 0]
 
     def normalize(self, text: str) -> str:
+        """What the file's normaliser makes of a text of settled characters, but for white space."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # each character is lower-cased by itself: no final sigma
@@ -121,16 +128,23 @@ class Bpe:
 
     def _chunks(self, text: str) -> list[str]:
         """The pieces' surroundings: a piece never crosses white space."""
+        if not text.isascii() and self.unsettled(text):
+            return self.normalized(text).split(" ")
         text = self.normalize(text)
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # str.split takes these for white space, the files don't
             return self.blank_free(text)
         return text.split()
 
+    def _pieces(self, chunk: str) -> list[bytes]:
+        if not chunk.isascii() and self.unsettled(chunk):
+            return [bytes(map(self.byte.__getitem__, symbols)) for symbols, _ in self.cut(chunk)]
+        return [p.encode() for p in self.pieces(chunk)]
+
     def _learn(self, chunk: str) -> str:
         """The ids of a chunk that the young cache lacks, as decimals joined by spaces."""
         found = self.old.get(chunk)
         if found is None:
-            found = " ".join([str(i) for p in self.pieces(chunk) for i in self.merge(p)])
+            found = " ".join([str(i) for p in self._pieces(chunk) for i in self.merge(p)])
         if len(chunk) <= 64:
             if len(self.young) >= CACHE_PIECES:
                 self.old, self.young = self.young, {}

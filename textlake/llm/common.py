@@ -16,18 +16,28 @@ HEAVY = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; only where it is unset (tests) a local one."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a session on one machine (tests) may leave it unset."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="textlake-")
         sc.setCheckpointDir(at)
     return at.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/textlake/{uuid.uuid4().hex}/{name}"
+    """A fresh path below the shared folder, in a folder of the application's own: once its results are written, that one can go."""
+    return f"{shared_dir(spark)}/textlake-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
+
+
+def own_prefix(*tables: DataFrame) -> str:
+    """The shortest run of underscores, two at least, that no column of `tables` begins with: names of helper columns."""
+    names, prefix = [c for t in tables for c in t.columns], "__"
+    while any(n.startswith(prefix) for n in names):
+        prefix += "_"
+    return prefix
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -64,16 +74,17 @@ def attach(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFram
     are broadcast (a bound by construction: HEAVY rows), and their rows are spread by their other columns in the shuffled
     join that follows, where no other key has more than 1/HEAVY of all rows. Null keys match nothing.
     """
-    values = [c for c in right.columns if c not in (key, weight)]
+    values, p = [c for c in right.columns if c not in (key, weight)], own_prefix(left, right)
+    at, heavy_at, spread_at, rest_at, none_at = (p + n for n in ("key", "heavy", "spread", "rest", "none"))
     right = right.where(F.col(key).isNotNull())
     heavy = right.orderBy(F.desc(weight), key).limit(HEAVY)
-    heavy = heavy.select(F.col(key).alias("__key"), F.struct(F.lit(True), *values).alias("__heavy"))
-    rows = left.join(F.broadcast(heavy), F.col(key) == F.col("__key"), "left").drop("__key")
-    spread = F.when(F.col("__heavy").isNotNull() | F.col(key).isNull(), F.xxhash64(*left.columns)).otherwise(F.lit(0))
-    rows = rows.withColumn("__spread", spread)
-    rest = right.select(F.col(key).alias("__key"), F.struct(F.lit(True), *values).alias("__rest"), F.lit(0).cast("bigint").alias("__none"))
-    rows = rows.join(rest, (F.col(key) == F.col("__key")) & (F.col("__spread") == F.col("__none")), "left")
-    found = F.coalesce("__heavy", "__rest")
+    heavy = heavy.select(F.col(key).alias(at), F.struct(F.lit(True), *values).alias(heavy_at))
+    rows = left.join(F.broadcast(heavy), F.col(key) == F.col(at), "left").drop(at)
+    spread = F.when(F.col(heavy_at).isNotNull() | F.col(key).isNull(), F.xxhash64(*left.columns)).otherwise(F.lit(0))
+    rows = rows.withColumn(spread_at, spread)
+    rest = right.select(F.col(key).alias(at), F.struct(F.lit(True), *values).alias(rest_at), F.lit(0).cast("bigint").alias(none_at))
+    rows = rows.join(rest, (F.col(key) == F.col(at)) & (F.col(spread_at) == F.col(none_at)), "left")
+    found = F.coalesce(heavy_at, rest_at)
     return rows.select(*left.columns, *[found[c].alias(c) for c in values])
 
 
@@ -98,14 +109,16 @@ def build_filter(keys: DataFrame, hash64: Column, bits: int = FILTER_BITS) -> Da
 
 def probe_filter(rows: DataFrame, hash64: Column, filter_rows: DataFrame, flag: str, bits: int = FILTER_BITS) -> DataFrame:
     """`rows` with a boolean `flag`: False only if the key is certainly not in the filter."""
-    at, bit = _position(hash64, bits), F.bitmap_bit_position(_position(hash64, bits))
-    byte = F.conv(F.hex(F.substring("__bitmap", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.expr("shiftright(__byte, cast(__bit % 8 as int)) & 1") == 1
+    p = own_prefix(rows, filter_rows)
+    table = filter_rows.select(F.col("__bucket").alias(p + "b"), F.col("__bitmap").alias(p + "m"))
+    at = _position(hash64, bits)
+    bit = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring(p + "m", F.floor(F.col(p + "bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.expr(f"shiftright({p}byte, cast({p}bit % 8 as int)) & 1") == 1
     return (
-        rows.withColumn("__bucket", F.bitmap_bucket_number(at))
-        .withColumn("__bit", bit)
-        .join(F.broadcast(filter_rows), "__bucket", "left")
-        .withColumn("__byte", byte)
+        rows.withColumns({p + "bucket": F.bitmap_bucket_number(at), p + "bit": bit})
+        .join(F.broadcast(table), F.col(p + "bucket") == F.col(p + "b"), "left")
+        .withColumn(p + "byte", byte)
         .withColumn(flag, F.coalesce(hit, F.lit(False)))
         .select(*rows.columns, flag)
     )
