@@ -52,16 +52,29 @@ def test_exact_empty(spark):
 
 def test_index_levels(spark):
     index = exact_dedup.DigestIndex(spark)
-    for at in range(3):
-        batch = spark.createDataFrame([(i + 10 * at, str(i % 4)) for i in range(10)], "doc_id long, text string")
+    for at in range(5):
+        batch = spark.createDataFrame([(i + 10 * at, str(i % 4)) for i in range(10)] + [(100 + at, f"only {at}")], "doc_id long, text string")
         index.flush(batch.select("doc_id", exact_dedup.sha256(F.col("text")).alias("digest")))
-    assert len(index.levels) == 3
-    assert sorted((r.keep_id, r.n) for r in index.compact().collect()) == [(0, 9), (1, 9), (2, 6), (3, 6)]
-    assert len(index.levels) == 1
+        assert [len(x) for x in index.levels] == [[1], [2], [3], [0, 1], [1, 1]][at]
+    want = [(0, 15), (1, 15), (2, 10), (3, 10), (100, 1), (101, 1), (102, 1), (103, 1), (104, 1)]
+    assert sorted((r.keep_id, r.n) for r in index.compact().collect()) == want
+    assert sum(map(len, index.levels)) == 1
     some = index.entries().first().digest
     assert index.lookup(bytes(some)).count() == 1
 
 
+def test_exact_clashing_names_and_collisions(spark):
+    rows = [(i % 7 if i % 5 else None, "abc"[i % 3] * (1 + i % 2), i, "x") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __hit long, __key string").withColumn("__bucket", F.lit(1))
+    out = exact_dedup.deduplicate(docs)
+    assert out.columns == docs.columns
+    assert sorted(r.text for r in out.collect()) == sorted({r[1] for r in rows})
+    weak = lambda text: F.unhex(F.lpad(F.hex(F.length(text)), 8, "0"))  # noqa: E731: texts of one length collide
+    found = exact_dedup.find_duplicates(docs, keep="smallest", digest=weak).collect()
+    size = {t: sum(r[1] == t for r in rows) for _, t, *_ in rows}
+    assert len(found) == 60 and sorted(r.group_size for r in found) == sorted(size[t] for _, t, *_ in rows)
+
+
 def test_filter_and_attach(spark):
     keys = spark.range(0, 1000, 3).withColumnRenamed("id", "k")
     seen = build_filter(keys, F.xxhash64("k"))
@@ -156,7 +169,7 @@ def test_near_copies_go_and_others_stay(spark):
                 text[rng.randrange(300)] = rng.choice(vocabulary)
             rows.append((at, " ".join(text), "t", at))
             group[at], at = g, at + 1
-    docs = spark.createDataFrame([*rows, (None, rows[0][1], "t", 0)], "doc_id long, text string, fp string, s0 int")
+    docs = spark.createDataFrame([*rows, (None, rows[0][1], "t", 0)], "doc_id long, text string, fp string, __hit int")
     out = simhash.deduplicate(docs)
     assert out.columns == docs.columns
     first = {min(d for d in group if group[d] == g) for g in group.values()}
@@ -194,3 +207,42 @@ def test_copies_with_a_passage_more_or_less_go(spark):
         rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(copy))]
     out = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id for r in out.collect()} == {2 * i for i in range(60)}
+
+
+def shingles(text):
+    w = text.split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_near_links_against_all_pairs(spark, monkeypatch):
+    """Texts at every similarity around the threshold, by scattered and by contiguous edits, and one large group of copies."""
+    monkeypatch.setattr(simhash, "HUB", 8)
+    rng = random.Random(13)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(3000)]
+    texts = []
+    for i in range(70):
+        base = rng.choices(words, k=rng.randint(60, 400))
+        copy = list(base)
+        if i % 2:
+            for _ in range(rng.randint(1, max(1, len(base) // 25))):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+        else:
+            copy += rng.choices(words, k=rng.randint(1, len(base) // 3))
+        texts += [base, copy]
+    hub = rng.choices(words, k=200)
+    for _ in range(60):
+        copy = list(hub)
+        for _ in range(rng.randint(1, 3)):
+            copy[rng.randrange(200)] = rng.choice(words)
+        texts.append(copy)
+    texts = [" ".join(t) for t in texts]
+    sets = list(map(shingles, texts))
+    near = [(a, b) for b in range(len(sets)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert len(near) > 200
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, _, found = simhash.near_links(docs)
+    found = [(r.a, r.b) for r in found.collect()]
+    assert set(found) <= set(near)  # nothing below the threshold is linked
+    got, want = union_find(found, range(len(texts))), union_find(near, range(len(texts)))
+    assert sum(got[a] == got[b] for a, b in near) >= 0.99 * len(near)
+    assert all(want[x] == want[got[x]] for x in got)

@@ -1,22 +1,27 @@
 """Chat formatting: a finite-state machine over roles, driven by a declarative template, in DataFrame operations only.
 
-Each turn becomes three segments (opening mark, text, closing mark) and each segment has a loss flag. Inside texts and
-role names `&`, `<` and (role names) line feeds are written as `&amp;`, `&lt;` and `&#10;`: as every control string of a
-template begins with `<`, no text can hold one, and `parse` gives each text back unchanged.
+The template names the states: what a turn that enters a state is surrounded with, whether its text is trained on, and by
+which role each state is left for which. One fold over a conversation's roles runs the machine; the state that each turn enters
+makes its segments (opening mark, text, closing mark) and their loss flags, and the last state tells whether the turns are in
+order. A role that the present state does not accept leads to the same role's state, and the conversation is rejected.
+
+Inside texts and role names `&`, `<` and (role names) line feeds are written as `&amp;`, `&lt;` and `&#10;`: as every control
+string of a template begins with `<`, no text can hold one, and `parse` gives each text back unchanged.
 
 Defined cases
     null text: empty.        null role: the empty role.       a role that the template does not name: formatted like any
     other, without loss; the conversation is then not valid.      null turn: before all others.
     equal turn numbers: in order of role, then text; repeated rows are repeated turns.
     null conv_id: one conversation with a null id.       empty table: empty result.        extra columns: ignored.
-    very long conversations: a conversation is one output row, so its turns meet in one row by definition.
+    very long conversations: a conversation is one output row, so its turns meet in one row by definition; the fold appends one
+    character a turn, and places come from a running sum, so the work follows the length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: open and close surround a role's name and text; `after` lists the roles that may follow which ('' is the start) and
@@ -53,15 +58,34 @@ def _check(template: Mapping) -> None:
             raise ValueError("control strings begin with '<', which texts never hold once escaped")
 
 
-def _valid(turns: Column, template: Mapping) -> Column:
-    """Run the machine over the roles; null state: rejected."""
-    after = F.create_map(*[x for k, v in template["after"].items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    end = F.aggregate(
-        turns,
-        F.lit("").cast("string"),
-        lambda state, t: F.when(F.coalesce(F.array_contains(F.try_element_at(after, state), t["role"]), F.lit(False)), t["role"]),
-    )
-    return F.coalesce(end.isin(*template["final"]), F.lit(False))
+class _Machine:
+    """States are single characters: the start, one for each role of the template, and one for all other roles. A lower-case
+    state is that of an accepted conversation so far, an upper-case one that of a rejected conversation."""
+
+    OTHER, START = "y", "z"
+
+    def __init__(self, template: Mapping):
+        roles = sorted({*template["after"], *(r for v in template["after"].values() for r in v), *template["loss"]} - {""})
+        if len(roles) > 24:
+            raise ValueError("a template has 24 roles at most")
+        self.state = {r: chr(ord("a") + i) for i, r in enumerate(roles)}
+        edges = {self.state.get(a, self.START) + self.state[b] for a, v in template["after"].items() for b in v}
+        self.edges = F.array(*map(F.lit, sorted(edges)))
+        self.enter = F.create_map(*[F.lit(x) for item in self.state.items() for x in item]) if roles else F.lit(None).cast("map<string,string>")
+        self.loss = [s for r in template["loss"] for s in (self.state[r], self.state[r].upper())]
+        self.final = [self.state[r] for r in template["final"]]
+
+    def run(self, roles: Column) -> Column:
+        """The states that the turns enter, one character each."""
+
+        def step(acc: Column, role: Column) -> Column:
+            to = F.coalesce(F.try_element_at(self.enter, role), F.lit(self.OTHER))
+            accepted = F.array_contains(self.edges, F.concat(acc["state"], to))  # no edge leaves an upper-case state
+            state = F.when(accepted, to).otherwise(F.upper(to))
+            return F.struct(state.alias("state"), F.concat(acc["trace"], state).alias("trace"))
+
+        start = F.struct(F.lit(self.START).alias("state"), F.lit("").cast("string").alias("trace"))
+        return F.aggregate(roles, start, step)["trace"]
 
 
 def format_chats(conversations: DataFrame, template: Mapping = TEMPLATE) -> DataFrame:
@@ -70,44 +94,37 @@ def format_chats(conversations: DataFrame, template: Mapping = TEMPLATE) -> Data
     `start` counts code points of `formatted` from 0.
     """
     _check(template)
-    turns = conversations.select(
+    machine = _Machine(template)
+    turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    before = F.concat(F.lit(template["open"]), _escape_name(F.col("role")), F.lit(template["name_end"]))
+    turns = turns.select("conv_id", "turn", "role", "text", before.alias("before"), escape(F.col("text")).alias("inside"))
+    size = (F.length("before") + F.length("inside") + len(template["close"])).cast("bigint")
+    turns = turns.select(
         "conv_id",
         F.struct(
-            F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+            F.row_number().over(order).alias("place"), "role", "before", "inside",
+            (F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)) - size + F.length("before")).alias("start"),
         ).alias("t"),
-    )
+    )
     chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    segments = F.flatten(
-        F.transform(
-            "turns",
-            lambda t: F.array(
-                _segment(F.concat(F.lit(template["open"]), _escape_name(t["role"]), F.lit(template["name_end"])), F.lit(False)),
-                _segment(escape(t["text"]), t["role"].isin(*template["loss"])),
-                _segment(F.lit(template["close"]), F.lit(False)),
-            ),
-        )
-    )
-    chats = chats.select("conv_id", _valid(F.col("turns"), template).alias("valid"), segments.alias("segments"))
-    chats = chats.withColumn("lengths", F.transform("segments", lambda s: F.length(s["text"])))
-    spans = F.aggregate(
-        "segments",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda acc, s: F.struct(
-            (acc["at"] + F.length(s["text"])).alias("at"),
-            F.when(s["loss"], F.array_append(acc["spans"], F.struct(acc["at"].alias("start"), F.length(s["text"]).alias("length"))))
-            .otherwise(acc["spans"])
-            .alias("spans"),
+    chats = chats.withColumn("trace", machine.run(F.transform("turns", lambda t: t["role"])))
+    segments = F.transform(
+        F.arrays_zip(F.col("turns"), F.split("trace", "").alias("states")),
+        lambda x: F.struct(
+            F.concat(x["turns"]["before"], x["turns"]["inside"], F.lit(template["close"])).alias("text"),
+            x["states"].isin(*machine.loss).alias("loss"),
+            x["turns"]["start"].cast("int").alias("start"),
+            F.length(x["turns"]["inside"]).alias("length"),
         ),
-    )["spans"]
+    )
+    chats = chats.select("conv_id", F.substring("trace", -1, 1).isin(*machine.final).alias("valid"), segments.alias("segments"))
+    spans = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
     return chats.select(
         "conv_id", "valid", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), spans.alias("loss_spans")
     )
 
 
-def _segment(text: Column, loss: Column) -> Column:
-    return F.struct(text.alias("text"), loss.alias("loss"))
-
-
 def parse(formatted: Column, template: Mapping = TEMPLATE) -> Column:
     """The turns of a formatted chat: array<struct<role, text>>."""
     size = len(template["open"])

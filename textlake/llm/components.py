@@ -3,7 +3,8 @@
 Each round maps every node to the least node, under a hash of that round, among itself and its neighbours, and moves the
 edges along; nodes of one component stay in one, and a component shrinks by a constant factor, so there are about
 log(nodes) rounds. Each round is a stored table: nothing is collected, and a lost executor repeats its own tasks only.
-A node with many neighbours is met by a map-side combined aggregation and a join that Spark can split.
+A node with many neighbours, and the root of a giant component, are met by map-side combined aggregations and by joins that
+spread a key of many rows (`attach`).
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm.common import stored
+from textlake.llm.common import attach, stored
 
 MOST_ROUNDS = 200
 
@@ -32,12 +33,12 @@ def components(edges: DataFrame) -> DataFrame:
             return F.struct((F.col(node) if k == 0 else F.xxhash64(F.lit(k), node)).alias("rank"), F.col(node).alias("node"))
 
         both = edges.select("a", rank("b").alias("to")).union(edges.select(F.col("b").alias("a"), rank("a").alias("to")))
-        to = both.groupBy(F.col("a").alias("node")).agg(F.min("to").alias("to"))
-        to = stored(to.select("node", F.least(rank("node"), F.col("to"))["node"].alias("to")), "to")
-        roots = stored(
-            roots.join(to.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots"
-        )
-        moved = edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").select("x", "b")
-        moved = moved.join(to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").where("x <> y")
+        to = both.groupBy(F.col("a").alias("node")).agg(F.min("to").alias("to"), F.count("*").alias("n"))
+        to = stored(to.select("node", F.least(rank("node"), F.col("to"))["node"].alias("to"), "n"), "to")
+        size = roots.groupBy("root").agg(F.count("*").alias("size"))
+        step = to.join(size, F.col("node") == F.col("root")).select("root", "to", "size")
+        roots = stored(attach(roots, step, "root", "size").select("node", F.coalesce("to", "root").alias("root")), "roots")
+        moved = attach(edges, to.select(F.col("node").alias("a"), F.col("to").alias("x"), "n"), "a", "n")
+        moved = attach(moved, to.select(F.col("node").alias("b"), F.col("to").alias("y"), "n"), "b", "n").where("x <> y")
         edges = stored(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
     raise RuntimeError("the components did not settle")

@@ -1,9 +1,10 @@
 """Exact dedup with a log-structured merge index of text digests, in DataFrame operations only.
 
-* A *memtable* is one slice of a batch: its digests are pre-aggregated (one entry per digest: the identifier that
-  stays and the number of rows) and flushed as a *run*, a Parquet folder sorted by digest with a Parquet Bloom filter
-  on the digest, so that point look-ups skip row groups.
-* *Compaction* merges runs: one entry per digest, the identifier that stays among all runs, the summed row count.
+* A *memtable* is a slice of the input: its digests are pre-aggregated (one entry per digest: the identifier that stays and
+  the number of rows) and flushed as a *run*, a Parquet folder sorted by digest, with a filter of fixed size beside it.
+* *Compaction* merges the runs of a level when there are FANOUT of them, and all at the end. An entry whose digest no other
+  run's filter holds goes over as it is; only the others are shuffled and merged: one entry per digest, the identifier that
+  stays among all runs, the summed row count.
 * *Hits*, rows whose digest the compacted index holds more than once, are verified byte by byte: the least and the
   greatest text of a digest are equal only if all its texts are. A digest with unlike texts (a collision) is settled
   again by (digest, text).
@@ -20,13 +21,15 @@ Defined cases
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm.common import attach, build_filter, probe_filter, scratch, stored
+from textlake.llm.common import attach, build_filter, own_prefix, probe_filter, scratch, stored
 
-#: Rows per memtable, about: the number of runs' sorted slices follows the input's partitions.
-MEMTABLES = 16
+#: Memtables that a table is cut into; runs of a level that are merged into one of the next.
+MEMTABLES, FANOUT = 4, 4
 _RUN = "digest binary, keep_id bigint, n bigint"
 
 
@@ -43,43 +46,68 @@ def _best(keep: str) -> Column:
 
 
 class DigestIndex:
-    """The index: a folder of runs. `keep` is 'smallest' or 'largest' identifier."""
+    """The index: levels of runs. `keep` is 'smallest' or 'largest' identifier."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, keep: str = "smallest"):
         if keep not in ("smallest", "largest"):
             raise ValueError("keep is 'smallest' or 'largest'")
         self.spark, self.keep = spark, keep
         self.path = path or scratch(spark, "digest-index")
-        self.levels: list[str] = []
+        self.levels: list[list[str]] = [[]]
+        self.made = 0
 
     def flush(self, rows: DataFrame) -> None:
-        """Flush (digest, doc_id) rows: each memtable is aggregated and written as a sorted run."""
-        run = (
-            rows.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("n"))
-            .groupBy("digest", F.pmod(F.xxhash64("keep_id"), F.lit(MEMTABLES)).alias("memtable"))
-            .agg(_best(self.keep), F.sum("n").alias("n"))
-        )
-        self._write(run.select("digest", "keep_id", "n"), f"{self.path}/run-{len(self.levels)}")
-
-    def _write(self, run: DataFrame, path: str) -> None:
-        run.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").option(
-            "parquet.bloom.filter.adaptive.enabled#digest", "true"
-        ).parquet(path)
-        self.levels.append(path)
+        """Flush a memtable of (digest, doc_id) rows as a run, and compact the levels that are full."""
+        memtable = rows.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("n"))
+        self.levels[0].append(self._write(self._merged(memtable)))
+        for level in range(len(self.levels)):
+            if len(self.levels[level]) >= FANOUT:
+                self._compact(level)
+
+    def _merged(self, entries: DataFrame) -> DataFrame:
+        return entries.groupBy("digest").agg(_best(self.keep), F.sum("n").alias("n"))
+
+    def _write(self, run: DataFrame) -> str:
+        path, self.made = f"{self.path}/run-{self.made}", self.made + 1
+        run.sortWithinPartitions("digest").write.parquet(f"{path}/entries")
+        build_filter(self._run(path), _hash(F.col("digest"))).write.parquet(f"{path}/filter")
+        return path
+
+    def _run(self, path: str) -> DataFrame:
+        return self.spark.read.schema(_RUN).parquet(f"{path}/entries")
+
+    def _compact(self, level: int) -> None:
+        """Merge the runs of a level into one of the next; their filters tell which entries may have partners."""
+        runs, self.levels[level] = self.levels[level], []
+        parts, alone = [], []
+        for k, path in enumerate(runs):
+            entries = self._run(path)
+            for j, other in enumerate(runs):
+                if j != k:
+                    entries = probe_filter(entries, _hash(F.col("digest")), self.spark.read.parquet(f"{other}/filter"), f"in_{j}")
+            partner = reduce(Column.__or__, [F.col(f"in_{j}") for j in range(len(runs)) if j != k], F.lit(False))
+            parts.append(entries.where(partner).select("digest", "keep_id", "n"))
+            alone.append(entries.where(~partner).select("digest", "keep_id", "n"))
+        merged = reduce(DataFrame.unionByName, [self._merged(reduce(DataFrame.unionByName, parts)), *alone])
+        if level + 1 == len(self.levels):
+            self.levels.append([])
+        self.levels[level + 1].append(self._write(merged))
 
     def entries(self) -> DataFrame:
         """All entries of all runs; a digest may occur in several."""
-        return self.spark.read.schema(_RUN).parquet(*self.levels)
+        runs = [f"{r}/entries" for level in self.levels for r in level]
+        return self.spark.read.schema(_RUN).parquet(*runs) if runs else self.spark.createDataFrame([], _RUN)
 
     def compact(self) -> DataFrame:
         """Merge all runs into one with a single entry for each digest, and return it."""
-        merged = self.entries().groupBy("digest").agg(_best(self.keep), F.sum("n").alias("n"))
-        path, self.levels = f"{self.path}/compacted-{len(self.levels)}", []
-        self._write(merged, path)
+        runs = [r for level in self.levels for r in level]
+        if len(runs) > 1:
+            self.levels = [runs]
+            self._compact(0)
         return self.entries()
 
     def lookup(self, digest: bytes) -> DataFrame:
-        """The entries of one digest; sorted row groups and their Bloom filters leave few to read."""
+        """The entries of one digest; row groups are sorted, so few are read."""
         return self.entries().where(F.col("digest") == F.lit(bytearray(digest)))
 
 
@@ -94,7 +122,8 @@ def find_duplicates(
     spark, rows = docs.sparkSession, _named(docs, id_col, text_col)
     digests = stored(rows.select("doc_id", digest(F.col("text")).alias("digest")), "digests")
     index = DigestIndex(spark, keep=keep)
-    index.flush(digests)
+    for k in range(MEMTABLES):
+        index.flush(digests.where(F.pmod(F.xxhash64("doc_id"), F.lit(MEMTABLES)) == k))
     repeated = index.compact().where("n > 1")
 
     seen = build_filter(repeated, _hash(F.col("digest")))
@@ -118,12 +147,18 @@ def find_duplicates(
     if collided.isEmpty():
         parts = alone.unionByName(_alone_if_missing(found))
     else:  # unlike texts under one digest: settle them by their bytes
-        unlike = hits.join(F.broadcast(collided) if collided.count() < 10_000 else collided, "digest", "left_semi")
+        clash = build_filter(collided, _hash(F.col("digest")))
+        unlike = probe_filter(hits, _hash(F.col("digest")), clash, "unlike").where("unlike").drop("unlike")
         groups = (
             unlike.withColumnRenamed("doc_id", "keep_id").groupBy("digest", "text").agg(_best(keep), F.count("*").alias("group_size"))
         )
-        exact = unlike.join(groups, ["digest", "text"]).select("doc_id", "digest", "keep_id", "group_size")
-        found = found.join(collided, "digest", "left_anti")
+        # Texts of a digest are told apart by a second one, so that what is joined with rows is small and no key is one task's.
+        second = F.struct("digest", F.sha2(F.reverse("text"), 512).alias("second"))
+        groups = stored(groups.select(second.alias("both"), "keep_id", "group_size", F.col("group_size").alias("n")), "collisions")
+        exact = attach(unlike.select("doc_id", "digest", second.alias("both")), groups, "both", "n")
+        clashing = collided.select("digest", F.lit(True).alias("clashing"), F.lit(1).alias("n"))
+        exact = attach(exact, clashing, "digest", "n").where("clashing").select("doc_id", "digest", "keep_id", "group_size")
+        found = attach(found, clashing, "digest", "n").where("clashing is null").drop("clashing")
         parts = alone.unionByName(_alone_if_missing(found)).unionByName(exact)
     return parts.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
@@ -139,18 +174,16 @@ def _alone_if_missing(found: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs`, all columns, with one row for each text. Only texts of repeated groups are moved."""
+    """`docs`, all columns, with one row for each text. Only rows that may be dropped are moved, keyed by id and digest."""
+    p = own_prefix(docs)
     marks = find_duplicates(docs, keep, id_col, text_col).where("group_size > 1")
-    marks = stored(marks.groupBy("digest").agg(F.first("keep_id").alias("keep_id")), "keepers")
-    tagged = docs.withColumn("__digest", sha256(F.coalesce(F.col(text_col), F.lit(""))))
-    seen = build_filter(marks, _hash(F.col("digest")))
-    tagged = probe_filter(tagged, _hash(F.col("__digest")), seen, "__hit")
-    alone = tagged.where(~F.col("__hit")).select(*docs.columns)
-    keepers = marks.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"), F.lit(True).alias("__dup"))
-    # A group's rows other than its keeper go before the shuffle where the keeper's id is not among the repeated ones.
-    ids = build_filter(marks, _hash(F.col("keep_id")))
-    hits = probe_filter(tagged.where("__hit").drop("__hit"), _hash(F.col(id_col)), ids, "__may")
-    hits = hits.join(keepers, "__digest", "left")
-    hits = hits.where(F.col("__dup").isNull() | (F.col("__may") & F.col(id_col).eqNullSafe(F.col("__keep"))))
-    once = hits.where("__dup").dropDuplicates(["__digest"])
-    return alone.unionByName(hits.where("__dup is null").select(*docs.columns)).unionByName(once.select(*docs.columns))
+    fate = marks.groupBy(F.struct("doc_id", "digest").alias(p + "key")).agg(F.first("kept").alias(p + "kept"), F.count("*").alias(p + "n"))
+    fate = stored(fate.where(f"not {p}kept or {p}n > 1"), "fates")  # rows that go, and rows that are there several times
+    hashed = F.xxhash64(F.col(p + "key.doc_id"), F.col(p + "key.digest"))
+    tagged = docs.withColumn(p + "key", F.struct(F.col(id_col).alias("doc_id"), sha256(F.coalesce(F.col(text_col), F.lit(""))).alias("digest")))
+    tagged = probe_filter(tagged, hashed, build_filter(fate, hashed), p + "hit")
+    alone = tagged.where(f"not {p}hit").select(*docs.columns)
+    met = attach(tagged.where(p + "hit").drop(p + "hit"), fate, p + "key", p + "n")
+    single = met.where(f"{p}kept is null").select(*docs.columns)
+    once = met.where(p + "kept").dropDuplicates([p + "key"]).select(*docs.columns)
+    return alone.unionByName(single).unionByName(once)

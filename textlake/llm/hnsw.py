@@ -1,11 +1,13 @@
 """A hierarchical navigable small-world graph over one shard's vectors, as flat neighbour arrays.
 
 Every vector has a level drawn from a hash of its number; level l links the vectors of level l and above. Vectors enter
-in batches: a batch searches the graph built so far (beam search over all of the batch at once), each vector is linked to
-diverse ones among those found and its own batch, and links back are kept to the best DEGREE.
+in batches, of one at first, then of at most a third of those entered: a batch searches the graph built so far (beam search over
+all of the batch at once), each vector is linked to diverse ones among those found and its own batch, and links back are kept
+to the best DEGREE.
 
-Inner products are searched: vectors get one more coordinate that makes all norms of the shard equal, so that nearness
-by inner product, by angle and by distance agree inside the graph; queries get a zero there.
+Inner products are searched: vectors are scaled by the shard's longest and get one more coordinate that makes all lengths
+one, so that nearness by inner product, by angle and by distance agree inside the graph; queries get a zero there. Single
+precision serves where the lengths of a shard are of one magnitude, which the caller sees to.
 """
 
 from __future__ import annotations
@@ -14,8 +16,8 @@ import struct
 
 import numpy as np
 
-#: Links of a vector on level 0 (half above); candidates held while building; while searching; entered exactly at first.
-DEGREE, BUILD, SEARCH, FIRST, BATCH = 32, 80, 160, 512, 512
+#: Links of a vector on level 0 (half above); candidates held while building; while searching; vectors entered at once at most.
+DEGREE, BUILD, SEARCH, BATCH = 32, 80, 160, 512
 EXPAND = 4  # candidates whose neighbours are read in one step
 
 
@@ -35,29 +37,42 @@ class Graph:
             self.row.append(row)
 
     def to_bytes(self) -> bytes:
-        out = [struct.pack("<III", *self.vectors.shape, len(self.links)), self.vectors.astype("<f4").tobytes()]
+        """The links; the vectors are kept by the caller."""
+        out = [struct.pack("<I", len(self.links))]
         for m, k in zip(self.members, self.links, strict=True):
             out += [struct.pack("<II", *k.shape), m.astype("<i4").tobytes(), k.astype("<i4").tobytes()]
         return b"".join(out)
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> Graph:
-        n, d, depth = struct.unpack_from("<III", data)
-        at = 12 + 4 * n * d
-        vectors, links, members = np.frombuffer(data, "<f4", n * d, 12).reshape(n, d), [], []
+    def from_bytes(cls, data: bytes, vectors: np.ndarray) -> Graph:
+        (depth,) = struct.unpack_from("<I", data)
+        at, links, members = 4, [], []
         for _ in range(depth):
             m, w = struct.unpack_from("<II", data, at)
             members.append(np.frombuffer(data, "<i4", m, at + 8))
             links.append(np.frombuffer(data, "<i4", m * w, at + 8 + 4 * m).reshape(m, w))
             at += 8 + 4 * m * (1 + w)
-        return cls(vectors, links, members)
+        return cls(_lifted(vectors), links, members)
 
     def search(self, queries: np.ndarray, ef: int = SEARCH) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers, inner products) of about the `ef` nearest of each query, nearest first; -1 past the end."""
-        found = np.tile(self.members[-1][:1].astype(np.int64), (len(queries), 1))
+        """(numbers, likeness) of about the `ef` nearest of each query, nearest first; -1 past the end."""
+        queries = np.asarray(queries, np.float64)
+        queries = queries / np.maximum(np.abs(queries).max(axis=1, keepdims=True, initial=0.0), 1e-300)
+        wide = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1).astype(np.float32)
+        found = np.tile(self.members[-1][:1].astype(np.int64), (len(wide), 1))
         for level in range(len(self.links) - 1, 0, -1):
-            found = _beam(self.vectors, self.links[level], self.row[level], queries, found, 1)[0]
-        return _beam(self.vectors, self.links[0], self.row[0], queries, found, ef)
+            found = _beam(self.vectors, self.links[level], self.row[level], wide, found, 1)[0]
+        return _beam(self.vectors, self.links[0], self.row[0], wide, found, ef)
+
+
+def _lifted(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length one, with one more coordinate: the inner products' order with any query is as before."""
+    vectors = np.asarray(vectors, np.float64)
+    vectors = vectors / (np.abs(vectors).max(initial=0.0) or 1.0)
+    norms = (vectors**2).sum(axis=1)
+    most = norms.max(initial=0.0) or 1.0
+    extra = np.sqrt(np.maximum(most - norms, 0.0))
+    return (np.concatenate([vectors, extra[:, None]], axis=1) / np.sqrt(most)).astype(np.float32)
 
 
 def _beam(vectors, links, row, queries, entry, ef):
@@ -141,10 +156,7 @@ def _diverse(vectors: np.ndarray, own: np.ndarray, ids: np.ndarray, sims: np.nda
 
 def build(vectors: np.ndarray, seed: int = 0) -> Graph:
     """The graph of distinct vectors (n, d)."""
-    vectors = np.asarray(vectors, np.float64)
-    norms = (vectors**2).sum(axis=1)
-    extra = np.sqrt(np.maximum(norms.max(initial=0.0) - norms, 0.0))
-    x = np.concatenate([vectors, extra[:, None]], axis=1).astype(np.float32)
+    x = _lifted(vectors)
     level = _levels(len(x), seed)
     if len(x):
         level[0] = max(1, level.max()) if len(x) > 1 else 0  # the first is on every level: the entry
@@ -158,7 +170,7 @@ def build(vectors: np.ndarray, seed: int = 0) -> Graph:
         rows.append(row)
     at = 0
     while at < len(x):
-        end = min(len(x), at + (FIRST if at == 0 else min(BATCH, max(64, at // 4))))
+        end = min(len(x), at + max(1, min(BATCH, at // 3)))
         batch = np.arange(at, end)
         entry = np.zeros((len(batch), 1), np.int64)
         for k in range(depth - 1, -1, -1):

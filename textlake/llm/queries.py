@@ -64,7 +64,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     says = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    extra = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{says}'), (-1L, 1L, 'assistant', '{says}') AS t(conv_id, turn, role, text)")
     chats = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     out = chat_format.format_chats(chats)
     out = out.withColumn("turns", chat_format.parse(F.col("formatted")))
@@ -77,22 +77,30 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss").cast("bigint").alias("loss_chars"),
         F.sha2(F.encode("loss", "UTF-8"), 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
+        "valid",
     )
 
 
 OP7_SQL = """
 WITH turns AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+steps AS (
+    SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text), '') || '>' || role AS step,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back
+    FROM turns)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(length('<|turn|>') + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), chr(10), '&#10;')) + 1
-           + length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) + length('<|end|>') + 1)::BIGINT AS formatted_chars
-FROM turns GROUP BY conv_id
+           + length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) + length('<|end|>') + 1)::BIGINT AS formatted_chars,
+       bool_and(step IN ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user'))
+           AND bool_or(back = 1 AND role = 'assistant') AS valid
+FROM steps GROUP BY conv_id
 """
 
+
 def tokenizer_path(name: str) -> str:
     """Where a public tokenizer's file is; any other path does as well."""
     import public_tokenizers

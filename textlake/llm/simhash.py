@@ -2,15 +2,18 @@
 
 A fingerprint of 64 bits is cut into segments. If two differ in at most `distance` bits, then in some segment they
 differ in at most distance // segments bits; with 2 * segments - 1 >= distance that is one bit at most. So every
-fingerprint is entered in the table of each segment under the segment's value, and visits, from the Hamming ball of
-radius one, its own value and those with one of its set bits cleared (of two values one bit apart, exactly one visits
-the other). Matches are verified by complete distances.
+fingerprint is entered in the table of each segment under the segment's value, and visits the values of the Hamming ball
+around its own that are less than its own (of two values in each other's balls, exactly one visits the other). Matches are
+verified by complete distances.
 
 * Equal fingerprints are one node, so copies never multiply.
 * Visits to values that no fingerprint has are left out by an exact bitmap of the values: 2^width bits a segment, a
   bound by the fingerprint's format.
 * A crowded value is split into chunks of its table and of its visitors; each pair of chunks is a group of its own.
-* A task compares arrays and emits, for what it has linked, one edge per node (a star), never all pairs of a group.
+* A task compares arrays and emits, for what it has linked, one edge per node (a star or a forest), never all pairs of a group.
+
+`deduplicate` judges by shingle sets: fingerprints only find candidates there, and each link is confirmed by the Jaccard
+similarity of both texts' sets.
 
 Fingerprints are made in Arrow batches (the hash is XXH64 over UTF-8 shingles); everything else is joins.
 
@@ -24,17 +27,18 @@ Defined cases
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm.common import attach, build_filter, probe_filter, releasing, stored
+from textlake.llm.common import attach, build_filter, own_prefix, probe_filter, releasing, stored
 from textlake.llm.components import components
 
-#: Table rows of one group; shingles counted at once; candidate pairs compared at once; crowded values that are broadcast.
-CHUNK, PIECE, PAIRS, BROADCAST_VALUES = 4096, 1 << 16, 1 << 21, 100_000
+#: Table rows of one group; shingles counted at once; candidate pairs compared at once.
+CHUNK, PIECE, PAIRS = 4096, 1 << 16, 1 << 21
 
 
 # --- fingerprints --------------------------------------------------------------------------------------------------
@@ -85,25 +89,32 @@ def fingerprints(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str
     return docs.select(id_col, text_col).mapInArrow(releasing(run), f"doc_id {dict(docs.dtypes)[id_col]}, fp bigint")
 
 
+SKETCH, LEAST = ["s0", "s1", "s2", "s3"], ["m0", "m1", "m2", "m3"]
+
+
 def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id and s0 to s3, 256 bits of its distinct k-word shingles."""
+    """Per row: doc_id, s0 to s3, 256 bits of its distinct k-word shingles, and m0 to m3, the least of four hashes of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for t in b.column(1):
                 shingles = np.unique(shingle_hashes(t.as_py(), k))
-                rows.append([vote(_mixed(shingles, i)) for i in range(4)])
-            cols = np.array(rows, np.int64).reshape(-1, 4).T
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in cols]], ["doc_id", "s0", "s1", "s2", "s3"])
+                mixed = [_mixed(shingles, i) for i in range(4)]
+                rows.append([*map(vote, mixed), *[int(x.min(initial=_FULL).view(np.int64)) for x in mixed]])
+            cols = np.array(rows, np.int64).reshape(-1, 8).T
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in cols]], ["doc_id", *SKETCH, *LEAST])
 
-    schema = f"doc_id {dict(docs.dtypes)[id_col]}, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
+    schema = ", ".join([f"doc_id {dict(docs.dtypes)[id_col]}", *[f"{c} bigint" for c in SKETCH + LEAST]])
     return docs.select(id_col, text_col).mapInArrow(releasing(run), schema)
 
 
 # --- multi-index ---------------------------------------------------------------------------------------------------
 
 
+_FULL = np.uint64((1 << 64) - 1)
+
+
 def _cuts(segments: int) -> list[tuple[int, int]]:
     """(first bit, width) of each segment."""
     at = [64 * i // segments for i in range(segments + 1)]
@@ -178,22 +189,72 @@ def _linked(rows: dict[str, np.ndarray], cols: list[str], most: int) -> list[np.
     return list(_star(*(np.concatenate([none, *(x[i] for x in found)]) for i in range(2))))
 
 
+def _forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> list[np.ndarray]:
+    """Of links (node, node, bits apart), those of a least spanning forest, and the three nearest of each node."""
+    order = np.lexsort((b, a, apart))
+    a, b, apart = a[order], b[order], apart[order]
+    nodes, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, at = back[: len(a)], back[len(a) :], np.arange(len(a))
+    label, taken = np.arange(len(nodes)), [np.zeros(0, np.int64)]
+    while True:
+        other = label[x] != label[y]
+        x, y, at = x[other], y[other], at[other]
+        if not len(x):
+            break
+        best = np.full(len(nodes), len(a))
+        np.minimum.at(best, label[x], at)
+        np.minimum.at(best, label[y], at)
+        won = np.unique(best[best < len(a)])
+        taken.append(won)
+        u, v = back[won], back[len(a) + won]
+        while (label[u] != label[v]).any():
+            low = np.minimum(label[u], label[v])
+            np.minimum.at(label, label[u], low)
+            np.minimum.at(label, label[v], low)
+            while (label != label[label]).any():
+                label = label[label]
+    ends, at = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
+    by = np.lexsort((at, ends))  # links are in order of distance
+    first = np.flatnonzero(np.concatenate([[True], np.diff(ends[by]) != 0])) if len(by) else by
+    place = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
+    keep = np.unique(np.concatenate([*taken, at[by][place < NEAREST]]))
+    return [a[keep], b[keep], apart[keep]]
+
+
+def _nearest(rows: dict[str, np.ndarray], cols: list[str], most: int) -> list[np.ndarray]:
+    """The links within the groups of `rows` that connect nodes by the least distances."""
+    none = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    found = [none]
+    for left, right, apart in _pairs(rows, cols, most):
+        a, b = rows["node"][left], rows["node"][right]
+        own = a != b
+        found.append(_forest(np.minimum(a, b)[own], np.maximum(a, b)[own], apart[own].astype(np.int64)))
+    return _forest(*(np.concatenate([f[i] for f in found]) for i in range(3)))
+
+
 def links(nodes: DataFrame, distance: int, segments: int) -> DataFrame:
     """Edges (a, b) that connect exactly the nodes whose fingerprints differ in at most `distance` bits. `nodes`: node bigint
     (unique), fp bigint."""
     if segments < 3 or not 0 <= distance <= 2 * segments - 1:
         raise ValueError("3 segments at least, a distance of 2 * segments - 1 at most")
-    return _met(nodes, ["fp"], ["fp"], segments, lambda rows: _linked(rows, ["fp"], distance))
+    return _met(nodes, ["fp"], segments, 1, lambda rows: _linked(rows, ["fp"], distance), ("a", "b"))
+
 
+def _balls(width: int, radius: int) -> list[tuple[int, int]]:
+    """(highest bit, mask) of the ways to change 1 to `radius` bits of a value."""
+    ways = (c for r in range(1, radius + 1) for c in combinations(range(width), r))
+    return [(c[-1], sum(1 << i for i in c)) for c in ways]
 
-def _met(nodes: DataFrame, indexed: list[str], cols: list[str], segments: int, pairs: Callable[[dict[str, np.ndarray]], list[np.ndarray]], more: tuple[str, ...] = ()) -> DataFrame:
-    """(a, b): what `pairs` makes of groups of nodes that are one bit apart at most in a segment of a fingerprint among
-    `indexed`; the tables of all these are united. Groups have the 64-bit columns `cols` and the bigints `more`."""
-    spark, cuts, voted, carried = nodes.sparkSession, _cuts(segments) * len(indexed), list(cols), [*cols, *more]
+
+def _met(nodes: DataFrame, cols: list[str], segments: int, radius: int, pairs: Callable[[dict[str, np.ndarray]], list[np.ndarray]], names: tuple[str, ...]) -> DataFrame:
+    """(names: bigints): what `pairs` makes of groups of nodes that are at most `radius` bits apart in a segment of one of the
+    fingerprints `cols`; the tables of all these are united."""
+    spark, cuts, voted, carried = nodes.sparkSession, _cuts(segments) * len(cols), list(cols), list(cols)
     nodes = nodes.select("node", *carried)
+    balls = {w: _balls(w, radius) for _, w in cuts}
 
     def valued(b: pa.RecordBatch) -> list[np.ndarray]:
-        each = [_values(b.column(1 + carried.index(c)).to_numpy().view(np.uint64), cuts[:segments]) for c in indexed]
+        each = [_values(b.column(1 + i).to_numpy().view(np.uint64), cuts[:segments]) for i in range(len(voted))]
         return [keys + (i * segments << 40) for i, own in enumerate(each) for keys in own]
 
     base = np.concatenate([[0], np.cumsum([1 << w for _, w in cuts])]).tolist()
@@ -205,16 +266,16 @@ def _met(nodes: DataFrame, indexed: list[str], cols: list[str], segments: int, p
 
     crowd = stored(nodes.mapInArrow(entries, "key bigint, bit bigint").groupBy("key", "bit").agg(F.count("*").alias("n")), "values")
     bitmap = crowd.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
-    present = spark.sparkContext.broadcast(_Values(bitmap.collect(), cuts))  # 2^width bits a segment, 1 MB at most for three
+    present = spark.sparkContext.broadcast(_Values(bitmap.collect(), cuts))  # 2^width bits a segment: 1 MB for each fingerprint of three
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "kind", "node", *carried]
         for b in batches:
             for s, keys in enumerate(valued(b)):
                 parts = [(keys, np.arange(len(keys)), 0), (keys, np.arange(len(keys)), 1)]
-                for bit in range(cuts[s][1]):
-                    own = np.flatnonzero(keys >> bit & 1)
-                    to = keys[own] ^ 1 << bit
+                for bit, mask in balls[cuts[s][1]]:
+                    own = np.flatnonzero(keys >> bit & 1)  # the value visited is the lesser one
+                    to = keys[own] ^ mask
                     held = present.value.holds(to)
                     parts.append((to[held], own[held], 1))
                 take = pa.array(np.concatenate([p[1] for p in parts]))
@@ -224,12 +285,8 @@ def _met(nodes: DataFrame, indexed: list[str], cols: list[str], segments: int, p
 
     schema = ", ".join(["key bigint, kind tinyint, node bigint", *[f"{c} bigint" for c in carried]])
     rows = nodes.mapInArrow(visits, schema)
-    crowded = crowd.where(F.col("n") > CHUNK).select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
-    few = crowded.count()
-    if few:
-        rows = rows.join(F.broadcast(crowded) if few <= BROADCAST_VALUES else crowded, "key", "left")
-    else:
-        rows = rows.withColumn("parts", F.lit(None).cast("int"))
+    crowded = crowd.where(F.col("n") > CHUNK).select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"), "n")
+    rows = attach(rows, crowded, "key", "n")
     parts = F.coalesce("parts", F.lit(1))
     own, every = F.pmod(F.xxhash64("node"), parts).cast("int"), F.explode(F.sequence(F.lit(0), parts - 1))
     rows = rows.withColumn("own", own).withColumn("every", every).drop("parts")
@@ -258,8 +315,7 @@ def _met(nodes: DataFrame, indexed: list[str], cols: list[str], segments: int, p
                 part = {n: c[:cut] for n, c in cols.items()}
                 for n in voted:
                     part[n] = part[n].view(np.uint64)
-                a, b = pairs(part)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs(part)], list(names))
 
         for b in batches:
             kept.append(b)
@@ -269,7 +325,7 @@ def _met(nodes: DataFrame, indexed: list[str], cols: list[str], segments: int, p
         if kept:
             yield from settle(True)
 
-    return rows.mapInArrow(releasing(compare), "a bigint, b bigint")
+    return rows.mapInArrow(releasing(compare), ", ".join(f"{n} bigint" for n in names))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, distance: int = 4, segments: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,43 +334,118 @@ def near_duplicates(docs: DataFrame, k: int = 5, distance: int = 4, segments: in
     nodes = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     roots = components(links(nodes.select(F.col("fp").alias("node"), "fp"), distance, segments))
     nodes = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    groups = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    nodes = stored(nodes.join(groups, "root").select("fp", "component_id", "n"), "members")
+    groups = nodes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    nodes = stored(attach(nodes, groups, "root", "size").select("fp", "component_id", "n"), "members")
     return attach(marks, nodes, "fp", "n").select("doc_id", "fp", "component_id")
 
 
 # --- dedup of a corpus ---------------------------------------------------------------------------------------------
 
 #: A Jaccard similarity J of shingle sets is a cosine of about 2J / (1 + J): at 0.8, an angle of 27 degrees, or 39 of 256
-#: sketch bits, give or take 6. APART leaves two standard deviations. One of INDEXED independent fingerprints of SEGMENTS
-#: segments has a segment that differs in one bit at most: if each bit differs for itself, for 99.9 % of such pairs.
-INDEXED, SEGMENTS, APART = ["s0", "s1", "s2"], 5, 50
+#: sketch bits, give or take 6: APART leaves three standard deviations. Each of four fingerprints has SEGMENTS segments, which
+#: meet within RADIUS bits: if each bit differs for itself, 99.5 % of the pairs at 0.8 meet in one of the twelve. Copies of a
+#: set that are joined with HUB links or more are spread. NEAREST candidates of a node are kept beside the forest.
+SIMILARITY, SEGMENTS, RADIUS, APART, HUB, NEAREST = 0.8, 3, 2, 58, 256, 3
 
 
-def deduplicate(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text", segments: int = SEGMENTS, apart: int = APART) -> DataFrame:
-    """`docs`, all columns, without those that have a near copy with a smaller id in their group.
+def near_links(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", segments: int = SEGMENTS, radius: int = RADIUS, apart: int = APART) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(marks, classes, links): sketches of rows with an id; one class per sketch (node: its least id, n: its rows); and
+    links (a, b) between nodes that connect those whose sets of k-word shingles have the similarity.
 
-    Near copies: similarity of k-word shingles of 0.8 or more, as 256 SimHash bits tell. Candidates come from the
-    multi-indexes over several of their fingerprints.
+    Only a text that has the least of one of four hashes in common with another (as 99.8 % of the pairs at 0.8 have) can be
+    similar to it, so only these enter the multi-index. A task's candidates are a least spanning forest of its near pairs
+    and the nearest of each node. First
+    each node's nearest candidate is confirmed, then all that still lead from one component to another.
     """
     marks = stored(sketches(docs, k, id_col, text_col).where("doc_id is not null"), "sketches")
-    sketch = ["s0", "s1", "s2", "s3"]
-    classes = marks.groupBy(*sketch).agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
-    # An id may come with several texts; such a node is entered once for each.
-    nodes = stored(classes, "nodes")
-    roots = components(_met(nodes, INDEXED, sketch, segments, lambda rows: _linked(rows, sketch, apart)))
+    nodes = marks.groupBy(*SKETCH).agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), *[F.min(m).alias(m) for m in LEAST])
+    nodes = stored(nodes, "nodes")  # an id may come with several texts: such a node is entered once for each
+    least = F.explode(F.array(*[F.xxhash64(F.lit(i), m) for i, m in enumerate(LEAST)]))
+    shared = stored(nodes.select(least.alias("value")).groupBy("value").agg(F.count("*").alias("uses")).where("uses > 1"), "shared")
+    seen, some = build_filter(shared, F.col("value")), nodes
+    for i, m in enumerate(LEAST):
+        some = probe_filter(some, F.xxhash64(F.lit(i), m), seen, f"has_{m}")
+    some = stored(some.where(" or ".join(f"has_{m}" for m in LEAST)).select("node", *SKETCH), "candidates")
+    found = _met(some, SKETCH, segments, radius, lambda rows: _nearest(rows, SKETCH, apart), ("a", "b", "apart"))
+    pairs = stored(found.where("a <> b").groupBy("a", "b").agg(F.min("apart").alias("apart")), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    wanted = build_filter(ends, F.xxhash64("node"))
+    texts = probe_filter(docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")), F.xxhash64("node"), wanted, "hit")
+    sets = stored(shingle_sets(texts.where("hit and node is not null"), k), "sets")
+
+    both = pairs.select("a", F.struct("apart", "a", "b").alias("best")).union(pairs.select("b", F.struct("apart", "a", "b")))
+    first = stored(both.groupBy("a").agg(F.min("best").alias("best")).select("best.a", "best.b").distinct(), "first")
+    sure = stored(confirmed(first, sets, similarity), "sure")
+    roots = components(sure)
+    rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
+    roots = stored(roots.join(ends.groupBy("node").agg(F.count("*").alias("links")), "node"), "roots")
+    for end in ("a", "b"):
+        rest = attach(rest, roots.select(F.col("node").alias(end), F.col("root").alias("root_" + end), "links"), end, "links")
+    rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    return marks, nodes, sure.unionByName(stored(confirmed(stored(rest, "rest"), sets, similarity), "more"))
+
+
+def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
+    """(node, shingles): the sorted distinct hashes of k-word shingles, 32 bits each, of rows (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique((shingle_hashes(t.as_py(), k) >> np.uint64(32)).astype("<u4")).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(releasing(run), "node bigint, shingles binary")
+
+
+def _beside(links: DataFrame, sets: DataFrame, end: str, name: str) -> DataFrame:
+    """`links` with the set of their node `end`; a node with many links has a copy of its set for each HUB of them."""
+    degree = links.groupBy(end).agg(F.count("*").alias("weight"))
+    degree = stored(degree.withColumn("parts", F.ceil(F.col("weight") / HUB).cast("int")), "degrees")
+    links = attach(links, degree, end, "weight").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int")).drop("parts")
+    copies = sets.join(degree.select(F.col(end).alias("node"), "parts"), "node")
+    copies = copies.select(F.col("node").alias(end), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias(name))
+    return links.join(copies, [end, "part"]).drop("part")
+
+
+def confirmed(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) whose nodes' sets have at least the similarity (two empty sets are alike)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), "<u4") for v in (x, y))
+                least, most = sorted((len(x), len(y)))
+                if least < similarity * most:
+                    keep.append(False)
+                    continue
+                merged = np.sort(np.concatenate([x, y]))
+                common = int(np.count_nonzero(merged[1:] == merged[:-1]))
+                keep.append(common >= similarity * (least + most - common))
+            rows = pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"])
+            yield rows.filter(pa.array(keep, pa.bool_()))
+
+    met = _beside(_beside(links.select("a", "b"), sets, "a", "x"), sets, "b", "y")
+    return met.select("a", "b", "x", "y").mapInArrow(releasing(run), "a bigint, b bigint").distinct()
+
+
+def deduplicate(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs`, all columns, without those that have a near copy with a smaller id in their group: texts that a chain of links
+    of at least the similarity connects."""
+    marks, nodes, found = near_links(docs, k, similarity, id_col, text_col)
+    roots = components(found)
     nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    groups = nodes.groupBy("root").agg(F.min("node").alias("stays"))
-    members = stored(nodes.join(groups, "root").select(*sketch, "stays", "n"), "members").withColumn("key", F.struct(*sketch)).select("key", "stays", "n")
-    found = attach(marks.select("doc_id", F.struct(*sketch).alias("key")), members, "key", "n")
+    groups = nodes.groupBy("root").agg(F.min("node").alias("stays"), F.count("*").alias("size"))
+    members = attach(nodes, groups, "root", "size").select(F.struct(*SKETCH).alias("key"), "stays", "n")
+    found = attach(marks.select("doc_id", F.struct(*SKETCH).alias("key")), stored(members, "members"), "key", "n")
     gone = stored(found.where("doc_id <> stays").select("doc_id").distinct(), "gone")
     return without(docs, gone, id_col)
 
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """`docs` without the ids of `gone` (doc_id). Only rows that a filter of fixed size takes for hits are moved."""
+    p = own_prefix(docs)
     seen = build_filter(gone, F.xxhash64("doc_id"))
-    tagged = probe_filter(docs, F.xxhash64(id_col), seen, "__hit")
-    hits = tagged.where("__hit").drop("__hit")
-    hits = hits.join(gone.select(F.col("doc_id").alias("__gone")), F.col(id_col) == F.col("__gone"), "left_anti")
-    return tagged.where(~F.col("__hit")).drop("__hit").unionByName(hits)
+    tagged = probe_filter(docs, F.xxhash64(id_col), seen, p + "hit")
+    hits = tagged.where(p + "hit").select(*docs.columns)
+    hits = hits.join(gone.select(F.col("doc_id").alias(p + "gone")), F.col(id_col) == F.col(p + "gone"), "left_anti")
+    return tagged.where(f"not {p}hit").select(*docs.columns).unionByName(hits)

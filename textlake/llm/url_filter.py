@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm.common import attach, stored
+from textlake.llm.common import attach, own_prefix, stored
 
 #: Rule lists up to this many rows are broadcast (below 128 bytes a row: 26 MB); longer ones are joined by shuffle.
 BROADCAST_RULES = 200_000
@@ -31,7 +31,9 @@ RULES = (
 
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame([tuple(r) for r in rules], "host string, path string, verdict string")
+    """The rules as a table of literals."""
+    rows = [F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in rules]
+    return spark.range(1, numPartitions=1).select(F.inline(F.array(*rows)))
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -108,8 +110,13 @@ def _expressions(shapes: list[tuple[int, int]]) -> Column:
     return F.filter(F.array(*each), lambda e: e.isNotNull())
 
 
-def filter_pages(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
-    """The rows of `pages` that are allowed, all columns."""
-    tagged = pages.withColumn("__row", F.monotonically_increasing_id())
-    allowed = judge(tagged, rules, "__row", url_col).where("verdict = 'allow'").select(F.col("page_id").alias("__row"))
-    return tagged.join(allowed, "__row", "left_semi").drop("__row")
+def filter_pages(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
+    """The rows of `pages` that are allowed, all columns. Each different url is judged once; a url that many rows have is not
+    one task's."""
+    p = own_prefix(pages)
+    urls = pages.where(F.col(url_col).isNotNull()).groupBy(F.col(url_col).alias("url")).agg(F.count("*").alias("n"))
+    urls = stored(urls, "urls")
+    judged = judge(urls, rules, "url", "url", default).select(F.col("page_id").alias("url"), "verdict")
+    judged = stored(judged.join(urls, "url").select(F.col("url").alias(url_col), F.col("verdict").alias(p + "v"), F.col("n").alias(p + "n")), "verdicts")
+    tagged = attach(pages, judged, url_col, p + "n")
+    return tagged.where(F.coalesce(p + "v", F.lit(default)) == "allow").select(*pages.columns)

@@ -1,16 +1,17 @@
 """Approximate nearest neighbours: an HNSW graph per shard (hnsw.py), shard results merged.
 
-Vectors are made distinct first: a vector that many rows share is one node with the smallest of its ids (as many as an
-answer can need), so that copies neither crowd the graph nor meet in one task. Nodes are dealt over shards of about SHARD
-vectors by a hash; each shard's graph is one row of flat arrays in a Parquet folder. A query block (BLOCK vectors) meets
-each shard's row in an equi-join, is searched as a whole, and the best of all shards are ranked by exact inner products in
-double precision, ties to the smaller id.
+Vectors are made distinct first: a vector that many rows share is one node with the smallest of its rows (as many as an
+answer can need), so that copies neither crowd the graph nor meet in one task. Nodes are dealt to bands of like length (a
+factor of BAND), because a graph over inner products loses short vectors beside very long ones, and within a band over shards
+of about SHARD vectors by a hash. Each shard's graph is one row of flat arrays in a Parquet folder. Tasks read a shard's row
+once and then the blocks of queries (BLOCK vectors) that are dealt to it; the best of all shards are ranked by exact inner
+products in double precision, ties to the smaller id.
 
 Defined cases
     null, zero or empty vectors, and those with a null or non-finite component: no part, as candidate or query.
-    null id: no part.       repeated ids: the row with the greatest vector counts.      vectors of another length than the
-    query's: not compared.      fewer candidates than asked for: all of them.     empty table: empty result.
-    extra columns: ignored.
+    null id: no part.       repeated ids: each row is a candidate, and a query, of its own; a query leaves out its own row.
+    vectors of another length than the query's: not compared.      fewer candidates than asked for: all of them.
+    empty table: empty result.       extra columns: ignored.
 """
 
 from __future__ import annotations
@@ -23,93 +24,117 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlake.llm import hnsw
-from textlake.llm.common import stored
+from textlake.llm.common import releasing, stored
 
-#: Vectors of a shard; queries of a block; copies of an index row at least, so that few shards still use many tasks.
-SHARD, BLOCK, SPREAD = 16_384, 512, 32
+#: Vectors of a shard; queries of a block; copies of an index row at least, so that few shards still use many tasks; blocks of
+#: a copy at most (16 MB of queries at 64 components); the lengths of a band differ by this factor.
+SHARD, BLOCK, SPREAD, BLOCKS, BAND = 16_384, 512, 32, 64, 8.0
+_MEMBERS = "array<struct<vec_id:bigint,copy:int>>"
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, vector array<double>), one row per id."""
+    """(vec_id, copy, vector array<double>); `copy` numbers the rows of one id from 0."""
     v = F.col(vector_col).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0.0)
     rows = rows.select(F.col(id_col).alias("vec_id"), v.alias("vector")).where(F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull())
-    return rows.groupBy("vec_id").agg(F.max("vector").alias("vector"))
+    copy = F.row_number().over(Window.partitionBy("vec_id").orderBy("vector")) - 1
+    return rows.select("vec_id", copy.alias("copy"), "vector")
+
+
+def _band(vector: Column) -> Column:
+    """Vectors of one band have greatest components, and so lengths, of one magnitude."""
+    return F.floor(F.log(F.array_max(F.transform(vector, F.abs))) / F.log(F.lit(BAND))).cast("int")
 
 
 def build_index(rows: DataFrame, k: int, shard_size: int = SHARD) -> DataFrame:
-    """(dim, shard, graph, ids) for rows (vec_id, vector): a stored table with one row per shard. `ids` holds, for each
-    node, its k + 1 smallest ids: an answer of k that leaves out the query's own id needs no more."""
-    smallest = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
+    """(dim, band, shard, graph, vectors, members) for rows (vec_id, copy, vector): a stored table with one row per shard.
+    `members` holds, for each node, its k + 1 smallest rows: an answer of k that leaves out the query's own needs no more."""
+    smallest = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id", "copy"))
     nodes = rows.withColumn("place", smallest).where(F.col("place") <= k + 1)
-    nodes = stored(nodes.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "nodes")
-    sizes = nodes.groupBy(F.size("vector").alias("dim")).agg(F.ceil(F.count("*") / shard_size).cast("int").alias("shards"))
-    nodes = nodes.join(F.broadcast(sizes), F.size("vector") == F.col("dim"))  # a row per length of vectors
+    nodes = nodes.groupBy("vector").agg(F.sort_array(F.collect_list(F.struct("vec_id", "copy"))).alias("members"))
+    nodes = stored(nodes.withColumns({"dim": F.size("vector"), "band": _band(F.col("vector"))}), "nodes")
+    sizes = nodes.groupBy("dim", "band").agg(F.ceil(F.count("*") / shard_size).cast("int").alias("shards"))
+    nodes = nodes.join(F.broadcast(sizes), ["dim", "band"])  # a row per length of vectors and band: 700 bands at most
     nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int"))
 
     def build(table: pa.Table) -> pa.Table:
-        dim, shard = table["dim"][0], table["shard"][0]
         vectors = np.array(table["vector"].combine_chunks().flatten()).reshape(len(table), -1)
-        first = np.array([x[0].as_py() for x in table["ids"]])
+        members = table["members"].combine_chunks()
+        first = np.array([x[0]["vec_id"].as_py() for x in members])
         order = np.random.default_rng(0).permutation(np.argsort(first, kind="stable"))  # the same graph each time
         graph = hnsw.build(vectors[order])
-        ids = table["ids"].combine_chunks().take(pa.array(order))
-        exact = vectors[order].astype("<f8").tobytes()
+        own = [[table[c][0].as_py()] for c in ("dim", "band", "shard")]
         return pa.table({
-            "dim": pa.array([dim.as_py()], pa.int32()), "shard": pa.array([shard.as_py()], pa.int32()), "graph": pa.array([graph.to_bytes()], pa.binary()),
-            "vectors": pa.array([exact], pa.binary()), "ids": pa.array([ids.to_pylist()], pa.list_(pa.list_(pa.int64()))),
+            "dim": pa.array(own[0], pa.int32()), "band": pa.array(own[1], pa.int32()), "shard": pa.array(own[2], pa.int32()),
+            "graph": pa.array([graph.to_bytes()], pa.binary()), "vectors": pa.array([vectors[order].astype("<f8").tobytes()], pa.binary()),
+            "members": pa.array([members.take(pa.array(order)).to_pylist()], pa.list_(members.type)),
         })
 
-    schema = "dim int, shard int, graph binary, vectors binary, ids array<array<bigint>>"
-    return stored(nodes.select("dim", "shard", "vector", "ids").groupBy("dim", "shard").applyInArrow(build, schema), "index")
+    schema = f"dim int, band int, shard int, graph binary, vectors binary, members array<{_MEMBERS}>"
+    return stored(nodes.select("dim", "band", "shard", "vector", "members").groupBy("dim", "band", "shard").applyInArrow(build, schema), "index")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, ef: int = hnsw.SEARCH) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each query (vec_id, vector), its own id left out."""
-    shards = index.select("dim", "shard")
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
-    spread = max(1, -(-SPREAD // max(1, shards.count())))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    """(query_id, copy, rank, vec_id, score): the k nearest found of each query (vec_id, copy, vector), its own row left out."""
+    place = ["dim", "band", "shard"]
+    shards = index.select(*place)
+    blocks = max(1, -(-queries.count() // BLOCK))
+    spread = max(1, -(-SPREAD // max(1, shards.count())), -(-blocks // BLOCKS))
+    block = F.pmod(F.xxhash64("vec_id", "copy"), F.lit(blocks)).cast("int")
     asked = queries.withColumns({"dim": F.size("vector"), "block": block})
-    asked = asked.groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "vector")).alias("queries"))
-    asked = asked.withColumn("part", F.col("block") % spread).join(shards, "dim")
-    spread_index = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    met = asked.join(spread_index, ["dim", "shard", "part"]).select("queries", "graph", "vectors", "ids")
+    asked = asked.groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "copy", "vector")).alias("queries"))
+    asked = stored(asked.withColumn("part", (F.col("block") % spread).cast("int")), "queries").join(shards, "dim")
+    copies = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    # A shard's row comes before its blocks of queries.
+    rows = copies.select(*place, "part", F.lit(-1).alias("block"), "graph", "vectors", "members")
+    rows = rows.unionByName(asked.select(*place, "part", "block", "queries"), allowMissingColumns=True)
+    rows = rows.repartition(*place, "part").sortWithinPartitions(*place, "part", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
         for b in batches:
-            for q, g, v, ids in zip(b.column(0), b.column(1), b.column(2), b.column(3), strict=True):
-                yield _answers(q.values, g.as_py(), v.as_py(), ids.values, k, ef)
-
-    found = met.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _answers(asked: pa.StructArray, graph: bytes, exact: bytes, ids: pa.ListArray, k: int, ef: int) -> pa.RecordBatch:
-    g = hnsw.Graph.from_bytes(graph)
-    own = asked.field("vec_id").to_numpy(zero_copy_only=False)
-    queries = np.array(asked.field("vector").flatten()).reshape(len(own), -1)
-    vectors = np.frombuffer(exact, "<f8").reshape(-1, queries.shape[1])
-    start, flat = ids.offsets.to_numpy(), ids.flatten().to_numpy()
-    start = start - start[0]
-    wide = np.concatenate([queries, np.zeros((len(own), 1))], axis=1).astype(np.float32)
-    near, _ = g.search(wide, max(ef, 2 * k))
-    out_q, out_v, out_s = [], [], []
-    for q in range(len(own)):
-        nodes = near[q][near[q] >= 0]
-        scores = vectors[nodes] @ queries[q]
-        n = start[nodes + 1] - start[nodes]
-        members = flat[np.repeat(start[nodes] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        scores = np.repeat(scores, n)
-        others = members != own[q]
-        members, scores = members[others], scores[others]
-        top = np.lexsort((members, -scores))[:k]
-        out_q.append(np.full(len(top), own[q])), out_v.append(members[top]), out_s.append(scores[top])
-    cols = [np.concatenate(x) if x else np.zeros(0) for x in (out_q, out_v, out_s)]
-    kinds = (pa.int64(), pa.int64(), pa.float64())
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.float64 if t == pa.float64() else np.int64), t) for c, t in zip(cols, kinds, strict=True)], ["query_id", "vec_id", "score"])
+            col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+            for i in range(b.num_rows):
+                if col["block"][i].as_py() < 0:
+                    shard = _Shard(*(col[n][i] for n in ("graph", "vectors", "members")), col["dim"][i].as_py())
+                elif shard is not None:
+                    yield shard.answers(col["queries"][i].values, k, ef)
+
+    rows = rows.select("dim", "block", "graph", "vectors", "members", "queries")
+    found = rows.mapInArrow(releasing(run), "query_id bigint, copy int, vec_id bigint, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "copy", "rank", "vec_id", "score")
+
+
+class _Shard:
+    def __init__(self, graph: pa.Scalar, vectors: pa.Scalar, members: pa.Scalar, dim: int):
+        self.vectors = np.frombuffer(vectors.as_buffer(), "<f8").reshape(-1, dim)
+        self.graph = hnsw.Graph.from_bytes(graph.as_py(), self.vectors)
+        lists = members.values
+        self.start = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        flat = lists.flatten()
+        self.ids, self.copies = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("vec_id", "copy"))
+
+    def answers(self, asked: pa.StructArray, k: int, ef: int) -> pa.RecordBatch:
+        own, copy = (asked.field(n).to_numpy(zero_copy_only=False) for n in ("vec_id", "copy"))
+        queries = np.array(asked.field("vector").flatten()).reshape(len(own), -1)
+        near, _ = self.graph.search(queries, max(ef, 2 * k))
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for q in range(len(own)):
+            nodes = near[q][near[q] >= 0]
+            with np.errstate(over="ignore", invalid="ignore"):
+                scores = self.vectors[nodes] @ queries[q]
+            n = self.start[nodes + 1] - self.start[nodes]
+            at = np.repeat(self.start[nodes] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            ids, scores = self.ids[at], np.repeat(scores, n)
+            others = (ids != own[q]) | (self.copies[at] != copy[q])
+            ids, scores = ids[others], scores[others]
+            top = np.lexsort((ids, -scores))[:k]
+            for col, x in zip(out, (np.full(len(top), own[q]), np.full(len(top), copy[q]), ids[top], scores[top]), strict=True):
+                col.append(x)
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
+        cols = [pa.array(np.concatenate(x), t) for x, t in zip(out, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(cols, ["query_id", "copy", "vec_id", "score"])
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard_size: int = SHARD) -> DataFrame:
