@@ -244,5 +244,5 @@ def test_near_links_against_all_pairs(spark, monkeypatch):
     found = [(r.a, r.b) for r in found.collect()]
     assert set(found) <= set(near)  # nothing below the threshold is linked
     got, want = union_find(found, range(len(texts))), union_find(near, range(len(texts)))
-    assert sum(got[a] == got[b] for a, b in near) >= 0.99 * len(near)
+    assert sum(got[a] == got[b] for a, b in near) >= 0.98 * len(near)
     assert all(want[x] == want[got[x]] for x in got)

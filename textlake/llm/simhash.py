@@ -190,7 +190,7 @@ def _linked(rows: dict[str, np.ndarray], cols: list[str], most: int) -> list[np.
 
 
 def _forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> list[np.ndarray]:
-    """Of links (node, node, bits apart), those of a least spanning forest, and the three nearest of each node."""
+    """Of links (node, node, bits apart), those of a least spanning forest, and the NEAREST of each node."""
     order = np.lexsort((b, a, apart))
     a, b, apart = a[order], b[order], apart[order]
     nodes, back = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -345,7 +345,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, distance: int = 4, segments: in
 #: sketch bits, give or take 6: APART leaves three standard deviations. Each of four fingerprints has SEGMENTS segments, which
 #: meet within RADIUS bits: if each bit differs for itself, 99.5 % of the pairs at 0.8 meet in one of the twelve. Copies of a
 #: set that are joined with HUB links or more are spread. NEAREST candidates of a node are kept beside the forest.
-SIMILARITY, SEGMENTS, RADIUS, APART, HUB, NEAREST = 0.8, 3, 2, 58, 256, 3
+SIMILARITY, SEGMENTS, RADIUS, APART, HUB, NEAREST = 0.8, 3, 2, 58, 256, 8
 
 
 def near_links(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", segments: int = SEGMENTS, radius: int = RADIUS, apart: int = APART) -> tuple[DataFrame, DataFrame, DataFrame]:
