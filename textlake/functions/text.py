@@ -72,8 +72,16 @@ def overlapping_positions(text: Column, word: Column | str) -> Column:
     none = F.array().cast("array<int>")
 
     def found(low: Column) -> Column:
-        span = F.length(low) - F.length(word)
-        return F.when(low.contains(word), F.filter(F.sequence(F.lit(0), F.greatest(span, F.lit(0))), lambda i: F.substring(low, i + 1, F.length(word)) == word)).otherwise(none)
+        """Cut before each match; the lengths of the pieces, summed from the left, are the places: linear in the text."""
+        cut = F.concat(F.lit("(?=\\Q"), F.replace(word, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+
+        def places(parts: Column) -> Column:
+            start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+            step = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+            starts = F.aggregate(parts, start, step)["out"]
+            return F.when(low.startswith(word), starts).otherwise(F.slice(starts, 2, F.size(parts)))
+
+        return F.when(low.contains(word), bind(F.split(low, cut), places)).otherwise(none)
 
     return bind(F.lower(text), found)
 
