@@ -193,6 +193,8 @@ def _forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> list[np.ndarray]
     """Of links (node, node, bits apart), those of a least spanning forest, and the NEAREST of each node."""
     order = np.lexsort((b, a, apart))
     a, b, apart = a[order], b[order], apart[order]
+    new = np.concatenate([[True], (np.diff(a) != 0) | (np.diff(b) != 0)])[: len(a)]  # a pair may meet in several tables
+    a, b, apart = a[new], b[new], apart[new]
     nodes, back = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y, at = back[: len(a)], back[len(a) :], np.arange(len(a))
     label, taken = np.arange(len(nodes)), [np.zeros(0, np.int64)]
