@@ -158,7 +158,7 @@ def _star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _pairs(rows: dict[str, np.ndarray], cols: list[str], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(places, places, bits apart) of the pairs within the groups of `rows` (sorted by group) that differ in at most `most`
-    bits of `cols` together, some at a time."""
+    bits of `cols` together, some at a time; with a column `root`, only pairs of different roots."""
     group = np.flatnonzero(np.concatenate([[True], (np.diff(rows["key"]) != 0) | (np.diff(rows["o"]) != 0) | (np.diff(rows["p"]) != 0)]))
     of = np.repeat(np.arange(len(group)), np.diff(np.append(group, len(rows["key"]))))
     table, visit = np.flatnonzero(rows["kind"] == 0), np.flatnonzero(rows["kind"] == 1)
@@ -173,6 +173,9 @@ def _pairs(rows: dict[str, np.ndarray], cols: list[str], most: int) -> Iterator[
         n = size[of[some]]
         left = np.repeat(some, n)
         right = table[np.repeat(first[of[some]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        if "root" in rows:
+            other = rows["root"][left] != rows["root"][right]
+            left, right = left[other], right[other]
         total = np.zeros(len(left), np.int32)
         for c in cols:
             total += np.bitwise_count(rows[c][left] ^ rows[c][right])
@@ -250,8 +253,9 @@ def _balls(width: int, radius: int) -> list[tuple[int, int]]:
 
 def _met(nodes: DataFrame, cols: list[str], segments: int, radius: int, pairs: Callable[[dict[str, np.ndarray]], list[np.ndarray]], names: tuple[str, ...]) -> DataFrame:
     """(names: bigints): what `pairs` makes of groups of nodes that are at most `radius` bits apart in a segment of one of the
-    fingerprints `cols`; the tables of all these are united."""
-    spark, cuts, voted, carried = nodes.sparkSession, _cuts(segments) * len(cols), list(cols), list(cols)
+    fingerprints `cols`; the tables of all these are united. A column `root` of `nodes` goes with them."""
+    spark, cuts, voted = nodes.sparkSession, _cuts(segments) * len(cols), list(cols)
+    carried = voted + [c for c in nodes.columns if c == "root"]
     nodes = nodes.select("node", *carried)
     balls = {w: _balls(w, radius) for _, w in cuts}
 
@@ -355,36 +359,73 @@ def near_links(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY, id_c
     links (a, b) between nodes that connect those whose sets of k-word shingles have the similarity.
 
     Only a text that has the least of one of four hashes in common with another (as 99.8 % of the pairs at 0.8 have) can be
-    similar to it, so only these enter the multi-index. A task's candidates are a least spanning forest of its near pairs
-    and the nearest of each node. First
-    each node's nearest candidate is confirmed, then all that still lead from one component to another.
+    similar to it, so only these take part. `_starred` links most members of a group of copies at the cost of a few links a
+    text; the multi-index then looks for pairs of different components only, so that a large group emits none of its inner
+    pairs. A task's candidates are a least spanning forest of its near pairs and the nearest of each node. First each node's
+    nearest candidate is confirmed, then all that still lead from one component to another.
     """
     marks = stored(sketches(docs, k, id_col, text_col).where("doc_id is not null"), "sketches")
     nodes = marks.groupBy(*SKETCH).agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), *[F.min(m).alias(m) for m in LEAST])
     nodes = stored(nodes, "nodes")  # an id may come with several texts: such a node is entered once for each
-    least = F.explode(F.array(*[F.xxhash64(F.lit(i), m) for i, m in enumerate(LEAST)]))
-    shared = stored(nodes.select(least.alias("value")).groupBy("value").agg(F.count("*").alias("uses")).where("uses > 1"), "shared")
-    seen, some = build_filter(shared, F.col("value")), nodes
-    for i, m in enumerate(LEAST):
-        some = probe_filter(some, F.xxhash64(F.lit(i), m), seen, f"has_{m}")
-    some = stored(some.where(" or ".join(f"has_{m}" for m in LEAST)).select("node", *SKETCH), "candidates")
+    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).where("node is not null")
+    some, sure, roots = _starred(nodes, texts, k, similarity, apart)
+    some = stored(some.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "candidates")
     found = _met(some, SKETCH, segments, radius, lambda rows: _nearest(rows, SKETCH, apart), ("a", "b", "apart"))
     pairs = stored(found.where("a <> b").groupBy("a", "b").agg(F.min("apart").alias("apart")), "pairs")
+    sets = _sets_of(texts, pairs, k)
+
+    first = stored(_best(pairs), "first")
+    sure = stored(sure.unionByName(confirmed(first, sets, similarity)), "sure")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    wanted = build_filter(ends, F.xxhash64("node"))
-    texts = probe_filter(docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")), F.xxhash64("node"), wanted, "hit")
-    sets = stored(shingle_sets(texts.where("hit and node is not null"), k), "sets")
+    roots = stored(components(sure).join(ends.groupBy("node").agg(F.count("*").alias("links")), "node"), "roots")
+    rest = _crossing(pairs.join(first, ["a", "b"], "left_anti"), roots).select("a", "b")
+    return marks, nodes, sure.unionByName(stored(confirmed(stored(rest, "rest"), sets, similarity), "more"))
+
 
+def _best(pairs: DataFrame) -> DataFrame:
+    """(a, b): of pairs (a, b, apart), the nearest of each node."""
     both = pairs.select("a", F.struct("apart", "a", "b").alias("best")).union(pairs.select("b", F.struct("apart", "a", "b")))
-    first = stored(both.groupBy("a").agg(F.min("best").alias("best")).select("best.a", "best.b").distinct(), "first")
-    sure = stored(confirmed(first, sets, similarity), "sure")
-    roots = components(sure)
-    rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
-    roots = stored(roots.join(ends.groupBy("node").agg(F.count("*").alias("links")), "node"), "roots")
+    return both.groupBy("a").agg(F.min("best").alias("best")).select("best.a", "best.b").distinct()
+
+
+def _crossing(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """`pairs` whose ends have different roots, with these (root_a, root_b). `roots`: node, root, links (how many pairs)."""
     for end in ("a", "b"):
-        rest = attach(rest, roots.select(F.col("node").alias(end), F.col("root").alias("root_" + end), "links"), end, "links")
-    rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    return marks, nodes, sure.unionByName(stored(confirmed(stored(rest, "rest"), sets, similarity), "more"))
+        pairs = attach(pairs, roots.select(F.col("node").alias(end), F.col("root").alias("root_" + end), "links"), end, "links")
+    pairs = pairs.withColumns({"root_" + end: F.coalesce("root_" + end, end) for end in ("a", "b")})
+    return pairs.where("root_a <> root_b")
+
+
+def _sets_of(texts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """The shingle sets of the texts that occur in `pairs` (and of a few that a filter lets through)."""
+    wanted = build_filter(pairs.select("a").union(pairs.select("b")), F.xxhash64("a"))
+    return stored(shingle_sets(probe_filter(texts, F.xxhash64("node"), wanted, "hit").where("hit"), k), "sets")
+
+
+def _starred(nodes: DataFrame, texts: DataFrame, k: int, similarity: float, apart: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates, links, roots): the nodes that share a least hash with another; confirmed links (a, b) of nodes to the least
+    node that shares a hash with them; and the components that these make (node, root).
+
+    A node has four hashes and so four such links at most. The nearest of each node is confirmed first, and of those that then
+    lead from one component to another the nearest between each two.
+    """
+    tagged = F.explode(F.array(*[F.xxhash64(F.lit(i), m) for i, m in enumerate(LEAST)])).alias("value")
+    each = nodes.select("node", *SKETCH, tagged)
+    shared = each.groupBy("value").agg(F.min(F.struct("node", *SKETCH)).alias("centre"), F.count("*").alias("uses"))
+    met = attach(each, stored(shared.where("uses > 1"), "shared"), "value", "uses").where("centre is not null")
+    far = sum((F.bit_count(F.col(c).bitwiseXOR(F.col("centre")[c])) for c in SKETCH), F.lit(0))
+    met = stored(met.select("node", *SKETCH, F.col("centre.node").alias("a"), far.cast("bigint").alias("apart")), "met")
+    some = met.select("node", *SKETCH).distinct()
+    stars = met.where(F.col("apart") <= apart).where("a <> node").groupBy("a", F.col("node").alias("b")).agg(F.min("apart").alias("apart"))
+    stars = stored(stars, "stars")
+    sets = _sets_of(texts, stars, k)
+    first = stars.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select("best.a", "b")
+    sure = stored(confirmed(stored(first, "first"), sets, similarity), "sure")
+    uses = stars.select(F.col("a").alias("node")).union(stars.select("b")).groupBy("node").agg(F.count("*").alias("links"))
+    across = _crossing(stars, stored(components(sure).join(uses, "node"), "roots"))
+    across = across.groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(F.min(F.struct("apart", "a", "b")).alias("best"))
+    sure = stored(sure.unionByName(confirmed(stored(across.select("best.a", "best.b"), "across"), sets, similarity)), "sure")
+    return some, sure, components(sure)
 
 
 def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
