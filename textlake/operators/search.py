@@ -26,12 +26,12 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", tokens: Co
     base = base.select(*keep, "__tokens", F.size("__tokens").alias("__length"))
     stats = base.agg(F.count("*").alias("__n"), F.avg("__length").alias("__average"))
     terms = base.select(*keep, "__length", F.explode("__tokens").alias("token"))
-    terms = terms.join(F.broadcast(wanted), "token", "left_semi")  # the queries' tokens
+    terms = terms.join(wanted, "token", "left_semi")  # the queries' tokens; Spark broadcasts them while they are few
     terms = terms.groupBy(*keep, "__length", "token").agg(F.count("*").alias("__tf"))
     df = terms.groupBy("token").agg(F.count("*").alias("__df"))
     terms = terms.where("__keep") if where is not None else terms
     asked = queries.groupBy("query_id", "token").agg((F.count("*") * F.max("weight")).alias("__weight"))
-    rows = terms.join(F.broadcast(df), "token").join(F.broadcast(asked), "token").join(F.broadcast(stats))
+    rows = terms.join(df, "token").join(asked, "token").join(F.broadcast(stats))  # stats: one row
     part = S.bm25_idf(F.col("__n"), F.col("__df")) * S.bm25_tf(F.col("__tf"), F.col("__length"), F.col("__average"), k1, b) * F.col("__weight")
     scored = rows.groupBy("query_id", id_col).agg(F.sum(part).alias("score"))
     return scored.where("score > 0")
