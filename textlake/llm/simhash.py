@@ -89,11 +89,42 @@ def fingerprints(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str
     return docs.select(id_col, text_col).mapInArrow(releasing(run), f"doc_id {dict(docs.dtypes)[id_col]}, fp bigint")
 
 
-SKETCH, LEAST = ["s0", "s1", "s2", "s3"], ["m0", "m1", "m2", "m3"]
+#: Bins of a signature, of four bits each, 16 in a column.
+BINS = 256
+SKETCH, LEAST, SIGN = ["s0", "s1", "s2", "s3"], ["m0", "m1", "m2", "m3"], [f"g{i}" for i in range(BINS // 16)]
+
+
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """Of sorted distinct hashes, the least in each of BINS ranges as four bits: 0 for none, else 1 to 15. Two sets have as
+    many of their used bins in common as their Jaccard similarity says, give or take (one-permutation hashing)."""
+    at = (shingles >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    values = np.zeros(BINS, np.uint64)
+    values[at[first]] = shingles[first] % np.uint64(15) + np.uint64(1)
+    return np.bitwise_or.reduce(values.reshape(-1, 16) << np.arange(0, 64, 4, dtype=np.uint64), axis=1).view(np.int64)
+
+
+def _used(x: np.ndarray) -> np.ndarray:
+    """How many of the 16 groups of four bits are not zero."""
+    x = x | x >> np.uint64(1)
+    return np.bitwise_count((x | x >> np.uint64(2)) & np.uint64(0x1111111111111111)).astype(np.int64)
+
+
+def _alike(rows: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the pairs may have the similarity: their bins differ by no more than three standard deviations above what it
+    gives. Bins show a part of the united set, each element once, so the deviation is a hypergeometric one."""
+    used, apart = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
+    for c in SIGN:
+        x, y = rows[c][left], rows[c][right]
+        used += _used(x | y)
+        apart += _used(x ^ y)
+    united = -BINS * np.log1p(-np.minimum(used, BINS - 0.01) / BINS)
+    spread = similarity * (1 - similarity) * used * (1 - used / np.maximum(united, used + 1e-9))
+    return apart <= (1 - similarity) * used + 3 * np.sqrt(spread) + 1
 
 
 def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, s0 to s3, 256 bits of its distinct k-word shingles, and m0 to m3, the least of four hashes of these."""
+    """Per row, of its distinct k-word shingles: doc_id, s0 to s3 (256 bits), m0 to m3 (the least of four hashes) and a signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -101,11 +132,12 @@ def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "t
             for t in b.column(1):
                 shingles = np.unique(shingle_hashes(t.as_py(), k))
                 mixed = [_mixed(shingles, i) for i in range(4)]
-                rows.append([*map(vote, mixed), *[int(x.min(initial=_FULL).view(np.int64)) for x in mixed]])
-            cols = np.array(rows, np.int64).reshape(-1, 8).T
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in cols]], ["doc_id", *SKETCH, *LEAST])
+                rows.append([*map(vote, mixed), *[int(x.min(initial=_FULL).view(np.int64)) for x in mixed], *signature(shingles).tolist()])
+            cols = np.array(rows, np.int64).reshape(-1, len(names)).T
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in cols]], ["doc_id", *names])
 
-    schema = ", ".join([f"doc_id {dict(docs.dtypes)[id_col]}", *[f"{c} bigint" for c in SKETCH + LEAST]])
+    names = SKETCH + LEAST + SIGN
+    schema = ", ".join([f"doc_id {dict(docs.dtypes)[id_col]}", *[f"{c} bigint" for c in names]])
     return docs.select(id_col, text_col).mapInArrow(releasing(run), schema)
 
 
@@ -156,9 +188,10 @@ def _star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[label[own]]
 
 
-def _pairs(rows: dict[str, np.ndarray], cols: list[str], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _pairs(rows: dict[str, np.ndarray], cols: list[str], most: int, similarity: float | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(places, places, bits apart) of the pairs within the groups of `rows` (sorted by group) that differ in at most `most`
-    bits of `cols` together, some at a time; with a column `root`, only pairs of different roots."""
+    bits of `cols` together, some at a time; with a column `root`, only pairs of different roots; with a similarity, only pairs
+    whose signatures allow it."""
     group = np.flatnonzero(np.concatenate([[True], (np.diff(rows["key"]) != 0) | (np.diff(rows["o"]) != 0) | (np.diff(rows["p"]) != 0)]))
     of = np.repeat(np.arange(len(group)), np.diff(np.append(group, len(rows["key"]))))
     table, visit = np.flatnonzero(rows["kind"] == 0), np.flatnonzero(rows["kind"] == 1)
@@ -181,6 +214,9 @@ def _pairs(rows: dict[str, np.ndarray], cols: list[str], most: int) -> Iterator[
             total += np.bitwise_count(rows[c][left] ^ rows[c][right])
             near = total <= most
             left, right, total = left[near], right[near], total[near]
+        if similarity is not None:
+            may = _alike(rows, left, right, similarity)
+            left, right, total = left[may], right[may], total[may]
         yield left, right, total
         at = end
 
@@ -226,11 +262,11 @@ def _forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> list[np.ndarray]
     return [a[keep], b[keep], apart[keep]]
 
 
-def _nearest(rows: dict[str, np.ndarray], cols: list[str], most: int) -> list[np.ndarray]:
+def _nearest(rows: dict[str, np.ndarray], cols: list[str], most: int, similarity: float) -> list[np.ndarray]:
     """The links within the groups of `rows` that connect nodes by the least distances."""
     none = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
     found = [none]
-    for left, right, apart in _pairs(rows, cols, most):
+    for left, right, apart in _pairs(rows, cols, most, similarity):
         a, b = rows["node"][left], rows["node"][right]
         own = a != b
         found.append(_forest(np.minimum(a, b)[own], np.maximum(a, b)[own], apart[own].astype(np.int64)))
@@ -253,9 +289,9 @@ def _balls(width: int, radius: int) -> list[tuple[int, int]]:
 
 def _met(nodes: DataFrame, cols: list[str], segments: int, radius: int, pairs: Callable[[dict[str, np.ndarray]], list[np.ndarray]], names: tuple[str, ...]) -> DataFrame:
     """(names: bigints): what `pairs` makes of groups of nodes that are at most `radius` bits apart in a segment of one of the
-    fingerprints `cols`; the tables of all these are united. A column `root` of `nodes` goes with them."""
+    fingerprints `cols`; the tables of all these are united. Columns `root` and SIGN of `nodes` go with them."""
     spark, cuts, voted = nodes.sparkSession, _cuts(segments) * len(cols), list(cols)
-    carried = voted + [c for c in nodes.columns if c == "root"]
+    carried = voted + [c for c in nodes.columns if c == "root" or c in SIGN]
     nodes = nodes.select("node", *carried)
     balls = {w: _balls(w, radius) for _, w in cuts}
 
@@ -319,8 +355,9 @@ def _met(nodes: DataFrame, cols: list[str], segments: int, radius: int, pairs: C
             count = len(whole) - cut
             if cut:
                 part = {n: c[:cut] for n, c in cols.items()}
-                for n in voted:
-                    part[n] = part[n].view(np.uint64)
+                for n in carried:
+                    if n != "root":
+                        part[n] = part[n].view(np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs(part)], list(names))
 
         for b in batches:
@@ -361,16 +398,17 @@ def near_links(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY, id_c
     Only a text that has the least of one of four hashes in common with another (as 99.8 % of the pairs at 0.8 have) can be
     similar to it, so only these take part. `_starred` links most members of a group of copies at the cost of a few links a
     text; the multi-index then looks for pairs of different components only, so that a large group emits none of its inner
-    pairs. A task's candidates are a least spanning forest of its near pairs and the nearest of each node. First each node's
-    nearest candidate is confirmed, then all that still lead from one component to another.
+    pairs. Of two near sketches, signatures rule out most pairs below the similarity before candidates are chosen: a task's
+    candidates are a least spanning forest of what remains and the nearest of each node. First each node's nearest candidate
+    is confirmed, then all that still lead from one component to another.
     """
     marks = stored(sketches(docs, k, id_col, text_col).where("doc_id is not null"), "sketches")
-    nodes = marks.groupBy(*SKETCH).agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), *[F.min(m).alias(m) for m in LEAST])
-    nodes = stored(nodes, "nodes")  # an id may come with several texts: such a node is entered once for each
+    nodes = marks.groupBy(*SKETCH).agg(F.min(F.struct("doc_id", *SIGN)).alias("of"), F.count("*").alias("n"), *[F.min(m).alias(m) for m in LEAST])
+    nodes = stored(nodes.select(F.col("of.doc_id").alias("node"), *SKETCH, *LEAST, *[F.col("of")[g].alias(g) for g in SIGN], "n"), "nodes")  # an id may come with several texts: such a node is entered once for each
     texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).where("node is not null")
     some, sure, roots = _starred(nodes, texts, k, similarity, apart)
     some = stored(some.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "candidates")
-    found = _met(some, SKETCH, segments, radius, lambda rows: _nearest(rows, SKETCH, apart), ("a", "b", "apart"))
+    found = _met(some, SKETCH, segments, radius, lambda rows: _nearest(rows, SKETCH, apart, similarity), ("a", "b", "apart"))
     pairs = stored(found.where("a <> b").groupBy("a", "b").agg(F.min("apart").alias("apart")), "pairs")
     sets = _sets_of(texts, pairs, k)
 
@@ -410,12 +448,12 @@ def _starred(nodes: DataFrame, texts: DataFrame, k: int, similarity: float, apar
     lead from one component to another the nearest between each two.
     """
     tagged = F.explode(F.array(*[F.xxhash64(F.lit(i), m) for i, m in enumerate(LEAST)])).alias("value")
-    each = nodes.select("node", *SKETCH, tagged)
+    each = nodes.select("node", *SKETCH, *SIGN, tagged)
     shared = each.groupBy("value").agg(F.min(F.struct("node", *SKETCH)).alias("centre"), F.count("*").alias("uses"))
     met = attach(each, stored(shared.where("uses > 1"), "shared"), "value", "uses").where("centre is not null")
     far = sum((F.bit_count(F.col(c).bitwiseXOR(F.col("centre")[c])) for c in SKETCH), F.lit(0))
-    met = stored(met.select("node", *SKETCH, F.col("centre.node").alias("a"), far.cast("bigint").alias("apart")), "met")
-    some = met.select("node", *SKETCH).distinct()
+    met = stored(met.select("node", *SKETCH, *SIGN, F.col("centre.node").alias("a"), far.cast("bigint").alias("apart")), "met")
+    some = met.select("node", *SKETCH, *SIGN).distinct()
     stars = met.where(F.col("apart") <= apart).where("a <> node").groupBy("a", F.col("node").alias("b")).agg(F.min("apart").alias("apart"))
     stars = stored(stars, "stars")
     sets = _sets_of(texts, stars, k)
