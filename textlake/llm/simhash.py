@@ -89,15 +89,15 @@ def fingerprints(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str
     return docs.select(id_col, text_col).mapInArrow(releasing(run), f"doc_id {dict(docs.dtypes)[id_col]}, fp bigint")
 
 
-#: Bins of a signature, of four bits each, 16 in a column.
-BINS = 256
+#: Bins of a signature (a power of two), of four bits each, 16 in a column.
+BINS = 128
 SKETCH, LEAST, SIGN = ["s0", "s1", "s2", "s3"], ["m0", "m1", "m2", "m3"], [f"g{i}" for i in range(BINS // 16)]
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """Of sorted distinct hashes, the least in each of BINS ranges as four bits: 0 for none, else 1 to 15. Two sets have as
     many of their used bins in common as their Jaccard similarity says, give or take (one-permutation hashing)."""
-    at = (shingles >> np.uint64(56)).astype(np.int64)
+    at = (shingles >> np.uint64(65 - BINS.bit_length())).astype(np.int64)
     first = np.flatnonzero(np.diff(at, prepend=-1))
     values = np.zeros(BINS, np.uint64)
     values[at[first]] = shingles[first] % np.uint64(15) + np.uint64(1)
