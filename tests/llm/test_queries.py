@@ -10,7 +10,7 @@ from textlake.llm import language_id
 from textlake.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = {"op4": "pages", "op7": "conversations", "op10": "embeddings"}
+TABLES = {"op4": "pages", "op7": "conversations", "op10": "embeddings", "op12": "embeddings"}
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -22,6 +22,8 @@ def test_query_covers_its_table(spark, name):
         assert out.count() == rows.select("conv_id").distinct().count() + 1
     elif name.startswith("op10"):
         assert out.select("query_id").distinct().count() == rows.where("vec_id % 20 = 0").count()
+    elif name.startswith("op12"):
+        assert out.select("anchor_id").distinct().count() <= rows.where("vec_id % 50 = 0").count()
     elif name.startswith("op3"):
         assert out.select("doc_id").distinct().count() == rows.select("doc_id").distinct().count()
     else:
