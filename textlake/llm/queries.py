@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import bpe, chat_format, exact_dedup, hard_negatives, language_id, mixing, simhash, suffix_dedup, token_files, url_filter, vector_search
+from textlake.llm import alignment, bpe, chat_format, exact_dedup, hard_negatives, language_id, minhash, mixing, simhash, suffix_dedup, token_files, url_filter, vector_search
 from textlake.llm.common import scratch
 
 
@@ -130,6 +130,10 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
@@ -156,6 +160,10 @@ QUALIFY rank <= 3
 """
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3, part=85, whole=100)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
@@ -167,6 +175,8 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_token_files": op9_token_files,
     "op10_vector_search": op10_vector_search,
+    "op11_alignment": op11_alignment,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_minhash": op13_minhash,
 }
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op4_url_filter": OP4_SQL, "op7_chat_format": OP7_SQL, "op12_hard_negatives": OP12_SQL}

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -31,21 +32,23 @@ from textlake.llm.characters import unsettled
 from textlake.llm.common import releasing
 from textlake.llm.wavelet import WaveletMatrix, build
 
-SHARD_TOKENS = 1 << 19
+SHARD_TOKENS, LONG = 1 << 19, 10_000
 SHARDS = "part int, seq int, n_docs bigint, n_tokens bigint, payload binary"
 #: Fixed value: how byte-level files cut a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Encoder:
-    """The ids that the tokenizers library gives for one byte-level file.
+    """The ids that the tokenizers library gives for one byte-level file; with `special` false, special tokens' strings are
+    plain text.
 
     The library takes about 1,000 CPU seconds for 1 GB. Where the file's ids are the ranks of its merges, texts of settled
     characters are merged by tiktoken over the file's own vocabulary, a quarter of the time for the same ids; all other texts
-    and files go to the library itself.
+    and files go to the library itself, and so do texts with LONG white-space characters in a row, for which tiktoken's cutter
+    tracks back until its stack is full.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -56,12 +59,15 @@ class Encoder:
         self.width = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length(), *[i.bit_length() for i in added])
         self.kind = np.dtype("<u2" if self.width <= 16 else "<u4")
         self.code = "H" if self.width <= 16 else "I"
-        self.special = [t.content for t in added.values()]
+        self.tokenizer.encode_special_tokens = not special
+        self.special = [t.content for t in added.values()] if special else []
+        self.long = re.compile(rf"\s{{{LONG}}}").search
         self.merged, self.unsettled = _merger(path), unsettled(False)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian integers of `kind`."""
         plain = self.merged and (text.isascii() or not self.unsettled(text)) and not any(s in text for s in self.special)
+        plain = plain and not (len(text) >= LONG and self.long(text))
         ids = self.merged(text) if plain else self.tokenizer.encode(text, add_special_tokens=False).ids
         return array(self.code, ids).tobytes()
 
