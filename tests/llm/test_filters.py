@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,7 +54,7 @@ CHATS = [
 def test_chats_read_back(spark):
     rows = spark.createDataFrame([(*c, "x", "y") for c in CHATS], "conv_id long, turn long, role string, text string, formatted string, turns string").repartition(3)
     out = chat_format.format_chats(rows).withColumn("turns", chat_format.parse(F.col("formatted")))
-    out = out.withColumn("loss", chat_format.loss_text(F.col("formatted"), F.col("loss_spans")))
+    out = out.withColumn("loss", chat_format.loss_text(F.col("segments")))
     got = {r.conv_id: r for r in out.collect()}
     assert set(got) == {c[0] for c in CHATS}
     for conv, r in got.items():
@@ -61,10 +62,26 @@ def test_chats_read_back(spark):
         assert [(t.role, t.text) for t in r.turns] == [x[2:] for x in own]
         assert r.loss == "".join(x[3] for x in own if x[2] == "assistant")
         assert r.formatted.count(chat_format.TEMPLATE["open"]) == len(own)
+        assert "".join(x.text for x in r.segments) == r.formatted
+        assert [r.formatted[x.start : x.start + x.length] for x in r.loss_spans] == [x.text for x in r.segments if x.loss]
     assert {k for k, r in got.items() if r.valid} == {1, 6} - {6}
     assert chat_format.format_chats(rows.limit(0)).count() == 0
 
 
+def test_work_follows_the_length_of_a_chat(spark):
+    n = 100_000
+    chats = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é<text> "), F.col("id").cast("string")).alias("text"))
+    out = chat_format.format_chats(chats)
+    out = out.select("valid", F.size(chat_format.parse(F.col("formatted"))).alias("turns"), chat_format.loss_text(F.col("segments")).alias("loss"), F.size("loss_spans").alias("spans"))
+    spark.range(1).count()
+    began = time.time()
+    (r,) = out.collect()
+    took = time.time() - began
+    assert r.valid and r.turns == n and r.spans == n // 2
+    assert r.loss == "".join(f"é<text> {i}" for i in range(1, n, 2))
+    assert took < 10
+
+
 def test_template_marks_must_be_escapable(spark):
     with pytest.raises(ValueError, match="control strings"):
         chat_format.format_chats(spark.createDataFrame(CHATS, "conv_id long, turn long, role string, text string"), {**chat_format.TEMPLATE, "close": "[END]"})

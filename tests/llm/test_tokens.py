@@ -110,3 +110,9 @@ def test_encoder_equals_the_library():
     lib, own = Tokenizer.from_file(BYTE), token_files.Encoder(BYTE)
     for t in texts(6, "<|endoftext|>"):
         assert np.frombuffer(own.encode(t), own.kind).tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", [" " * 1_200_000 + "x", "a\t\n" * 400_000, "x" * 300_000, "é" * 100_000, "word " * 400_000], ids=["blanks", "white", "letters", "accents", "words"])
+def test_long_texts_of_one_kind_are_encoded_as_by_the_library(text):
+    coder = token_files.encoder(BYTE)
+    assert np.frombuffer(coder.encode(text), coder.kind).tolist() == Tokenizer.from_file(BYTE).encode(text, add_special_tokens=False).ids

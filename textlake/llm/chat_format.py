@@ -13,8 +13,8 @@ Defined cases
     other, without loss; the conversation is then not valid.      null turn: before all others.
     equal turn numbers: in order of role, then text; repeated rows are repeated turns.
     null conv_id: one conversation with a null id.       empty table: empty result.        extra columns: ignored.
-    very long conversations: a conversation is one output row, so its turns meet in one row by definition; the fold appends one
-    character a turn, and places come from a running sum, so the work follows the length.
+    very long conversations: a conversation is one output row, so its turns meet in one row by definition; states are read in
+    stretches, places come from a running sum and masked text from the segments, so the work follows the length.
 """
 
 from __future__ import annotations
@@ -36,6 +36,10 @@ TEMPLATE: Mapping = {
 }
 
 
+#: Turns that the machine reads into one trace.
+STRETCH = 512
+
+
 def escape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
@@ -76,7 +80,8 @@ class _Machine:
         self.final = [self.state[r] for r in template["final"]]
 
     def run(self, roles: Column) -> Column:
-        """The states that the turns enter, one character each."""
+        """The states that the turns enter, one character each. A stretch of turns at a time: a trace that grows by one character
+        is copied each time, so each stretch has its own."""
 
         def step(acc: Column, role: Column) -> Column:
             to = F.coalesce(F.try_element_at(self.enter, role), F.lit(self.OTHER))
@@ -84,14 +89,23 @@ class _Machine:
             state = F.when(accepted, to).otherwise(F.upper(to))
             return F.struct(state.alias("state"), F.concat(acc["trace"], state).alias("trace"))
 
-        start = F.struct(F.lit(self.START).alias("state"), F.lit("").cast("string").alias("trace"))
-        return F.aggregate(roles, start, step)["trace"]
+        def stretch(acc: Column, own: Column) -> Column:
+            start = F.struct(acc["state"].alias("state"), F.lit("").cast("string").alias("trace"))
+            done = lambda x: F.struct(x["state"].alias("state"), F.array_append(acc["traces"], x["trace"]).alias("traces"))
+            return F.element_at(F.transform(F.array(F.aggregate(own, start, step)), done), 1)
+
+        places = F.sequence(F.lit(0), F.floor(F.size(roles) / STRETCH).cast("int"))
+        start = F.struct(F.lit(self.START).alias("state"), F.array().cast("array<string>").alias("traces"))
+        stretches = F.transform(places, lambda i: F.slice(roles, i * STRETCH + 1, STRETCH))
+        return F.array_join(F.aggregate(stretches, start, stretch)["traces"], "")
 
 
 def format_chats(conversations: DataFrame, template: Mapping = TEMPLATE) -> DataFrame:
-    """One row per conversation: conv_id, valid, formatted, loss_spans array<struct<start, length>>.
+    """One row per conversation: conv_id, valid, formatted, segments array<struct<text, loss>>, loss_spans
+    array<struct<start, length>>.
 
-    `start` counts code points of `formatted` from 0.
+    The segments' texts, joined, are `formatted`; those with `loss` are trained on. `start` counts code points of
+    `formatted` from 0.
     """
     _check(template)
     machine = _Machine(template)
@@ -112,17 +126,24 @@ def format_chats(conversations: DataFrame, template: Mapping = TEMPLATE) -> Data
     segments = F.transform(
         F.arrays_zip(F.col("turns"), F.split("trace", "").alias("states")),
         lambda x: F.struct(
-            F.concat(x["turns"]["before"], x["turns"]["inside"], F.lit(template["close"])).alias("text"),
-            x["states"].isin(*machine.loss).alias("loss"),
-            x["turns"]["start"].cast("int").alias("start"),
-            F.length(x["turns"]["inside"]).alias("length"),
+            x["turns"]["before"].alias("before"), x["turns"]["inside"].alias("inside"), x["states"].isin(*machine.loss).alias("loss"),
+            x["turns"]["start"].cast("int").alias("start"), F.length(x["turns"]["inside"]).alias("length"),
         ),
+    )
+    chats = chats.select("conv_id", F.substring("trace", -1, 1).isin(*machine.final).alias("valid"), segments.alias("turns"))
+    spans = F.transform(F.filter("turns", lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
+    part = lambda text, loss: F.struct(text.alias("text"), F.lit(loss).alias("loss"))
+    close = F.lit(template["close"])
+    cut = F.flatten(
+        F.transform(
+            "turns",
+            lambda s: F.when(s["loss"], F.array(part(s["before"], False), part(s["inside"], True), part(close, False))).otherwise(
+                F.array(part(F.concat(s["before"], s["inside"], close), False))
+            ),
+        )
     )
-    chats = chats.select("conv_id", F.substring("trace", -1, 1).isin(*machine.final).alias("valid"), segments.alias("segments"))
-    spans = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
-    return chats.select(
-        "conv_id", "valid", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), spans.alias("loss_spans")
-    )
+    chats = chats.select("conv_id", "valid", cut.alias("segments"), spans.alias("loss_spans"))
+    return chats.select("conv_id", "valid", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments", "loss_spans")
 
 
 def parse(formatted: Column, template: Mapping = TEMPLATE) -> Column:
@@ -142,9 +163,9 @@ def parse(formatted: Column, template: Mapping = TEMPLATE) -> Column:
     return F.transform(chunks, turn)
 
 
-def loss_text(formatted: Column, spans: Column) -> Column:
+def loss_text(segments: Column) -> Column:
     """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["length"]))), "")
+    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
 
 
 def _quoted(text: str) -> str:

@@ -68,7 +68,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     out = chat_format.format_chats(chats)
     out = out.withColumn("turns", chat_format.parse(F.col("formatted")))
-    out = out.withColumn("loss", chat_format.loss_text(F.col("formatted"), F.col("loss_spans")))
+    out = out.withColumn("loss", chat_format.loss_text(F.col("segments")))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id",
