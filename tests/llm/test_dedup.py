@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textlake.llm import exact_dedup, simhash
+from textlake.llm import shingles as sets_of
 from textlake.llm.common import attach, build_filter, probe_filter
 from textlake.llm.components import components
 
@@ -216,7 +217,7 @@ def shingles(text):
 
 def test_near_links_against_all_pairs(spark, monkeypatch):
     """Texts at every similarity around the threshold, by scattered and by contiguous edits, and one large group of copies."""
-    monkeypatch.setattr(simhash, "HUB", 8)
+    monkeypatch.setattr(sets_of, "CROWD", 40)
     rng = random.Random(13)
     words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(3000)]
     texts = []

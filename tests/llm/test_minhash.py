@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from textlake.llm import minhash
+from textlake.llm import minhash, shingles
 
 
 def naive(rows, k=3, part=85, whole=100):
@@ -64,8 +64,8 @@ def texts(seed):
 def test_components_equal_all_pairs(spark, monkeypatch, cut):
     if cut:  # long posting lists and large clusters in chunks
         monkeypatch.setattr(minhash, "CHUNK", 20)
-        monkeypatch.setattr(minhash, "CROWD", 30)
-        monkeypatch.setattr(minhash, "CLUSTER", 2000)
+        monkeypatch.setattr(shingles, "CROWD", 30)
+        monkeypatch.setattr(shingles, "CLUSTER", 2000)
     rows = [(i * 3 if i % 40 else None, t) for i, t in enumerate(texts(4), 1)]
     rows += [rows[5], rows[7], (rows[9][0], "another text of the same id which is alone in the table")]
     table = spark.createDataFrame([(d, t, 1, b"", 0) for d, t in rows], "doc_id long, text string, node int, digest binary, uses int").repartition(3)

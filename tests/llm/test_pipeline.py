@@ -54,6 +54,6 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
 
 
 def test_every_operator_is_registered():
-    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 11))
+    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "exact dedup", "SimHash near-dedup", "mixing", "BPE"]

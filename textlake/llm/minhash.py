@@ -32,20 +32,18 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm.common import attach, build_filter, own_prefix, probe_filter, releasing, stored
+from textlake.llm.common import attach, releasing, stored
 from textlake.llm.components import components
-from textlake.llm.simhash import _star, shingle_hashes
+from textlake.llm.shingles import by_group, chunked, confirmed, digest_of, lookup, shingle_set, star, walk
 
 COORDINATES, MATCHES = 64, 32
-#: Sets of one group of a posting list; shingles and sets of one group of a cluster; shingles hashed, pairs compared at once.
-CHUNK, CLUSTER, CROWD, PIECE, PAIRS = 4096, 1 << 20, 8192, 2048, 1 << 16
+#: Sets of one group of a posting list; shingles hashed, pairs compared at once; groups up to SMALL sets are compared pair by pair.
+CHUNK, PIECE, PAIRS, SMALL = 4096, 2048, 1 << 16, 32
 #: Bits of the filter for elements that several classes have: 16 MB, whatever their number; more elements only let more through.
 FILTER = 1 << 27
-#: Rows gathered before groups are compared; groups up to SMALL sets are compared pair by pair.
-GATHER, SMALL = 1 << 14, 32
 
 
 def oversight(similarity: float, coordinates: int = COORDINATES, matches: int = MATCHES) -> float:
@@ -81,25 +79,9 @@ def signature(hashes: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
     return best
 
 
-def _digest(shingles: np.ndarray) -> bytes:
-    from xxhash import xxh3_128_digest
-
-    return xxh3_128_digest(shingles.astype("<u8").tobytes())
-
-
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's k-word shingles."""
-    return np.unique(shingle_hashes(text, k))
-
-
 # --- signatures and classes ----------------------------------------------------------------------------------------
 
 
-def _lookup(id_col: str, text_col: str) -> Column:
-    """A value by which a row is found again: its id, else a hash of its text."""
-    return F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(text_col))
-
-
 def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, at, n_shingles, digest of the set (null for the empty set), signature, and 16 bits of each coordinate."""
 
@@ -110,13 +92,13 @@ def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str =
                 own = shingle_set(t.as_py(), k)
                 least = signature(own) if len(own) else None
                 n.append(len(own))
-                digest.append(_digest(own) if len(own) else None)
+                digest.append(digest_of(own) if len(own) else None)
                 long.append(None if least is None else least.astype("<u8").tobytes())
                 short.append(None if least is None else least.astype("<u2").tobytes())
             cols = [pa.array(n, pa.int64()), *[pa.array(x, pa.binary()) for x in (digest, long, short)]]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "at", "n_shingles", "digest", "signature", "short"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), _lookup(id_col, text_col).alias("at"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), lookup(id_col, text_col).alias("at"), F.col(text_col).alias("text"))
     return rows.mapInArrow(releasing(run), "doc_id bigint, at bigint, n_shingles bigint, digest binary, signature binary, short binary")
 
 
@@ -165,48 +147,6 @@ def posted(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
 # --- groups --------------------------------------------------------------------------------------------------------
 
 
-def _chunked(rows: DataFrame, key: str) -> DataFrame:
-    """`rows` (node, key, parts and others) with o and p: the pairs of chunks of its key that a row belongs to, as partitions
-    sorted by (key, o, p). With one part there is one group; else each two parts are a group."""
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.where("parts = 1 or own <> other")
-    rows = rows.withColumns({"o": F.least("own", "other"), "p": F.greatest("own", "other")}).drop("own", "other", "parts")
-    return rows.repartition(key, "o", "p").sortWithinPartitions(key, "o", "p")
-
-
-def _by_group(key: str, link: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray]], weight: Callable[[pa.RecordBatch], int]) -> Callable:
-    """For mapInArrow: `link(table, starts of groups)` on runs of whole groups, as edges (a, b)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
-        held = 0
-
-        def settle(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal kept, held
-            whole = pa.Table.from_batches(kept).combine_chunks()
-            of = np.column_stack([whole[n].to_numpy() for n in (key, "o", "p")])
-            new = np.concatenate([[True], (np.diff(of, axis=0) != 0).any(axis=1)])
-            starts = np.flatnonzero(new)
-            cut = len(whole) if last else int(starts[-1])  # the last group may go on
-            kept = whole.slice(cut).to_batches() if cut < len(whole) else []
-            held = 0
-            if cut:
-                a, b = link(whole.slice(0, cut), starts[starts < cut])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        for b in batches:
-            if b.num_rows:
-                kept.append(b)
-                held += weight(b)
-                if held >= GATHER:
-                    yield from settle(False)
-        if kept:
-            yield from settle(True)
-
-    return releasing(run)
-
-
 def _colliding(matches: int, least: float) -> Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """Edges that connect the sets of each group with enough collisions, of sizes that the similarity allows."""
 
@@ -232,70 +172,14 @@ def _colliding(matches: int, least: float) -> Callable[[pa.Table, np.ndarray], t
             a.append(node[x[hit]])
             b.append(node[y[hit]])
         for g in np.flatnonzero(count > SMALL):
-            for x, y in _walk(np.arange(starts[g], ends[g]), near):
+            for x, y in walk(np.arange(starts[g], ends[g]), near):
                 a.append(np.full(len(y), node[x]))
                 b.append(node[y])
-        return _star(np.concatenate(a), np.concatenate(b))
+        return star(np.concatenate(a), np.concatenate(b))
 
     return link
 
 
-def _walk(members: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-    """(member, those newly reached from it), over all members: each meets only what has not been reached."""
-    rest = members
-    while len(rest):
-        reached, rest = [int(rest[0])], rest[1:]
-        while reached and len(rest):
-            x = reached.pop()
-            hit = near(x, rest)
-            if hit.any():
-                yield x, rest[hit]
-                reached += rest[hit].tolist()
-                rest = rest[~hit]
-
-
-def _similar(part: int, whole: int) -> Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """Edges that connect the sets of each group whose intersection is `part` of `whole` of their union or more."""
-
-    def link(table: pa.Table, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        node = table["node"].to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in table["shingles"]]
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for first, end in zip(starts.tolist(), [*starts[1:].tolist(), len(node)], strict=True):
-            if end - first > 1:
-                for x, y in _family(sets[first:end], part, whole):
-                    a.append(np.full(len(y), node[first + x]))
-                    b.append(node[first + y])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return a[a != b], b[a != b]  # a node may have come twice, by rows of one id
-
-    return link
-
-
-def _family(sets: list[np.ndarray], part: int, whole: int) -> Iterator[tuple[int, np.ndarray]]:
-    """`_walk` over sets; intersections are counted by marking the one set's values among all values of the group."""
-    size = np.array([len(s) for s in sets])
-    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum(size)
-    own = [flat[z - n : z] for n, z in zip(size, ends, strict=True)]
-    mark = np.zeros(len(values), bool)
-    rest, kept = np.arange(len(sets)), flat
-    state = {"rest": rest, "flat": kept}
-
-    def near(x: int, others: np.ndarray) -> np.ndarray:
-        if len(others) != len(state["rest"]):  # the values of those that are left, in order
-            left = np.isin(state["rest"], others, assume_unique=True)
-            state["flat"] = state["flat"][np.repeat(left, size[state["rest"]])]
-            state["rest"] = others
-        mark[own[x]] = True
-        n = size[others]
-        common = np.add.reduceat(mark[state["flat"]], np.cumsum(n) - n, dtype=np.int64)
-        mark[own[x]] = False
-        return whole * common >= part * (n + size[x] - common)
-
-    yield from _walk(rest, near)
-
-
 # --- the operator --------------------------------------------------------------------------------------------------
 
 
@@ -308,8 +192,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, part: int = 85, whole: int = 10
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # settled once it is written
 
     rows = posted(classes, matches).join(classes.select("node", "n_shingles", "short"), "node")
-    link = _by_group("element", _colliding(matches, part / whole), lambda b: b.num_rows)
-    edges = stored(_chunked(rows, "element").mapInArrow(link, "a bigint, b bigint").distinct(), "candidates")
+    link = by_group("element", _colliding(matches, part / whole), lambda b: b.num_rows)
+    edges = stored(chunked(rows, "element").mapInArrow(link, "a bigint, b bigint").distinct(), "candidates")
     found = stored(confirmed(docs, classes, components(edges), k, part, whole, id_col, text_col), "links")
 
     nodes = classes.select("node", "digest", "least", "uses").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -318,28 +202,3 @@ def near_duplicates(docs: DataFrame, k: int = 3, part: int = 85, whole: int = 10
     out = attach(marks.select("doc_id", "n_shingles", "digest"), nodes, "digest", "uses")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
-
-
-def confirmed(docs: DataFrame, classes: DataFrame, clusters: DataFrame, k: int, part: int, whole: int, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) between the nodes of each cluster (node, root) that connect those similar by their full sets."""
-    members = clusters.join(classes.select("node", "at", "digest", "n_shingles"), "node")
-    members = stored(members, "clustered")
-    wanted = build_filter(members, F.xxhash64("at"))
-    p = own_prefix(docs)
-    rows = docs.select(F.col(text_col).alias("text"), _lookup(id_col, text_col).alias("at"))
-    rows = probe_filter(rows, F.xxhash64("at"), wanted, p + "hit").where(p + "hit")
-    rows = rows.join(members.select("at", "node", "root", "digest"), "at").select("node", "root", "digest", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t.as_py(), k) for t in b.column(3)]
-            same = [_digest(s) == d.as_py() for s, d in zip(sets, b.column(2), strict=True)]  # an id may come with several texts
-            cols = [b.column(0), b.column(1), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["node", "root", "shingles"]).filter(pa.array(same, pa.bool_()))
-
-    sets = rows.mapInArrow(releasing(run), "node bigint, root bigint, shingles binary")
-    sizes = members.groupBy("root").agg(F.sum("n_shingles").alias("weight"), F.count("*").alias("uses"))
-    parts = F.greatest(F.ceil(F.col("weight") / CLUSTER), F.ceil(F.col("uses") / CROWD)).cast("int")
-    sets = attach(sets, stored(sizes.select("root", parts.alias("parts"), "uses"), "sizes"), "root", "uses")
-    link = _by_group("root", _similar(part, whole), lambda b: 1 + b.nbytes // 512)
-    return _chunked(sets, "root").mapInArrow(link, "a bigint, b bigint")

@@ -12,8 +12,8 @@ verified by complete distances.
 * A crowded value is split into chunks of its table and of its visitors; each pair of chunks is a group of its own.
 * A task compares arrays and emits, for what it has linked, one edge per node (a star or a forest), never all pairs of a group.
 
-`deduplicate` judges by shingle sets: fingerprints only find candidates there, and each link is confirmed by the Jaccard
-similarity of both texts' sets.
+`deduplicate` judges by shingle sets: fingerprints only find clusters of candidates there, within which links are confirmed by
+the Jaccard similarity of the full sets.
 
 Fingerprints are made in Arrow batches (the hash is XXH64 over UTF-8 shingles); everything else is joins.
 
@@ -26,7 +26,7 @@ Defined cases
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -36,30 +36,15 @@ from pyspark.sql import functions as F
 
 from textlake.llm.common import attach, build_filter, own_prefix, probe_filter, releasing, stored
 from textlake.llm.components import components
+from textlake.llm.shingles import confirmed, digest_of, shingle_hashes, shingle_set, star
 
-#: Table rows of one group; shingles counted at once; candidate pairs compared at once.
+#: Table rows of one group; hashes counted at once; candidate pairs compared at once.
 CHUNK, PIECE, PAIRS = 4096, 1 << 16, 1 << 21
 
 
 # --- fingerprints --------------------------------------------------------------------------------------------------
 
 
-def shingle_hashes(text: str | None, k: int) -> np.ndarray:
-    """XXH64 (seed 42) of each k-word shingle, repeats included; words are runs without ASCII white space, A-Z lower-cased."""
-    from xxhash import xxh64_intdigest
-
-    found = (text or "").encode().lower().split()  # bytes: ASCII only
-    if not found:
-        return np.zeros(0, np.uint64)
-    line = b" ".join(found)
-    if len(found) <= k:
-        return np.array([xxh64_intdigest(line, 42)], np.uint64)
-    lengths = np.fromiter(map(len, found), np.int64, len(found))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths)[: len(found) - k + 1].tolist()
-    return np.array([xxh64_intdigest(line[a:z], 42) for a, z in zip(starts, ends[k - 1 :].tolist(), strict=True)], np.uint64)
-
-
 def vote(hashes: np.ndarray) -> int:
     """Each bit is set if it is set in over half of the hashes; as a signed integer."""
     total = np.zeros(64, np.int64)
@@ -89,55 +74,26 @@ def fingerprints(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str
     return docs.select(id_col, text_col).mapInArrow(releasing(run), f"doc_id {dict(docs.dtypes)[id_col]}, fp bigint")
 
 
-#: Bins of a signature (a power of two), of four bits each, 16 in a column.
-BINS = 128
-SKETCH, LEAST, SIGN = ["s0", "s1", "s2", "s3"], ["m0", "m1", "m2", "m3"], [f"g{i}" for i in range(BINS // 16)]
-
-
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """Of sorted distinct hashes, the least in each of BINS ranges as four bits: 0 for none, else 1 to 15. Two sets have as
-    many of their used bins in common as their Jaccard similarity says, give or take (one-permutation hashing)."""
-    at = (shingles >> np.uint64(65 - BINS.bit_length())).astype(np.int64)
-    first = np.flatnonzero(np.diff(at, prepend=-1))
-    values = np.zeros(BINS, np.uint64)
-    values[at[first]] = shingles[first] % np.uint64(15) + np.uint64(1)
-    return np.bitwise_or.reduce(values.reshape(-1, 16) << np.arange(0, 64, 4, dtype=np.uint64), axis=1).view(np.int64)
-
-
-def _used(x: np.ndarray) -> np.ndarray:
-    """How many of the 16 groups of four bits are not zero."""
-    x = x | x >> np.uint64(1)
-    return np.bitwise_count((x | x >> np.uint64(2)) & np.uint64(0x1111111111111111)).astype(np.int64)
-
-
-def _alike(rows: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether the pairs may have the similarity: their bins differ by no more than three standard deviations above what it
-    gives. Bins show a part of the united set, each element once, so the deviation is a hypergeometric one."""
-    used, apart = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
-    for c in SIGN:
-        x, y = rows[c][left], rows[c][right]
-        used += _used(x | y)
-        apart += _used(x ^ y)
-    united = -BINS * np.log1p(-np.minimum(used, BINS - 0.01) / BINS)
-    spread = similarity * (1 - similarity) * used * (1 - used / np.maximum(united, used + 1e-9))
-    return apart <= (1 - similarity) * used + 3 * np.sqrt(spread) + 1
+SKETCH, LEAST = ["s0", "s1", "s2", "s3"], ["m0", "m1", "m2", "m3"]
 
 
 def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row, of its distinct k-word shingles: doc_id, s0 to s3 (256 bits), m0 to m3 (the least of four hashes) and a signature."""
+    """Per row, of its distinct k-word shingles: doc_id, n_shingles, digest, s0 to s3 (256 bits) and m0 to m3 (the least of four
+    hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            sets = [shingle_set(t.as_py(), k) for t in b.column(1)]
             rows = []
-            for t in b.column(1):
-                shingles = np.unique(shingle_hashes(t.as_py(), k))
-                mixed = [_mixed(shingles, i) for i in range(4)]
-                rows.append([*map(vote, mixed), *[int(x.min(initial=_FULL).view(np.int64)) for x in mixed], *signature(shingles).tolist()])
+            for own in sets:
+                mixed = [_mixed(own, i) for i in range(4)]
+                rows.append([*map(vote, mixed), *[int(x.min(initial=_FULL).view(np.int64)) for x in mixed]])
             cols = np.array(rows, np.int64).reshape(-1, len(names)).T
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in cols]], ["doc_id", *names])
+            first = [b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([digest_of(x) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*first, *[pa.array(c) for c in cols]], ["doc_id", "n_shingles", "digest", *names])
 
-    names = SKETCH + LEAST + SIGN
-    schema = ", ".join([f"doc_id {dict(docs.dtypes)[id_col]}", *[f"{c} bigint" for c in names]])
+    names = SKETCH + LEAST
+    schema = ", ".join([f"doc_id {dict(docs.dtypes)[id_col]}, n_shingles bigint, digest binary", *[f"{c} bigint" for c in names]])
     return docs.select(id_col, text_col).mapInArrow(releasing(run), schema)
 
 
@@ -171,27 +127,9 @@ class _Values:
         return (self.bits[at >> 3] >> (at & 7) & 1).astype(bool)
 
 
-def _star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For linked nodes, (node, least node that it is linked to by any path), without the least nodes themselves."""
-    nodes, back = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = back[: len(a)], back[len(a) :]
-    label = np.arange(len(nodes))
-    while len(x):
-        low = np.minimum(label[x], label[y])
-        np.minimum.at(label, label[x], low)
-        np.minimum.at(label, label[y], low)
-        while (label != label[label]).any():
-            label = label[label]
-        apart = label[x] != label[y]
-        x, y = x[apart], y[apart]
-    own = label != np.arange(len(nodes))
-    return nodes[own], nodes[label[own]]
-
-
-def _pairs(rows: dict[str, np.ndarray], cols: list[str], most: int, similarity: float | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(places, places, bits apart) of the pairs within the groups of `rows` (sorted by group) that differ in at most `most`
-    bits of `cols` together, some at a time; with a column `root`, only pairs of different roots; with a similarity, only pairs
-    whose signatures allow it."""
+def _pairs(rows: dict[str, np.ndarray], cols: list[str], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, places) of the pairs within the groups of `rows` (sorted by group) that differ in at most `most` bits of `cols`
+    together, some at a time; with a column `root`, only pairs of different roots."""
     group = np.flatnonzero(np.concatenate([[True], (np.diff(rows["key"]) != 0) | (np.diff(rows["o"]) != 0) | (np.diff(rows["p"]) != 0)]))
     of = np.repeat(np.arange(len(group)), np.diff(np.append(group, len(rows["key"]))))
     table, visit = np.flatnonzero(rows["kind"] == 0), np.flatnonzero(rows["kind"] == 1)
@@ -214,63 +152,15 @@ def _pairs(rows: dict[str, np.ndarray], cols: list[str], most: int, similarity:
             total += np.bitwise_count(rows[c][left] ^ rows[c][right])
             near = total <= most
             left, right, total = left[near], right[near], total[near]
-        if similarity is not None:
-            may = _alike(rows, left, right, similarity)
-            left, right, total = left[may], right[may], total[may]
-        yield left, right, total
+        yield left, right
         at = end
 
 
 def _linked(rows: dict[str, np.ndarray], cols: list[str], most: int) -> list[np.ndarray]:
     """Links within the groups of `rows`, as stars."""
-    found = [_star(rows["node"][left], rows["node"][right]) for left, right, _ in _pairs(rows, cols, most)]
+    found = [star(rows["node"][left], rows["node"][right]) for left, right in _pairs(rows, cols, most)]
     none = np.zeros(0, np.int64)
-    return list(_star(*(np.concatenate([none, *(x[i] for x in found)]) for i in range(2))))
-
-
-def _forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> list[np.ndarray]:
-    """Of links (node, node, bits apart), those of a least spanning forest, and the NEAREST of each node."""
-    order = np.lexsort((b, a, apart))
-    a, b, apart = a[order], b[order], apart[order]
-    new = np.concatenate([[True], (np.diff(a) != 0) | (np.diff(b) != 0)])[: len(a)]  # a pair may meet in several tables
-    a, b, apart = a[new], b[new], apart[new]
-    nodes, back = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y, at = back[: len(a)], back[len(a) :], np.arange(len(a))
-    label, taken = np.arange(len(nodes)), [np.zeros(0, np.int64)]
-    while True:
-        other = label[x] != label[y]
-        x, y, at = x[other], y[other], at[other]
-        if not len(x):
-            break
-        best = np.full(len(nodes), len(a))
-        np.minimum.at(best, label[x], at)
-        np.minimum.at(best, label[y], at)
-        won = np.unique(best[best < len(a)])
-        taken.append(won)
-        u, v = back[won], back[len(a) + won]
-        while (label[u] != label[v]).any():
-            low = np.minimum(label[u], label[v])
-            np.minimum.at(label, label[u], low)
-            np.minimum.at(label, label[v], low)
-            while (label != label[label]).any():
-                label = label[label]
-    ends, at = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
-    by = np.lexsort((at, ends))  # links are in order of distance
-    first = np.flatnonzero(np.concatenate([[True], np.diff(ends[by]) != 0])) if len(by) else by
-    place = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
-    keep = np.unique(np.concatenate([*taken, at[by][place < NEAREST]]))
-    return [a[keep], b[keep], apart[keep]]
-
-
-def _nearest(rows: dict[str, np.ndarray], cols: list[str], most: int, similarity: float) -> list[np.ndarray]:
-    """The links within the groups of `rows` that connect nodes by the least distances."""
-    none = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
-    found = [none]
-    for left, right, apart in _pairs(rows, cols, most, similarity):
-        a, b = rows["node"][left], rows["node"][right]
-        own = a != b
-        found.append(_forest(np.minimum(a, b)[own], np.maximum(a, b)[own], apart[own].astype(np.int64)))
-    return _forest(*(np.concatenate([f[i] for f in found]) for i in range(3)))
+    return list(star(*(np.concatenate([none, *(x[i] for x in found)]) for i in range(2))))
 
 
 def links(nodes: DataFrame, distance: int, segments: int) -> DataFrame:
@@ -278,7 +168,7 @@ def links(nodes: DataFrame, distance: int, segments: int) -> DataFrame:
     (unique), fp bigint."""
     if segments < 3 or not 0 <= distance <= 2 * segments - 1:
         raise ValueError("3 segments at least, a distance of 2 * segments - 1 at most")
-    return _met(nodes, ["fp"], segments, 1, lambda rows: _linked(rows, ["fp"], distance), ("a", "b"))
+    return _met(nodes, ["fp"], segments, 1, distance)
 
 
 def _balls(width: int, radius: int) -> list[tuple[int, int]]:
@@ -287,11 +177,11 @@ def _balls(width: int, radius: int) -> list[tuple[int, int]]:
     return [(c[-1], sum(1 << i for i in c)) for c in ways]
 
 
-def _met(nodes: DataFrame, cols: list[str], segments: int, radius: int, pairs: Callable[[dict[str, np.ndarray]], list[np.ndarray]], names: tuple[str, ...]) -> DataFrame:
-    """(names: bigints): what `pairs` makes of groups of nodes that are at most `radius` bits apart in a segment of one of the
-    fingerprints `cols`; the tables of all these are united. Columns `root` and SIGN of `nodes` go with them."""
+def _met(nodes: DataFrame, cols: list[str], segments: int, radius: int, most: int) -> DataFrame:
+    """Edges (a, b) that connect the nodes that are at most `radius` bits apart in a segment of one of the fingerprints `cols` and at
+    most `most` in all of them; the tables of all these are united. With a column `root`, only nodes of different roots."""
     spark, cuts, voted = nodes.sparkSession, _cuts(segments) * len(cols), list(cols)
-    carried = voted + [c for c in nodes.columns if c == "root" or c in SIGN]
+    carried = voted + [c for c in nodes.columns if c == "root"]
     nodes = nodes.select("node", *carried)
     balls = {w: _balls(w, radius) for _, w in cuts}
 
@@ -358,7 +248,7 @@ def _met(nodes: DataFrame, cols: list[str], segments: int, radius: int, pairs: C
                 for n in carried:
                     if n != "root":
                         part[n] = part[n].view(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs(part)], list(names))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _linked(part, voted, most)], ["a", "b"])
 
         for b in batches:
             kept.append(b)
@@ -368,7 +258,7 @@ def _met(nodes: DataFrame, cols: list[str], segments: int, radius: int, pairs: C
         if kept:
             yield from settle(True)
 
-    return rows.mapInArrow(releasing(compare), ", ".join(f"{n} bigint" for n in names))
+    return rows.mapInArrow(releasing(compare), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, distance: int = 4, segments: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -386,138 +276,45 @@ def near_duplicates(docs: DataFrame, k: int = 5, distance: int = 4, segments: in
 
 #: A Jaccard similarity J of shingle sets is a cosine of about 2J / (1 + J): at 0.8, an angle of 27 degrees, or 39 of 256
 #: sketch bits, give or take 6: APART leaves three standard deviations. Each of four fingerprints has SEGMENTS segments, which
-#: meet within RADIUS bits: if each bit differs for itself, 99.5 % of the pairs at 0.8 meet in one of the twelve. Copies of a
-#: set that are joined with HUB links or more are spread. NEAREST candidates of a node are kept beside the forest.
-SIMILARITY, SEGMENTS, RADIUS, APART, HUB, NEAREST = 0.8, 3, 2, 58, 256, 8
+#: meet within RADIUS bits: if each bit differs for itself, 99.5 % of the pairs at 0.8 meet in one of the twelve.
+PART, WHOLE, SEGMENTS, RADIUS, APART = 80, 100, 3, 2, 58
 
 
-def near_links(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", segments: int = SEGMENTS, radius: int = RADIUS, apart: int = APART) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(marks, classes, links): sketches of rows with an id; one class per sketch (node: its least id, n: its rows); and
-    links (a, b) between nodes that connect those whose sets of k-word shingles have the similarity.
+def near_links(docs: DataFrame, k: int = 5, part: int = PART, whole: int = WHOLE, id_col: str = "doc_id", text_col: str = "text", segments: int = SEGMENTS, radius: int = RADIUS, apart: int = APART) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(marks, classes, links): sketches of rows with an id; one class per set of k-word shingles (node: its least id, uses: its
+    rows); and links (a, b) between nodes that connect those whose sets have a similarity of part / whole.
 
     Only a text that has the least of one of four hashes in common with another (as 99.8 % of the pairs at 0.8 have) can be
-    similar to it, so only these take part. `_starred` links most members of a group of copies at the cost of a few links a
-    text; the multi-index then looks for pairs of different components only, so that a large group emits none of its inner
-    pairs. Of two near sketches, signatures rule out most pairs below the similarity before candidates are chosen: a task's
-    candidates are a least spanning forest of what remains and the nearest of each node. First each node's nearest candidate
-    is confirmed, then all that still lead from one component to another.
+    similar to it, so only these take part. Each is a candidate for the least text that shares a hash with it, which puts most of
+    a group of copies together at the cost of four candidates a text; the multi-index then looks for near sketches of
+    different groups only. What candidates connect is a cluster, in which all pairs are judged by their full sets (`confirmed`): no
+    number of candidates is kept or dropped.
     """
     marks = stored(sketches(docs, k, id_col, text_col).where("doc_id is not null"), "sketches")
-    nodes = marks.groupBy(*SKETCH).agg(F.min(F.struct("doc_id", *SIGN)).alias("of"), F.count("*").alias("n"), *[F.min(m).alias(m) for m in LEAST])
-    nodes = stored(nodes.select(F.col("of.doc_id").alias("node"), *SKETCH, *LEAST, *[F.col("of")[g].alias(g) for g in SIGN], "n"), "nodes")  # an id may come with several texts: such a node is entered once for each
-    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).where("node is not null")
-    some, sure, roots = _starred(nodes, texts, k, similarity, apart)
-    some = stored(some.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "candidates")
-    found = _met(some, SKETCH, segments, radius, lambda rows: _nearest(rows, SKETCH, apart, similarity), ("a", "b", "apart"))
-    pairs = stored(found.where("a <> b").groupBy("a", "b").agg(F.min("apart").alias("apart")), "pairs")
-    sets = _sets_of(texts, pairs, k)
-
-    first = stored(_best(pairs), "first")
-    sure = stored(sure.unionByName(confirmed(first, sets, similarity)), "sure")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    roots = stored(components(sure).join(ends.groupBy("node").agg(F.count("*").alias("links")), "node"), "roots")
-    rest = _crossing(pairs.join(first, ["a", "b"], "left_anti"), roots).select("a", "b")
-    return marks, nodes, sure.unionByName(stored(confirmed(stored(rest, "rest"), sets, similarity), "more"))
-
-
-def _best(pairs: DataFrame) -> DataFrame:
-    """(a, b): of pairs (a, b, apart), the nearest of each node."""
-    both = pairs.select("a", F.struct("apart", "a", "b").alias("best")).union(pairs.select("b", F.struct("apart", "a", "b")))
-    return both.groupBy("a").agg(F.min("best").alias("best")).select("best.a", "best.b").distinct()
-
-
-def _crossing(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """`pairs` whose ends have different roots, with these (root_a, root_b). `roots`: node, root, links (how many pairs)."""
-    for end in ("a", "b"):
-        pairs = attach(pairs, roots.select(F.col("node").alias(end), F.col("root").alias("root_" + end), "links"), end, "links")
-    pairs = pairs.withColumns({"root_" + end: F.coalesce("root_" + end, end) for end in ("a", "b")})
-    return pairs.where("root_a <> root_b")
-
-
-def _sets_of(texts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """The shingle sets of the texts that occur in `pairs` (and of a few that a filter lets through)."""
-    wanted = build_filter(pairs.select("a").union(pairs.select("b")), F.xxhash64("a"))
-    return stored(shingle_sets(probe_filter(texts, F.xxhash64("node"), wanted, "hit").where("hit"), k), "sets")
-
-
-def _starred(nodes: DataFrame, texts: DataFrame, k: int, similarity: float, apart: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(candidates, links, roots): the nodes that share a least hash with another; confirmed links (a, b) of nodes to the least
-    node that shares a hash with them; and the components that these make (node, root).
-
-    A node has four hashes and so four such links at most. The nearest of each node is confirmed first, and of those that then
-    lead from one component to another the nearest between each two.
-    """
+    classes = marks.groupBy("digest", "n_shingles", *SKETCH, *LEAST).agg(F.min("doc_id").cast("bigint").alias("node"), F.count("*").alias("uses"))
+    classes = stored(classes.withColumn("at", F.col("node")), "classes")  # an id may come with several texts: such a node is entered once for each
     tagged = F.explode(F.array(*[F.xxhash64(F.lit(i), m) for i, m in enumerate(LEAST)])).alias("value")
-    each = nodes.select("node", *SKETCH, *SIGN, tagged)
-    shared = each.groupBy("value").agg(F.min(F.struct("node", *SKETCH)).alias("centre"), F.count("*").alias("uses"))
-    met = attach(each, stored(shared.where("uses > 1"), "shared"), "value", "uses").where("centre is not null")
+    each = classes.where("n_shingles > 0").select("node", *SKETCH, tagged)
+    shared = each.groupBy("value").agg(F.min(F.struct("node", *SKETCH)).alias("centre"), F.count("*").alias("times"))
+    met = attach(each, stored(shared.where("times > 1"), "shared"), "value", "times").where("centre is not null")
     far = sum((F.bit_count(F.col(c).bitwiseXOR(F.col("centre")[c])) for c in SKETCH), F.lit(0))
-    met = stored(met.select("node", *SKETCH, *SIGN, F.col("centre.node").alias("a"), far.cast("bigint").alias("apart")), "met")
-    some = met.select("node", *SKETCH, *SIGN).distinct()
-    stars = met.where(F.col("apart") <= apart).where("a <> node").groupBy("a", F.col("node").alias("b")).agg(F.min("apart").alias("apart"))
+    met = stored(met.select("node", *SKETCH, F.col("centre.node").alias("centre"), far.alias("apart")), "met")
+    stars = met.where((F.col("apart") <= apart) & (F.col("centre") != F.col("node"))).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     stars = stored(stars, "stars")
-    sets = _sets_of(texts, stars, k)
-    first = stars.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select("best.a", "b")
-    sure = stored(confirmed(stored(first, "first"), sets, similarity), "sure")
-    uses = stars.select(F.col("a").alias("node")).union(stars.select("b")).groupBy("node").agg(F.count("*").alias("links"))
-    across = _crossing(stars, stored(components(sure).join(uses, "node"), "roots"))
-    across = across.groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(F.min(F.struct("apart", "a", "b")).alias("best"))
-    sure = stored(sure.unionByName(confirmed(stored(across.select("best.a", "best.b"), "across"), sets, similarity)), "sure")
-    return some, sure, components(sure)
+    some = met.select("node", *SKETCH).distinct().join(components(stars), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = stored(_met(stored(some, "candidates"), SKETCH, segments, radius, apart).where("a <> b").distinct(), "found")
+    clusters = components(stars.unionByName(found))
+    return marks, classes, stored(confirmed(docs, classes, clusters, k, part, whole, id_col, text_col), "links")
 
 
-def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
-    """(node, shingles): the sorted distinct hashes of k-word shingles, 32 bits each, of rows (node, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.unique((shingle_hashes(t.as_py(), k) >> np.uint64(32)).astype("<u4")).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
-
-    return texts.select("node", "text").mapInArrow(releasing(run), "node bigint, shingles binary")
-
-
-def _beside(links: DataFrame, sets: DataFrame, end: str, name: str) -> DataFrame:
-    """`links` with the set of their node `end`; a node with many links has a copy of its set for each HUB of them."""
-    degree = links.groupBy(end).agg(F.count("*").alias("weight"))
-    degree = stored(degree.withColumn("parts", F.ceil(F.col("weight") / HUB).cast("int")), "degrees")
-    links = attach(links, degree, end, "weight").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int")).drop("parts")
-    copies = sets.join(degree.select(F.col(end).alias("node"), "parts"), "node")
-    copies = copies.select(F.col("node").alias(end), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias(name))
-    return links.join(copies, [end, "part"]).drop("part")
-
-
-def confirmed(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) whose nodes' sets have at least the similarity (two empty sets are alike)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), "<u4") for v in (x, y))
-                least, most = sorted((len(x), len(y)))
-                if least < similarity * most:
-                    keep.append(False)
-                    continue
-                merged = np.sort(np.concatenate([x, y]))
-                common = int(np.count_nonzero(merged[1:] == merged[:-1]))
-                keep.append(common >= similarity * (least + most - common))
-            rows = pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"])
-            yield rows.filter(pa.array(keep, pa.bool_()))
-
-    met = _beside(_beside(links.select("a", "b"), sets, "a", "x"), sets, "b", "y")
-    return met.select("a", "b", "x", "y").mapInArrow(releasing(run), "a bigint, b bigint").distinct()
-
-
-def deduplicate(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, k: int = 5, part: int = PART, whole: int = WHOLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs`, all columns, without those that have a near copy with a smaller id in their group: texts that a chain of links
     of at least the similarity connects."""
-    marks, nodes, found = near_links(docs, k, similarity, id_col, text_col)
-    roots = components(found)
-    nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    marks, classes, found = near_links(docs, k, part, whole, id_col, text_col)
+    nodes = classes.select("node", "digest", "uses").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = nodes.groupBy("root").agg(F.min("node").alias("stays"), F.count("*").alias("size"))
-    members = attach(nodes, groups, "root", "size").select(F.struct(*SKETCH).alias("key"), "stays", "n")
-    found = attach(marks.select("doc_id", F.struct(*SKETCH).alias("key")), stored(members, "members"), "key", "n")
+    members = attach(nodes, groups, "root", "size").select("digest", "stays", "uses")
+    found = attach(marks.select("doc_id", "digest"), stored(members, "members"), "digest", "uses")
     gone = stored(found.where("doc_id <> stays").select("doc_id").distinct(), "gone")
     return without(docs, gone, id_col)
 
