@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 from textlake.functions import shaping as H
 from textlake.functions import text as T
 from textlake.operators import annotations as A
+from textlake.operators import matching as M
+from textlake.operators import patterns as D
 from textlake.operators import retrieval as R
 from textlake.operators import upkeep as U
 
@@ -44,20 +46,22 @@ def test_filters_labels_and_changes(spark):
 
 
 def test_query_understanding(spark):
-    rows = spark.createDataFrame([("the license of der",), ("token the",), ("",), (None,)], "t string")
+    rows = spark.createDataFrame([(1, "the license of der"), (2, "token the"), (3, ""), (4, None)], "doc_id long, t string")
     t = F.col("t")
     out = rows.select(
-        R.canonical(t, {"license": "L", "the": "A"}).alias("c"), R.version_filter(t, [("the", "era", "en"), ("der", "era", "de"), ("token", "genre", "x")]).alias("v"),
-        R.any_of(t, ["token"]).alias("a"), R.with_synonyms(t, [["token", "key"]]).alias("s"),
-    ).collect()
-    assert [r.c for r in out] == ["L", "A", None, None]
+        R.version_filter(t, [("the", "era", "en"), ("der", "era", "de"), ("token", "genre", "x")]).alias("v"), R.any_of(t, ["token"]).alias("a")
+    ).collect()
+    names = D.longest_names(rows, spark.createDataFrame([("license", "L"), ("the", "A")], "alias string, name string"), text_col="t")
+    assert values(names, "doc_id", "name") == sorted([(1, "L"), (2, "A"), (3, None), (4, None)], key=repr)
     assert [r.v for r in out] == [None, "era=en", None, None]
-    assert [r.a for r in out] == [False, True, False, False] and out[1].s == "token the key"
+    assert [r.a for r in out] == [False, True, False, False]
+    more = D.missing_synonyms(rows, spark.createDataFrame([(0, 0, "token"), (0, 1, "key")], "grp int, place int, word string"), text_col="t")
+    assert {r.doc_id: r.words for r in more.collect()} == {1: [], 2: ["key"], 3: [], 4: []}
 
 
 def test_upkeep(spark):
     pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.95), (4, 5, 0.8), (3, 6, 0.7)], "a long, b long, cosine double")
-    assert values(U.disjoint_pairs(pairs), "a", "b") == [(2, 3), (4, 5)]
+    assert values(M.greedy_pairs(pairs), "a", "b") == [(2, 3), (4, 5)]
     old = spark.createDataFrame([("x", 0.5), ("y", 0.5), ("z", 0.5)], "k string, v double")
     new = spark.createDataFrame([("x", 0.5), ("y", 0.55), ("w", 0.1)], "k string, v double")
     assert values(U.compared(old, new, "k", "v"), "k", "change") == [("w", "added"), ("x", "same"), ("y", "minor"), ("z", "removed")]

@@ -3,15 +3,16 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from textlake.operators import alignments as L
 from textlake.operators import chunking as K
-from textlake.operators import compare as P
 from textlake.operators import corpus as C
 from textlake.operators import events as E
 from textlake.operators import memory as M
+from textlake.operators import patterns as D
 from textlake.operators import search as R
 from textlake.operators import verify as V
 from textlake.sources import files as I
-from textlake.streaming import streams
+from textlake.streaming import keyed, streams
 
 
 def rows_of(df):
@@ -92,18 +93,18 @@ def test_quotes_are_verified_word_for_word(spark):
 def test_diff_rebuilds_the_right_side(spark, seed):
     rng = random.Random(seed)
     left, right = ("".join(rng.choices("abc", k=rng.randint(0, 30))) for _ in range(2))
-    rows = P.diff(spark.createDataFrame([(1, left, right)], "pair_id long, left string, right string")).collect()
+    rows = L.diff(spark.createDataFrame([(1, left, right)], "pair_id long, left string, right string")).collect()
     out, at = "", 0
     for r in sorted(rows, key=lambda r: (r.position, r.op != "insert")):
-        before = "" if r.before == P.EMPTY else r.before
-        out += left[at : r.position - 1] + ("" if r.after == P.EMPTY else r.after)
+        before = "" if r.before == L.EMPTY else r.before
+        out += left[at : r.position - 1] + ("" if r.after == L.EMPTY else r.after)
         at = r.position - 1 + len(before)
     assert out + left[at:] == right
 
 
 def test_dictionary_prefers_longer_entries(spark):
     docs = spark.createDataFrame([(1, "白娘子与白蛇、白"), (2, None)], "doc_id long, text string")
-    assert rows_of(P.scan_dictionary(docs, ["白", "白蛇", "白娘子"])) == [(1, "白", 7, 8), (1, "白娘子", 0, 3), (1, "白蛇", 4, 6)]
+    assert rows_of(D.scan(docs, spark.createDataFrame([("白",), ("白蛇",), ("白娘子",)], "entry string"))) == [(1, "白", 7, 8), (1, "白娘子", 0, 3), (1, "白蛇", 4, 6)]
 
 
 def test_sentences_and_packing():
@@ -166,7 +167,9 @@ def test_evictions_equal_the_batch_fold(spark, tmp_path):
     rng = random.Random(4)
     rows = [(c, t, "user", "x" * rng.randint(0, 200)) for c in range(5) for t in range(12)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
-    got = rows_of(streams.run(streams.evictions(streams.stream(spark, str(tmp_path), "conversations"), "conv_id", 60), "append"))
+    stream = streams.stream(spark, str(tmp_path), "conversations").withColumn("tokens", F.floor(F.length("text") / 4))
+    out = keyed.keyed(stream, "conv_id", F.timestamp_seconds(F.col("turn") + 1), F.lit(0), ["turn", "tokens"], keyed.Evictions(60), "0 seconds", 30)
+    got = rows_of(streams.run(out, "append").select("conv_id", "turn", "tokens"))
     want = []
     for c in range(5):
         held = []

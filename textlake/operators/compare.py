@@ -1,4 +1,5 @@
-"""Text comparison: diffs, shared spans, span repair, dictionary scans, citation repair.
+"""Text comparison: candidate pairs, span repair, citation repair. Shared strings and differences are in `alignments`, dictionary
+scans in `patterns`.
 
 Pairs and candidates are found by joins; the sequential part of each pair or document is a small function in Arrow
 batches.
@@ -8,64 +9,17 @@ from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from textlake.functions import text as T
-
-EMPTY = "(空)"
-
-
-def _diff_rows(left: str, right: str, context: int) -> tuple[list[tuple], float]:
-    matcher = difflib.SequenceMatcher(None, left, right, autojunk=False)
-    rows = []
-    for tag, a, z, c, e in matcher.get_opcodes():
-        if tag != "equal":
-            rows.append((tag, a + 1, left[a:z] or EMPTY, right[c:e] or EMPTY, left[max(0, a - context) : a], left[z : z + context]))
-    return rows, round(matcher.ratio(), 4)
-
-
-def diff(pairs: DataFrame, context: int = 5) -> DataFrame:
-    """(pair_id, op, position, before, after, left_context, right_context, ratio) for rows (pair_id, left, right).
-
-    Positions are 1-based in the left text; equal texts give no row.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["pair_id", "op", "position", "before", "after", "left_context", "right_context", "ratio"]
-        for b in batches:
-            out = []
-            for i, left, right in zip(b["pair_id"], b["left"], b["right"], strict=True):
-                rows, ratio = _diff_rows(left or "", right or "", context)
-                out += [(i, *r, ratio) for r in rows]
-            yield pd.DataFrame(out, columns=names)
-
-    return pairs.select("pair_id", "left", "right").mapInPandas(run, "pair_id bigint, op string, position int, before string, after string, left_context string, right_context string, ratio double")
+from textlake.operators.corpus import shared_ngrams
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, n: int = 8) -> DataFrame:
     """(left_id, right_id) of texts that share a string of n words."""
-    a = left.select(left_id, F.explode(F.array_distinct(T.word_ngrams(T.words(F.col("text")), n))).alias("gram"))
-    b = right.select(right_id, F.explode(F.array_distinct(T.word_ngrams(T.words(F.col("text")), n))).alias("gram"))
-    return a.join(b, "gram").select(left_id, right_id).distinct()
-
-
-def shared_spans(pairs: DataFrame, least: int = 12, long: int = 40) -> DataFrame:
-    """(pair_id, span, left_at, right_at, is_long): matching blocks of `least` characters or more."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for i, left, right in zip(b["pair_id"], b["left"], b["right"], strict=True):
-                for a, c, size in difflib.SequenceMatcher(None, left, right, autojunk=False).get_matching_blocks():
-                    if size >= least:
-                        out.append((i, left[a : a + size], a, c, size >= long))
-            yield pd.DataFrame(out, columns=["pair_id", "span", "left_at", "right_at", "is_long"])
-
-    return pairs.select("pair_id", "left", "right").mapInPandas(run, "pair_id bigint, span string, left_at int, right_at int, is_long boolean")
+    return shared_ngrams(left, right, n, left_id, right_id).select(left_id, right_id)
 
 
 # --- spans ---------------------------------------------------------------------------------------------------------
@@ -118,27 +72,6 @@ def repair_spans(spans: DataFrame) -> DataFrame:
     return spans.select("id", "text", "entity", "start", "end").mapInPandas(run, "id bigint, entity string, start int, end int, level string, confidence string")
 
 
-def scan_dictionary(docs: DataFrame, entries: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, entry, start, end): entries in texts, longer ones first; places that are taken stay taken."""
-    order = sorted(set(filter(None, entries)), key=lambda e: (-len(e), e))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for i, text in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True):
-                taken = bytearray(len(text or ""))
-                for e in order:
-                    at = (text or "").find(e)
-                    while at >= 0:
-                        if not any(taken[at : at + len(e)]):
-                            taken[at : at + len(e)] = b"\1" * len(e)
-                            out.append((i, e, at, at + len(e)))
-                        at = text.find(e, at + 1)
-            yield pd.DataFrame(out, columns=["doc_id", "entry", "start", "end"])
-
-    return docs.select(id_col, text_col).mapInPandas(run, f"doc_id {dict(docs.dtypes)[id_col]}, entry string, start int, end int")
-
-
 CITATION = re.compile(r"“([^“”]{4,300})”\s*\[([^\]]+)\]")
 
 

@@ -136,8 +136,32 @@ def windows(paras: DataFrame, size: int = 3, overlap: int = 1) -> DataFrame:
     return joined.agg(F.count("*").alias("n_paras"), F.sum(F.length("paragraph")).alias("chars"))
 
 
+#: Words of 64 bits of the table that strings are tried against (128 KB); more strings only let more through.
+TABLE = 1 << 14
+
+
+def ngram_hits(grams: DataFrame, docs: DataFrame, n: int, id_col: str) -> DataFrame:
+    """(id, gram): the distinct n-word strings of `docs` that are in `grams` (gram), and few others: each string's hash is tried
+    against a table of bits in its row, and only hits become strings and rows."""
+    at = F.pmod(F.xxhash64(F.split("gram", " ")), F.lit(64 * TABLE)).cast("bigint")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("at") % 64).cast("int"))
+    bits = grams.select(at.alias("at")).groupBy(F.floor(F.col("at") / 64).cast("int").alias("k")).agg(F.bit_or(bit).alias("w"))
+    table = [0] * TABLE
+    for r in bits.collect():  # TABLE rows at most
+        table[r.k] = r.w
+    row = docs.sparkSession.createDataFrame([(table,)], "__bits array<bigint>")
+    rows = docs.select(id_col, T.words(F.col("text")).alias("__words")).where(F.size("__words") >= n).join(F.broadcast(row))  # one row
+
+    def hit(i: Column) -> Column:
+        place = F.pmod(F.xxhash64(F.slice("__words", i, n)), F.lit(64 * TABLE)).cast("bigint")
+        return F.getbit(F.get("__bits", F.floor(place / 64).cast("int")), (place % 64).cast("int")) == 1
+
+    places = F.filter(F.sequence(F.lit(1), F.size("__words") - n + 1), hit)
+    found = rows.select(id_col, F.explode(F.transform(places, lambda i: F.array_join(F.slice("__words", i, n), " "))).alias("gram"))
+    return found.distinct()
+
+
 def shared_ngrams(left: DataFrame, right: DataFrame, n: int, left_id: str, right_id: str) -> DataFrame:
-    """(left_id, right_id, shared): distinct n-word strings that two texts share. Blocking by the strings themselves."""
+    """(left_id, right_id, shared): distinct n-word strings that two texts share. The left texts are the smaller table."""
     a = left.select(left_id, F.explode(F.array_distinct(T.word_ngrams(T.words(F.col("text")), n))).alias("gram"))
-    b = right.select(right_id, F.explode(F.array_distinct(T.word_ngrams(T.words(F.col("text")), n))).alias("gram"))
-    return a.join(b, "gram").groupBy(left_id, right_id).agg(F.count("*").alias("shared"))
+    return a.join(ngram_hits(a.select("gram"), right, n, right_id), "gram").groupBy(left_id, right_id).agg(F.count("*").alias("shared"))

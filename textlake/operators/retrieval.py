@@ -19,14 +19,6 @@ def any_of(text: Column, words: Sequence[str]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def canonical(text: Column, aliases: Mapping[str, str]) -> Column:
-    """The canonical name of the longest alias in the text (of equal lengths the first in the alphabet); null if there is none."""
-    out = F.lit(None).cast("string")
-    for alias in sorted(aliases, key=lambda a: (-len(a), a))[::-1]:
-        out = F.when(F.contains(text, F.lit(alias)), F.lit(aliases[alias])).otherwise(out)
-    return out
-
-
 def canonical_names(raw: DataFrame, mapping: DataFrame, col: str, dropped: str) -> DataFrame:
     """`raw` with `canonical`: mapped names (`mapping`: raw, canonical, place; the first place wins, rows mapped to `dropped`
     don't count), others as they are."""
@@ -34,15 +26,6 @@ def canonical_names(raw: DataFrame, mapping: DataFrame, col: str, dropped: str)
     return raw.join(first, col, "left").withColumn("canonical", F.coalesce("__canonical", col)).drop("__canonical")
 
 
-def with_synonyms(text: Column, groups: Sequence[Sequence[str]]) -> Column:
-    """The text, followed by the other members of each group that has a member in it."""
-    more = []
-    for g in groups:
-        missing = F.filter(F.array(*map(F.lit, g)), lambda w: ~F.contains(text, w))
-        more.append(F.when(any_of(text, g), missing).otherwise(F.array().cast("array<string>")))
-    return F.concat_ws(" ", text, F.array_join(F.flatten(F.array(*more)), " "))
-
-
 def version_filter(text: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
     """The one era or genre that a text asks for, from rules (word, kind, value): 'kind=value', null where rules of one kind
     name several values or nothing fits."""

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from textlake.functions import scoring as S
 from textlake.functions import text as T
+from textlake.operators.postings import Index
 
 
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", tokens: Column | None = None, where: Column | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, id, score) of all documents with a positive score, for queries (query_id, token, weight).
 
-    A document's tokens are counted within its row, and only those that some query has leave it; there is no posting list
-    to shuffle. Document frequencies and lengths cover all documents, also where a filter applies.
+    One pass over texts that have no stored index (`postings.Index`): all tokens are exploded and met with the queries'.
+    Document frequencies and lengths cover all documents, also where a filter applies.
     """
     tokens = T.words(F.col("text")) if tokens is None else tokens
     wanted = queries.select("token").distinct()
@@ -50,14 +51,26 @@ def top_k(scored: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
 
 def bigram_search(messages: DataFrame, query: str, ids: Sequence[str]) -> DataFrame:
     """Messages with any token of the query (Chinese bigrams, words), ranked by how many of the tokens they have."""
-    import re
-
-    wanted = sorted({m for m in re.findall("[a-z0-9]{2,}", query.lower())} | {r[i : i + 2] for r in re.findall("[一-鿿]{2,}", query) for i in range(len(r) - 1)})[:60]
+    wanted = query_bigrams(query)
     found = F.array_distinct(F.filter(T.fts_tokens(F.col("text")), lambda t: t.isin(*wanted)))
     rows = messages.select(*ids, F.size(found).cast("bigint").alias("matched"), T.token_estimate(F.col("text")).alias("tokens"))
     return rows.where("matched > 0").withColumn("score", F.round(F.col("matched") / len(wanted), 6))
 
 
+def query_bigrams(query: str, most: int = 60) -> list[str]:
+    """The distinct tokens of a query (words of two characters or more, Chinese bigrams) in order, `most` at most: a query's limit."""
+    import re
+
+    return sorted({m for m in re.findall("[a-z0-9]{2,}", query.lower())} | {r[i : i + 2] for r in re.findall("[一-鿿]{2,}", query) for i in range(len(r) - 1)})[:most]
+
+
+def bigram_ranked(index: Index, query: str) -> DataFrame:
+    """`bigram_search` from a stored index whose documents keep `tokens`: only the postings of the query's tokens are read."""
+    wanted = query_bigrams(query)
+    tokens = index.spark.createDataFrame([(t,) for t in wanted], "token string")
+    return index.matched(tokens, "tokens").withColumn("score", F.round(F.col("matched") / max(1, len(wanted)), 6))
+
+
 def like_search(messages: DataFrame, query: str, ids: Sequence[str]) -> DataFrame:
     """Fallback: the share of the query's distinct character pairs that a message contains."""
     pairs = sorted({query[i : i + 2] for i in range(len(query) - 1)})

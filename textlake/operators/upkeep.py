@@ -8,24 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlake.functions import scoring as S
-
-
-def similar_pairs(vectors: DataFrame, block: str, least: float) -> DataFrame:
-    """(a, b, cosine) of pairs within a block (a small group, such as a user's memories of one day) above a likeness: each row
-    looks at its block only, never at all others."""
-    left = vectors.select(block, F.col("id").alias("a"), F.col("vector").alias("x"))
-    right = vectors.select(F.col(block).alias("__block"), F.col("id").alias("b"), F.col("vector").alias("y"))
-    met = left.join(right, (F.col(block) == F.col("__block")) & (F.col("a") < F.col("b")))
-    return met.select("a", "b", S.cosine(F.col("x"), F.col("y")).alias("cosine")).where(F.col("cosine") > least)
-
-
-def disjoint_pairs(pairs: DataFrame) -> DataFrame:
-    """Pairs that are each other's best: neither side has a better pair (ties by id), so no row is in two of them."""
-    best_a = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("cosine"), "a", "b"))
-    ends = pairs.select("a", "b", "cosine", F.explode(F.array("a", "b")).alias("end")).withColumn("place", best_a).where("place = 1")
-    return ends.groupBy("a", "b", "cosine").agg(F.count("*").alias("n")).where("n = 2").drop("n")
-
 
 def merged_memories(memories: DataFrame, pairs: DataFrame) -> DataFrame:
     """The merged memory of each pair (a, b): texts joined by '; ', the greater importance, confidence 0.7."""

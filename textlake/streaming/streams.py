@@ -1,13 +1,9 @@
-"""Streams over the event log and conversations: windows with watermarks, sessions, bounded buffers."""
+"""Streams over the event log and conversations: windows with watermarks, sessions. Keyed state is in `keyed`."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textlake.sources.files import shared_folder
 
@@ -31,31 +27,6 @@ def sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
     return rows.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("until"), "n")
 
 
-def evictions(messages: DataFrame, key: str, cap: int) -> DataFrame:
-    """(key, turn, tokens) of messages that leave a key's first-in-first-out buffer when it holds more than `cap` tokens.
-
-    The buffer is state: what a key holds is at most `cap` tokens and one message, whatever the length of the stream.
-    """
-    from textlake.functions.text import token_estimate
-
-    names = [key, "turn", "tokens"]
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        turns, sizes = (list(x) for x in state.get) if state.exists else ([], [])
-        out = []
-        for b in batches:
-            for t, n in b.sort_values("turn")[["turn", "tokens"]].itertuples(index=False):
-                turns.append(int(t))
-                sizes.append(int(n))
-                while sum(sizes) > cap and len(sizes) > 1:
-                    out.append((k[0], turns.pop(0), sizes.pop(0)))
-        state.update((turns, sizes))
-        yield pd.DataFrame(out, columns=names)
-
-    rows = messages.select(key, "turn", token_estimate(F.coalesce("text", F.lit(""))).alias("tokens"))
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} bigint, turn bigint, tokens bigint", "turns array<bigint>, sizes array<bigint>", "append", GroupStateTimeout.NoTimeout)
-
-
 def run(rows: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all there is now and give its result as a table in the shared folder.
 
