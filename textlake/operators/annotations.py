@@ -45,7 +45,7 @@ def timeline(notes: DataFrame, era: str, years: DataFrame) -> DataFrame:
     """Events, one per (entity, document, paragraph, category), with the years of their era (`years`: era, first_year,
     last_year, a small dimension); eras without years come last."""
     events = notes.dropDuplicates(["entity", "doc_id", "para", "category"])
-    return events.join(F.broadcast(years), era, "left").withColumn("era_order", F.coalesce("first_year", F.lit(9999)))
+    return events.join(years, era, "left").withColumn("era_order", F.coalesce("first_year", F.lit(9999)))
 
 
 def era_summary(events: DataFrame, era: str, top: int = 10) -> DataFrame:
@@ -60,9 +60,15 @@ def era_summary(events: DataFrame, era: str, top: int = 10) -> DataFrame:
 
 
 def unique_labels(rows: DataFrame, label: str, order: Sequence[str]) -> DataFrame:
-    """Labels made unique: the first row of a label keeps it, the others get #2, #3 and so on."""
+    """Labels made unique: the first row of a label keeps it, each other gets the next number from 2 on that no label has with it."""
     place = F.row_number().over(Window.partitionBy(label).orderBy(*order))
-    return rows.withColumn("unique_label", F.when(place == 1, F.col(label)).otherwise(F.concat(label, F.lit("#"), place.cast("string"))))
+    numbered = rows.select(F.regexp_extract(label, "^(.*)#([0-9]{1,9})$", 1).alias("__base"), F.regexp_extract(label, "^(.*)#([0-9]{1,9})$", 2).alias("n")).where("n <> '' and n not like '0%'")
+    taken = numbered.groupBy("__base").agg(F.sort_array(F.collect_set(F.col("n").cast("int"))).alias("__taken"))
+    met = rows.withColumn("__place", place).join(taken, F.col(label) == F.col("__base"), "left")
+    used = F.filter(F.coalesce("__taken", F.array().cast("array<int>")), lambda x: x >= 2)
+    free = F.aggregate(used, F.col("__place"), lambda m, x: F.when(x <= m, m + 1).otherwise(m))
+    out = met.withColumn("unique_label", F.when(F.col("__place") == 1, F.col(label)).otherwise(F.concat(label, F.lit("#"), free.cast("string"))))
+    return out.drop("__place", "__base", "__taken")
 
 
 def paragraph_of(positions: DataFrame, paras: DataFrame, gap: int = 1) -> DataFrame:

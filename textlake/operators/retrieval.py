@@ -95,7 +95,7 @@ def tiers(docs: DataFrame, levels: Sequence[Sequence[str]], key: str, enough: in
         empty = F.when(F.col(f"n{i}") == 0, empty + 1).otherwise(0)
         open_ = open_ & (total < enough) & (empty < idle)
     stop = found.select(F.col(key).alias("__key"), last.alias("__last"))
-    return rows.join(F.broadcast(stop), F.col(key).eqNullSafe(F.col("__key"))).where("level <= __last").drop("__key", "__last")
+    return rows.join(stop, F.col(key).eqNullSafe(F.col("__key"))).where("level <= __last").drop("__key", "__last")
 
 
 def quotas(scored: DataFrame, key: str, cap: int, k: int) -> DataFrame:

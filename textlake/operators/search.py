@@ -85,13 +85,21 @@ def centroids(vectors: DataFrame, key: str, vector_col: str = "embedding") -> Da
     return parts.select(key, F.transform("v", lambda s: s["x"]).alias("vector"))
 
 
+#: Queries that every task holds at most, and parts into which the rows that meet one block of queries are dealt.
+HELD, SPREAD = 10_000, 64
+
+
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k rows nearest by cosine to each of a few query vectors (query_id, vector), which every task holds."""
-    n = queries.count()
-    if n > 10_000:
-        raise ValueError("for many queries use an index")
-    scored = vectors.join(F.broadcast(queries)).select("query_id", id_col, S.cosine(F.col(vector_col), F.col("vector")).alias("score"))
-    return top_k(scored, k, id_col)
+    """The k rows nearest by cosine to each query vector (query_id, vector). Up to HELD queries are held by every task; of more, each
+    block of HELD meets all rows in a join of its own, dealt over SPREAD parts."""
+    blocks = max(1, -(-queries.count() // HELD))
+    if blocks == 1:
+        met = vectors.join(F.broadcast(queries))
+    else:
+        each = queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        rows = vectors.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+        met = rows.withColumn("__part", F.pmod(F.xxhash64(id_col), F.lit(SPREAD)).cast("int")).join(each, ["__block", "__part"])
+    return top_k(met.select("query_id", id_col, S.cosine(F.col(vector_col), F.col("vector")).alias("score")), k, id_col)
 
 
 def fuse_ranks(channels: Mapping[str, tuple[DataFrame, float]], id_col: str = "doc_id", k: int = 20) -> DataFrame:

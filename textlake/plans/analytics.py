@@ -184,44 +184,98 @@ length(regexp_replace(text, '[\s\x{{3000}}\x{{00A0}}]+', '', 'g')) AS solid, md5
 
 
 def chinese_numbers(spark, sf):
-    rows = spark.createDataFrame([(x,) for x in ("一", "九", "十", "十二", "二十", "三十五", "九十九", "7", "42", "百", "", "一二", "x")], "s string")
-    return rows.select("s", T.chinese_number(F.col("s")).alias("n"))
+    """Numbers made from document ids, written in Chinese, in digits, or with something after them that spoils them."""
+    n = F.pmod("doc_id", F.lit(99)) + 1
+    tens, units = F.floor(n / 10).cast("int"), (n % 10).cast("int")
+    digit = lambda d: F.when(d > 0, F.substring(F.lit(T.NUMERALS), d, F.lit(1))).otherwise("")
+    chinese = F.concat(F.when(tens > 1, digit(tens)).otherwise(""), F.when(tens > 0, "十").otherwise(""), digit(units))
+    kind = F.pmod("doc_id", F.lit(4))
+    written = F.when(kind == 0, n.cast("string")).when(kind == 1, F.concat(chinese, F.lit("百"))).otherwise(chinese)
+    return table(spark, sf, "documents").select("doc_id", T.chinese_number(written).alias("n"))
 
 
-NUMBERS = """SELECT * FROM (VALUES ('一', 1), ('九', 9), ('十', 10), ('十二', 12), ('二十', 20), ('三十五', 35), ('九十九', 99), ('7', 7), ('42', 42), ('百', NULL), ('', NULL), ('一二', NULL), ('x', NULL)) t(s, n)"""
+NUMBERS = "SELECT doc_id, CASE WHEN doc_id % 4 <> 1 THEN (doc_id % 99 + 1)::INT END AS n FROM documents"
 
 
 def verbatim_levels(spark, sf):
-    rows = [("白蛇出塔", "昔日白蛇出塔而去"), ("He said: “Go!”", "he said go at once"), ("one two three four x", "... one-two-three-four y"), ("nothing here at all", "something else"), ("", "abc"), ("abcde fghijklmnop qrstuvwxyz", "zzfghijklmnopqrstuvwzz")]
-    return spark.createDataFrame(rows, "q string, s string").select("q", T.verbatim(F.col("q"), F.col("s")).alias("found"))
+    """Quotes made from each text: as it stands, with other marks, with another end, and turned round."""
+    kind = F.pmod("doc_id", F.lit(4))
+    q = F.when(kind == 0, F.substring("text", 6, 40)).when(kind == 1, F.upper(F.replace(F.substring("text", 3, 40), F.lit(" "), F.lit(" - "))))
+    q = q.when(kind == 2, F.concat(F.substring("text", 1, 30), F.lit(" quite another end"))).otherwise(F.reverse(F.substring("text", 1, 40)))
+    return table(spark, sf, "documents").select("doc_id", q.alias("q"), "text").select("doc_id", T.verbatim(F.col("q"), F.col("text")).alias("found"))
 
 
-VERBATIM = """SELECT * FROM (VALUES ('白蛇出塔', true), ('He said: “Go!”', true), ('one two three four x', true), ('nothing here at all', false), ('', false), ('abcde fghijklmnop qrstuvwxyz', true)) t(q, found)"""
+VERBATIM = r"""WITH x AS (SELECT doc_id, text AS s, CASE doc_id % 4 WHEN 0 THEN substr(text, 6, 40) WHEN 1 THEN upper(replace(substr(text, 3, 40), ' ', ' - ')) WHEN 2 THEN substr(text, 1, 30) || ' quite another end' ELSE reverse(substr(text, 1, 40)) END AS q FROM documents),
+y AS (SELECT *, regexp_replace(lower(q), '[^\p{L}\p{N}]+', '', 'g') AS qn, regexp_replace(lower(s), '[^\p{L}\p{N}]+', '', 'g') AS sn FROM x)
+SELECT doc_id, (length(q) > 0 AND contains(s, q)) OR (qn <> '' AND contains(sn, qn)) OR (length(qn) >= 12 AND contains(sn, substr(qn, 1, 12)))
+ OR (length(qn) >= 15 AND len(list_filter(range(0, greatest(length(qn) - 15, 0) + 1, 5), lambda i: contains(sn, substr(qn, (i + 1)::BIGINT, 15)))) > 0) AS found FROM y"""
 
 
 def datum_offsets(spark, sf):
-    rows = spark.createDataFrame([(30.2431, 120.1503), (39.9087, 116.3975), (31.2304, 121.4737)], "lat double, lng double")
+    rows = table(spark, sf, "customer").select("c_custkey", (F.lit(20.2431) + F.col("c_custkey") % 30).alias("lat"), (F.lit(100.1503) + F.col("c_custkey") % 25).alias("lng"))
     lat, lng = S.offset_datum(F.col("lat"), F.col("lng"))
-    return rows.select("lat", "lng", F.round(lat - F.col("lat"), 4).alias("d_lat"), F.round(lng - F.col("lng"), 4).alias("d_lng"))
+    return rows.select("c_custkey", F.round(lat - F.col("lat"), 6).alias("d_lat"), F.round(lng - F.col("lng"), 6).alias("d_lng"))
+
+
+def _waves(z: str, *terms: tuple[float, str]) -> str:
+    return "(" + " + ".join(f"{size} * sin({z} * pi() / ({period}))" for size, period in terms) + ") * 2.0 / 3.0"
+
+
+_COMMON = _waves("x", (20.0, "1.0 / 6"), (20.0, "0.5"))
+DATUM = f"""WITH p AS (SELECT c_custkey, 20.2431::DOUBLE + c_custkey % 30 AS lat, 100.1503::DOUBLE + c_custkey % 25 AS lng FROM customer),
+z AS (SELECT *, lng - 105.0::DOUBLE AS x, lat - 35.0::DOUBLE AS y, lat / 180.0 * pi() AS rad FROM p),
+o AS (SELECT *, 1 - 0.00669342162296594323::DOUBLE * sin(rad) * sin(rad) AS magic,
+ -100.0 + 2.0 * x + 3.0 * y + 0.2 * y * y + 0.1 * x * y + 0.2 * sqrt(abs(x)) + {_COMMON} + {_waves('y', (20.0, '1.0'), (40.0, '3.0'))} + {_waves('y', (160.0, '12.0'), (320.0, '30.0'))} AS north,
+ 300.0 + x + 2.0 * y + 0.1 * x * x + 0.1 * x * y + 0.1 * sqrt(abs(x)) + {_COMMON} + {_waves('x', (20.0, '1.0'), (40.0, '3.0'))} + {_waves('x', (150.0, '12.0'), (300.0, '30.0'))} AS east FROM z)
+SELECT c_custkey, round(north * 180.0 / ((6378245.0::DOUBLE * (1 - 0.00669342162296594323::DOUBLE)) / (magic * sqrt(magic)) * pi()), 6) AS d_lat,
+ round(east * 180.0 / (6378245.0::DOUBLE / sqrt(magic) * cos(rad) * pi()), 6) AS d_lng FROM o"""
 
 
 def quotes_in_text(spark, sf):
-    rows = spark.createDataFrame([(1, "他说“白蛇出塔去了”，又说「好」。"), (2, "no quotes"), (3, "“abcd” and “efgh ij”")], "id int, text string")
-    return rows.select("id", F.size(T.quotes(F.col("text"))).alias("n"), F.array_join(T.quotes(F.col("text")), "|").alias("inside"))
+    text = F.concat(F.lit("he said “"), F.coalesce("text", F.lit("")), F.lit("” to 「"), "role", F.lit("」 and 『no』"))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", T.quotes(text).alias("q"))
+    return rows.select("conv_id", "turn", F.size("q").alias("n"), F.md5(F.array_join("q", "|")).alias("inside"))
+
+
+QUOTES_IN = """WITH x AS (SELECT conv_id, turn, regexp_extract_all('he said “' || coalesce(text, '') || '” to 「' || role || '」 and 『no』', '[“「『]([^“「『”」』]{4,300})[”」』]', 1) AS q FROM conversations)
+SELECT conv_id, turn, len(q)::INT AS n, md5(array_to_string(q, '|')) AS inside FROM x"""
+
+
+def _dirty():
+    return F.concat(F.lit("﻿ "), F.replace("text", F.lit("\n"), F.lit("\r\n\n \n")), F.lit("　 \r"))
+
+
+def cleaned_texts(spark, sf):
+    """Texts with other line ends, blanks and a byte-order mark, cleaned."""
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.clean(_dirty())).alias("digest"))
+
+
+CLEANED = r"""WITH x AS (SELECT doc_id, chr(65279) || ' ' || replace(text, chr(10), chr(13) || chr(10) || chr(10) || ' ' || chr(10)) || '　 ' || chr(13) AS t FROM documents),
+y AS (SELECT doc_id, replace(replace(replace(replace(replace(t, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '　', ' '), chr(160), ' '), chr(65279), '') AS t FROM x)
+SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(t, ' {2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \t\n\r\x{3000}]+|[ \t\n\r\x{3000}]+$', '', 'g')) AS digest FROM y"""
+
+
+def source_changes(spark, sf):
+    """What a second load of the documents would bring: some texts changed, some gone, some new."""
+    old = table(spark, sf, "documents").select("doc_id", "text")
+    text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" more"))).otherwise(F.col("text"))
+    new = old.where("doc_id % 11 <> 0").select("doc_id", text.alias("text"))
+    return V.changed(old, new.unionByName(old.where("doc_id % 13 = 0").select((F.col("doc_id") + 10**9).alias("doc_id"), "text")), "doc_id", "text")
 
 
-QUOTES_IN = "SELECT * FROM (VALUES (1, 1, '白蛇出塔去了'), (2, 0, ''), (3, 2, 'abcd|efgh ij')) t(id, n, inside)"
+SOURCE_CHANGES = """SELECT doc_id, 'removed' AS change FROM documents WHERE doc_id % 11 = 0 UNION ALL SELECT doc_id, 'changed' FROM documents WHERE doc_id % 7 = 0 AND doc_id % 11 <> 0
+UNION ALL SELECT doc_id + 1000000000, 'added' FROM documents WHERE doc_id % 13 = 0"""
 
 QUERIES = {
     "motif_lang_matrix": motif_lang_matrix, "motif_changes": motif_changes, "motif_fill_rate": motif_fill_rate, "trend_by_lang": trend_by_lang, "matrix_pivot": matrix_pivot,
     "paragraph_windows": paragraph_windows, "exact_duplicates": exact_duplicates, "shared_ngram_pairs": shared_ngram_pairs, "quote_verification": quote_verification,
     "label_coverage_by_lang": label_coverage_by_lang, "worst_coverage": worst_coverage, "unlabelled_documents": unlabelled_documents, "label_cross_table": label_cross_table,
     "changed_documents": changed_documents, "html_strip_stats": html_strip_stats, "page_hosts": page_hosts, "text_measures": text_measures, "chinese_numbers": chinese_numbers,
-    "verbatim_levels": verbatim_levels, "datum_offsets": datum_offsets, "quotes_in_text": quotes_in_text,
+    "verbatim_levels": verbatim_levels, "datum_offsets": datum_offsets, "quotes_in_text": quotes_in_text, "cleaned_texts": cleaned_texts, "source_changes": source_changes,
 }
 ORACLE_SQL = {
     "motif_lang_matrix": MATRIX, "motif_changes": CHANGES, "motif_fill_rate": FILL, "trend_by_lang": TREND, "matrix_pivot": PIVOT, "paragraph_windows": WINDOWS,
     "exact_duplicates": DUPLICATES, "shared_ngram_pairs": SHARED, "quote_verification": QUOTES, "label_coverage_by_lang": COVERAGE, "worst_coverage": WORST,
     "unlabelled_documents": UNLABELLED, "label_cross_table": LABEL_CROSS, "changed_documents": CHANGED, "html_strip_stats": HTML, "page_hosts": HOSTS, "text_measures": MEASURES,
-    "chinese_numbers": NUMBERS, "verbatim_levels": VERBATIM, "quotes_in_text": QUOTES_IN,
+    "chinese_numbers": NUMBERS, "verbatim_levels": VERBATIM, "quotes_in_text": QUOTES_IN, "datum_offsets": DATUM, "cleaned_texts": CLEANED, "source_changes": SOURCE_CHANGES,
 }

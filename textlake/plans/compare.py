@@ -64,23 +64,36 @@ def line_diffs(spark, sf):
 
 
 def span_repair(spark, sf):
-    text = "白素贞 与 许仙相遇于西湖断桥之上，小青随行。"
-    rows = [(1, text, "许仙", 6, 8), (2, text, "西湖", 0, 2), (3, text, "白素贞与许仙", 0, 6), (4, text, "西湖断桥之下", 3, 9), (5, text, "法海", 0, 2), (6, text, "小青", -1, -1)]
-    return P.repair_spans(spark.createDataFrame(rows, "id long, text string, entity string, start int, end int"))
+    """Twelve characters of each text, claimed to stand where they do, a little off, nowhere, or not to be there at all."""
+    kind = F.pmod("doc_id", F.lit(4))
+    start = F.when(kind == 0, 30).when(kind == 1, 37).when(kind == 2, -1).otherwise(5)
+    entity = F.when(kind == 3, "☃☃").otherwise(F.substring("text", 31, 12))
+    rows = table(spark, sf, "documents").where("length(text) >= 60").select(F.col("doc_id").alias("id"), "text", entity.alias("entity"), start.alias("start"), (start + 12).alias("end"))
+    return P.repair_spans(rows).select("id", "start", "end", "level", "confidence")
 
 
-SPANS = """SELECT * FROM (VALUES (1, '许仙', 6, 8, 'exact', 'high'), (2, '西湖', 11, 13, 'window', 'medium'), (3, '白素贞与许仙', 0, 8, 'compact', 'low'), (4, '西湖断桥之下', 10, 16, 'fuzzy', 'low'),
-(5, '法海', -1, -1, 'not_found', 'none'), (6, '小青', 18, 20, 'global', 'low')) t(id, entity, start, "end", level, confidence)"""
+SPANS = """WITH d AS (SELECT doc_id AS id, doc_id % 4 AS k, text, substr(text, 31, 12) AS e FROM documents WHERE length(text) >= 60),
+x AS (SELECT id, k, CASE k WHEN 0 THEN 30 WHEN 1 THEN CASE WHEN substr(text, 38, 12) = e THEN 37 ELSE instr(substr(text, 1, 99), e) - 1 END WHEN 2 THEN instr(text, e) - 1 ELSE -1 END AS s,
+ CASE k WHEN 0 THEN 'exact' WHEN 1 THEN CASE WHEN substr(text, 38, 12) = e THEN 'exact' ELSE 'window' END WHEN 2 THEN 'global' ELSE 'not_found' END AS level FROM d)
+SELECT id, s::INT AS start, (CASE WHEN k = 3 THEN -1 ELSE s + 12 END)::INT AS "end", level, CASE level WHEN 'exact' THEN 'high' WHEN 'window' THEN 'medium' WHEN 'global' THEN 'low' ELSE 'none' END AS confidence FROM x"""
 
 
 def citation_repair(spark, sf):
-    evidence = {"唐-ch1:1": "昔日白蛇出塔而去，众人皆惊。", "宋-ch2:3": "许仙借伞与白娘子，同舟而归。"}
-    rows = [(1, "文中说“白蛇出塔而去”[唐-ch1:1]，又“借伞与白娘子”[唐-ch1:1]。"), (2, "“从未有过的话”[唐-ch1:1] “也没有的话”[元-ch9:9]"), (3, "no citation")]
-    return P.repair_citations(spark.createDataFrame(rows, "id long, text string"), evidence)
-
-
-CITATIONS = """SELECT * FROM (VALUES (1, '白蛇出塔而去', '唐-ch1:1', 'keep', '唐-ch1:1'), (1, '借伞与白娘子', '唐-ch1:1', 'relabel', '宋-ch2:3'), (2, '从未有过的话', '唐-ch1:1', 'mark', '唐-ch1:1'),
-(2, '也没有的话', '元-ch9:9', 'strip', NULL)) t(id, quote, label, action, new_label)"""
+    """Quotes from the benchmark passages with their own label, another's, an unknown one, or with words that nobody wrote."""
+    items = table(spark, sf, "benchmark").where("length(text) >= 60")
+    evidence = items.select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("label"), "text")
+    kind = F.pmod("item_id", F.lit(4))
+    label = F.concat(F.lit("b"), (F.col("item_id") + F.when(kind == 1, 1).when(kind == 2, 10**6).otherwise(0)).cast("string"))
+    quote = F.when(kind == 3, "words of nobody").otherwise(F.regexp_replace(F.substring("text", 11, 40), "[“”]", ""))
+    return P.repair_citations(items.select(F.col("item_id").alias("id"), F.concat(F.lit("it says “"), quote, F.lit("” ["), label, F.lit("].")).alias("text")), evidence)
+
+
+CITATIONS = r"""WITH i AS (SELECT item_id, text, regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g') AS norm FROM benchmark WHERE length(text) >= 60),
+q AS (SELECT item_id AS id, item_id % 4 AS k, CASE WHEN item_id % 4 = 3 THEN 'words of nobody' ELSE regexp_replace(substr(text, 11, 40), '[“”]', '', 'g') END AS quote,
+ 'b' || (item_id + CASE item_id % 4 WHEN 1 THEN 1 WHEN 2 THEN 1000000 ELSE 0 END) AS label FROM i),
+f AS (SELECT id, min('b' || item_id) AS best, bool_or('b' || item_id = label) AS own FROM q JOIN i ON contains(norm, regexp_replace(quote, '[^\p{L}\p{N}]+', '', 'g')) GROUP BY 1),
+x AS (SELECT q.id, quote, label, coalesce(own, false) AS own, best, label IN (SELECT 'b' || item_id FROM i) AS known FROM q LEFT JOIN f USING (id))
+SELECT id, quote, label, CASE WHEN own THEN 'keep' WHEN best IS NOT NULL THEN 'relabel' WHEN known THEN 'mark' ELSE 'strip' END AS action, CASE WHEN own THEN label WHEN best IS NOT NULL THEN best WHEN known THEN label END AS new_label FROM x"""
 
 
 LEGAL = ["license", "General Public License", "Public", "All rights reserved"]

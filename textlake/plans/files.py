@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textlake.plans.search import PARAS, STRIP, paras
 from textlake.sources import files as I
 from textlake.sources.tables import table
 
@@ -49,19 +50,25 @@ EXPORT = """SELECT n_nationkey || ',' || n_name || ',' || n_regionkey || ',"a ""
 
 
 def stand_off_export(spark, sf):
-    rows = [(1, 3, 5, "place", "A&B"), (1, 0, 2, "person", "<x>"), (2, 1, 4, "plot", "y")]
-    return I.stand_off_xml(spark.createDataFrame(rows, "doc long, start_char int, end_char int, category string, label string"), "doc")
+    """A mark in each paragraph, as spans of its document."""
+    rows = paras(spark, sf).select("doc_id", (F.col("para") * 10).alias("start_char"), (F.col("para") * 10 + 5).alias("end_char"), F.concat(F.lit("in "), "lang").alias("category"), F.concat("source", F.lit(" <&>")).alias("label"))
+    return I.stand_off_xml(rows, "doc_id").select("doc_id", F.md5("xml").alias("xml"), F.length("xml").alias("chars"))
 
 
-STAND_OFF = """SELECT * FROM (VALUES (1, '<spanGrp><span from="0" to="2" type="person">&lt;x&gt;</span><span from="3" to="5" type="place">A&amp;B</span></spanGrp>'), (2, '<spanGrp><span from="1" to="4" type="plot">y</span></spanGrp>')) t(doc, xml)"""
+STAND_OFF = f"""WITH {PARAS}, x AS (SELECT doc_id, string_agg('<span from="' || para * 10 || '" to="' || para * 10 + 5 || '" type="in ' || lang || '">' || source || ' &lt;&amp;&gt;</span>', '' ORDER BY para) AS x FROM paras GROUP BY 1)
+SELECT doc_id, md5('<spanGrp>' || x || '</spanGrp>') AS xml, length('<spanGrp>' || x || '</spanGrp>')::INT AS chars FROM x"""
 
 
 def chapters_split(spark, sf):
-    rows = spark.createDataFrame([("a", "一、 白蛇\n正文一。\n二、 青蛇\n正文二。\n行"), ("b", "没有标题")], "path string, text string")
-    return I.read_chapters(rows)
+    """Documents set as two chapters, and every fifth without headings."""
+    own = F.concat(F.lit("一、 "), "source", F.lit("\n"), "text", F.lit("\n二、"), "lang", F.lit("\nthe end of "), "source")
+    rows = table(spark, sf, "documents").where("text <> ''").select(F.col("doc_id").cast("string").alias("path"), F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(own).alias("text"))
+    return I.read_chapters(rows).select("path", "chapter", "number", "title", F.md5("content").alias("content"))
 
 
-CHAPTERS = """SELECT * FROM (VALUES ('a', 1, '一', '白蛇', '正文一。'), ('a', 2, '二', '青蛇', '正文二。' || chr(10) || '行'), ('b', 1, '', '全文', '没有标题')) t(path, chapter, number, title, content)"""
+CHAPTERS = rf"""WITH d AS (SELECT doc_id::VARCHAR AS path, doc_id, source, lang, regexp_replace(text, {STRIP}, '', 'g') AS t FROM documents WHERE text <> '')
+SELECT path, 1 AS chapter, '' AS number, '全文' AS title, md5(t) AS content FROM d WHERE doc_id % 5 = 0 UNION ALL SELECT path, 1, '一', source, md5(t) FROM d WHERE doc_id % 5 <> 0
+UNION ALL SELECT path, 2, '二', lang, md5('the end of ' || source) FROM d WHERE doc_id % 5 <> 0"""
 
 QUERIES = {"json_lines_round_trip": json_lines_round_trip, "csv_round_trip": csv_round_trip, "versions_latest": versions_latest, "csv_export_lines": csv_export_lines, "stand_off_export": stand_off_export, "chapters_split": chapters_split}
 ORACLE_SQL = {"json_lines_round_trip": DIGESTS, "csv_round_trip": CSV, "versions_latest": VERSIONS, "csv_export_lines": EXPORT, "stand_off_export": STAND_OFF, "chapters_split": CHAPTERS}
