@@ -145,6 +145,22 @@ def window_chunks(spark, sf):
     return K.chunk(table(spark, sf, "documents"), K.window, "window")
 
 
+def _nearest(marks: str) -> str:
+    """The end, nearest to 100 and of two the smaller, of a character of `marks` in the 200 characters where a window may end."""
+    return f"list_min(list_transform(list_filter(range(1, 201), lambda e: substr(seg, e, 1) <> '' AND contains({marks}, substr(seg, e, 1))), lambda e: abs(e - 100) * 1000 + e)) % 1000"
+
+
+WINDOWS = f"""WITH RECURSIVE w(doc_id, text, k, start, stop) AS (
+    SELECT doc_id, text, -1, 0::BIGINT, 0::BIGINT FROM documents WHERE text <> ''
+    UNION ALL
+    SELECT doc_id, text, k + 1, stop, CASE WHEN length(text) - stop > 600 THEN stop + coalesce(400 + {_nearest("'。！？.!?' || chr(10)")}, 400 + {_nearest("'；，;,'")}, 500) ELSE length(text) END
+    FROM (SELECT doc_id, text, k, stop, substr(text, stop + 401, 200) AS seg FROM w) WHERE stop < length(text)),
+p AS (SELECT doc_id, k, start, stop, text, count(*) OVER (PARTITION BY doc_id) AS n FROM w WHERE k >= 0),
+m AS (SELECT doc_id, CASE WHEN n > 1 AND k = n - 1 AND stop - start < 60 THEN k - 1 ELSE k END AS seq, start, stop, text FROM p),
+g AS (SELECT doc_id, seq, min(start) AS a, max(stop) AS z, any_value(text) AS text FROM m GROUP BY 1, 2)
+SELECT doc_id, seq::INT AS seq, 'primary_window_' || doc_id || '_' || lpad(seq::VARCHAR, 5, '0') AS chunk_id, substr(text, a + 1, z - a) AS content, (z - a)::INT AS chars FROM g"""
+
+
 def chunk_statistics(spark, sf):
     """Chunks by length must give every document back; statistics of their sizes."""
     chunks = window_chunks(spark, sf)
@@ -179,5 +195,5 @@ QUERIES = {
     "sentence_counts": sentence_counts,
 }
 ORACLE_SQL = {
-    "benchmark_shared_spans": SHARED_SPANS, "dictionary_occurrences": OCCURRENCES, "dictionary_scan": LONGEST, "span_repair": SPANS, "citation_repair": CITATIONS, "chunk_statistics": CHUNK_STATISTICS, "chunk_violations": VIOLATIONS, "sentence_counts": SENTENCES,
+    "benchmark_shared_spans": SHARED_SPANS, "dictionary_occurrences": OCCURRENCES, "dictionary_scan": LONGEST, "span_repair": SPANS, "citation_repair": CITATIONS, "chunk_statistics": CHUNK_STATISTICS, "window_chunks": WINDOWS, "chunk_violations": VIOLATIONS, "sentence_counts": SENTENCES,
 }
