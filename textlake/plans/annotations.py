@@ -144,11 +144,12 @@ FIRST_MENTIONS = f"""WITH {NOTES} SELECT doc_id, entity, para AS first_para, cat
 
 
 def category_histogram(spark, sf):
-    nested = notes(spark, sf).groupBy("doc_id").agg(F.collect_list("category").alias("cats"))
+    """How often each category is in the lists that paragraphs carry: each note's category, and its origin beside it."""
+    nested = notes(spark, sf).select(F.array("category", "origin").alias("cats"))
     return nested.select(F.explode("cats").alias("category")).groupBy("category").agg(F.count("*").alias("n"))
 
 
-HISTOGRAM = f"""WITH {NOTES}, d AS (SELECT doc_id, list(category) AS cats FROM notes GROUP BY 1) SELECT category, count(*) AS n FROM (SELECT unnest(cats) AS category FROM d) GROUP BY 1"""
+HISTOGRAM = f"""WITH {NOTES}, d AS (SELECT [category, origin] AS cats FROM notes) SELECT category, count(*) AS n FROM (SELECT unnest(cats) AS category FROM d) GROUP BY 1"""
 
 
 def position_paragraphs(spark, sf):
