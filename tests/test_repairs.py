@@ -46,3 +46,22 @@ def test_rules_of_chunk_tables(spark):
     bad = [("x", 1, "text", 4), ("primary_huaben_1_00001", -1, "text", 4), ("primary_huaben_1_00002", 2, " ", 1), ("primary_huaben_1_00003", 3, "text", 5), good]
     got = sorted((r.chunk_id, r.rule) for r in K.violations(spark.createDataFrame([good, *bad], "chunk_id string, seq int, content string, chars int")).collect())
     assert got == [("primary_huaben_1_00000", "repeated id"), ("primary_huaben_1_00001", "negative position"), ("primary_huaben_1_00002", "empty content"), ("primary_huaben_1_00003", "length differs"), ("x", "bad id")]
+
+
+def test_metadata_of_chunks(spark):
+    import json
+
+    good = {f: "x" for f in K.REQUIRED} | {"chunk_id": "primary_huaben_1_00000", "source_type": "p", "source_file": "f", "paragraph_index": 0, "char_start": 1, "char_end": 2, "strategy": "other"}
+    bad = [
+        {"chunk_id": "x"}, {"chapter_number": 3}, {"source_file": "g"}, {"char_end": 1}, {"context_prefix": "ab", "context_prefix_length": 3}, {"paragraph_index": -1}, {"strategy": "structural_scene"},
+        {"strategy": "structural_scene", "paragraph_index": -1, "scene_index": 0, "context_prefix_length": 0}, {"dynasty": None},
+    ]
+    rows = [json.dumps(good), *[json.dumps(good | {"chunk_id": f"primary_huaben_1_{i:05}"} | b) for i, b in enumerate(bad, 1)], json.dumps({k: v for k, v in good.items() if k != "dynasty"})]
+    got = sorted((r.chunk_id, r.rule) for r in K.metadata_errors(spark.createDataFrame([(r,) for r in rows], "meta string"), {"p": "f"}).collect())
+    name = lambda i: f"primary_huaben_1_{i:05}"
+    assert got == sorted([
+        ("x", "bad id"), (name(2), "chapter is no text"), (name(3), "file of another source"), (name(4), "end before start"), (name(5), "prefix of another length"), (name(6), "negative paragraph"),
+        (name(7), "missing field scene_index of structural_scene"), (name(7), "missing field context_prefix_length of structural_scene"), (name(0), "missing field dynasty"), (name(0), "repeated id"),
+    ])
+    broken = K.metadata_errors(spark.createDataFrame([("no json",), (None,)], "meta string"), {}).collect()
+    assert len(broken) == 2 * (len(K.REQUIRED) + 1)

@@ -6,7 +6,7 @@ Each document is cut by itself, in Arrow batches; a document is never spread ove
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -152,6 +152,40 @@ def violations(chunks: DataFrame) -> DataFrame:
     return each.unionByName(twice)
 
 
+# What every chunk's metadata must say, what strategies ask for beyond that, and which strategies number sentences.
+REQUIRED = ["chunk_id", "chapter_number", "chapter_title", "dynasty", "genre", "source_type", "strategy", "paragraph_index", "paragraph_range", "sentence_range", "char_start", "char_end", "structural_unit", "source_file"]
+BY_STRATEGY = {"structural_act": ["qupai_name", "act_index", "context_prefix_length"], "structural_scene": ["scene_index", "context_prefix_length"], "tanci_scene_window": ["context_prefix_length"]}
+SENTENCE_LEVEL = ["sentence_semantic_merge", "structural_chapter_merge", "structural_act", "structural_scene", "tanci_scene_window"]
+
+
+def metadata_errors(chunks: DataFrame, files: Mapping[str, str], col: str = "meta") -> DataFrame:
+    """(chunk_id, rule) for each rule that a chunk's metadata, a JSON object, breaks: fields missing, ids repeated or malformed, chapters
+    that are no text, files of another source type (`files`: type to file), ends before starts, prefixes of another length, negative
+    paragraphs where paragraphs count, and fields that a strategy asks for. Text that is no JSON misses every field."""
+    rows = chunks.select(F.try_parse_json(col).alias("v"))
+    of = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)
+    has = lambda name: of(name, "variant").isNotNull()
+    expected = F.create_map(*[F.lit(x) for kv in files.items() for x in kv])[of("source_type", "string")] if files else F.lit(None).cast("string")
+    start, end = of("char_start", "bigint"), of("char_end", "bigint")
+    prefix, size = F.coalesce(of("context_prefix", "string"), F.lit("")), F.coalesce(of("context_prefix_length", "bigint"), F.lit(-1))
+    strategy = F.coalesce(of("strategy", "string"), F.lit(""))
+    rules = {f"missing field {f}": ~has(f) for f in REQUIRED}
+    rules |= {
+        "bad id": (of("chunk_id", "string") != "") & ~of("chunk_id", "string").rlike(r"^(primary|research)_[a-z_]+_[^_]+_\d{5}$"),
+        "chapter is no text": has("chapter_number") & ~F.schema_of_variant(of("chapter_number", "variant")).isin("STRING", "VOID"),
+        "file of another source": (of("source_file", "string") != "") & (of("source_file", "string") != expected),
+        "end before start": (start > 0) & (end > 0) & (start >= end),
+        "prefix of another length": (size >= 0) & (size != F.length(prefix)),
+        "negative paragraph": (F.coalesce(of("paragraph_index", "bigint"), F.lit(-1)) < 0) & ~strategy.isin(*SENTENCE_LEVEL),
+    }
+    rules |= {f"missing field {f} of {s}": (strategy == s) & ~has(f) for s, fields in BY_STRATEGY.items() for f in fields}
+    broken = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull())
+    own = of("chunk_id", "string").alias("chunk_id")
+    each = rows.select(own, F.explode(broken).alias("rule"))
+    twice = rows.select(own).where("chunk_id <> ''").groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1")
+    return each.unionByName(twice.select("chunk_id", F.lit("repeated id").alias("rule")))
+
+
 def parse_chunk_id(chunk_id) -> tuple:
     """(source type, genre, chapter, seq) columns; genres may contain underscores."""
     pattern = r"^(primary|research)_(.+)_([^_]+)_(\d{5})$"

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textlake.operators import chunking as K
 from textlake.operators import genres as G
 from textlake.operators import located as L
 from textlake.plans.search import PARAS, paras
@@ -92,8 +93,23 @@ def ordered_places(spark, sf):
 PLACES = rf"""WITH {PARAS}, n AS (SELECT doc_id, para, para // 3 AS seq, length(regexp_replace(p, '[\s\x0b\x{{3000}}\x{{00A0}}]+', '', 'g')) AS n FROM paras)
 SELECT doc_id, seq::INT AS seq, coalesce(min(para) FILTER (n >= 6), -1)::INT AS para, CASE WHEN max(n) >= 6 THEN 'chain' ELSE 'none' END AS method FROM n GROUP BY 1, 2"""
 
+def chunk_metadata_errors(spark, sf):
+    """Which rules the metadata of the chunks by threes break; every ninth document's chapter is a number."""
+    rows = paras(spark, sf)
+    places = L.in_order(_triples(rows), rows)
+    chapter = F.col("doc_id").cast("string")
+    head = F.struct(F.concat(F.lit("primary_huaben_"), chapter, F.lit("_"), F.lpad(F.col("seq").cast("string"), 5, "0")).alias("chunk_id"), F.lit("t").alias("chapter_title"), F.lit("d").alias("dynasty"), F.lit("huaben").alias("genre"),
+        F.lit("primary_literature").alias("source_type"), F.lit("paragraph_semantic_merge").alias("strategy"), F.col("para").alias("paragraph_index"), F.array("para").alias("paragraph_range"), F.lit("").alias("sentence_range"),
+        F.lit(-1).alias("char_start"), F.lit(-1).alias("char_end"), F.lit("").alias("structural_unit"), F.lit("documents").alias("source_file"))
+    number = F.when(F.col("doc_id") % 9 == 0, chapter).otherwise(F.concat(F.lit('"'), chapter, F.lit('"')))
+    meta = F.concat(F.lit('{"chapter_number":'), number, F.lit(","), F.substring(F.to_json(head), F.lit(2), F.length(F.to_json(head))))
+    return K.metadata_errors(places.select(meta.alias("meta")), {"primary_literature": "documents"}).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+METADATA = f"""WITH p AS ({PLACES}) SELECT 'negative paragraph' AS rule, count(*) AS n FROM p WHERE para < 0 HAVING count(*) > 0 UNION ALL SELECT 'chapter is no text', count(*) FROM p WHERE doc_id % 9 = 0 HAVING count(*) > 0"""
+
 QUERIES = {
-    "play_chunks": play_chunks, "script_parts": script_parts, "script_chunks": script_chunks, "paper_layout": paper_layout, "paper_chunks": paper_chunks, "paper_coverage": paper_coverage,
+    "chunk_metadata_errors": chunk_metadata_errors, "play_chunks": play_chunks, "script_parts": script_parts, "script_chunks": script_chunks, "paper_layout": paper_layout, "paper_chunks": paper_chunks, "paper_coverage": paper_coverage,
     "ordered_places": ordered_places,
 }
-ORACLE_SQL = {"play_chunks": PLAYS, "script_parts": SCRIPT, "paper_layout": LAYOUT, "paper_coverage": COVERAGE, "ordered_places": PLACES}
+ORACLE_SQL = {"chunk_metadata_errors": METADATA, "play_chunks": PLAYS, "script_parts": SCRIPT, "paper_layout": LAYOUT, "paper_coverage": COVERAGE, "ordered_places": PLACES}
