@@ -103,3 +103,20 @@ def test_counts_of_tokens(spark):
     rows = [(["b", "a", "b", None, "b"],), ([],), (None,), (["x"],)]
     got = [{t.token: t.tf for t in r.c} for r in spark.createDataFrame(rows, "t array<string>").select(counted(F.col("t")).alias("c")).collect()]
     assert got == [{"a": 1, "b": 3}, {}, {}, {"x": 1}]
+
+
+def test_keywords_and_documents_with_all_tokens(spark, tmp_path):
+    rows = [*texts(6, 60), (900, "en", None), (901, "en", "w1 w2 w3 rare")]
+    index = index_of(spark, tmp_path / "i", rows[:30], rows[30:])
+    sets = {i: set((t or "").split()) for i, _, t in rows}
+    asked = {"a": ["w1", "w2", "w3"], "b": ["rare", "w1"], "c": ["none", "w1"], "d": ["w0"]}
+    found = index.with_all(spark.createDataFrame([(q, t) for q, ts in asked.items() for t in ts] + [("a", None)], "query_id string, token string"), rarest=3).collect()
+    assert sorted((r.query_id, r.doc_id) for r in found) == sorted((q, i) for q, ts in asked.items() for i, s in sets.items() if set(ts) <= s)
+    n, df = len(rows), Counter(w for s in sets.values() for w in s)
+    got = {}
+    for r in R.tf_idf(index, 3).collect():
+        got.setdefault(r.doc_id, []).append((r.place, r.word, r.tf, r.df))
+    for i, _, t in rows:
+        tf = Counter(w for w in (t or "").split() if len(w) >= 2)
+        best = sorted(tf, key=lambda w: (-round(tf[w] * math.log(n / df[w]), 6), w))[:3]
+        assert sorted(got.get(i, [])) == [(k, w, tf[w], df[w]) for k, w in enumerate(best, 1)]

@@ -194,6 +194,42 @@ class Index:
             chosen = rows.join(open_, ["query_id", "segment", "block"])
         return scored(chosen).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
+    def frequencies(self, tokens: DataFrame | None = None) -> DataFrame | None:
+        """(token, df) from block headers, of `tokens` (token) or of all."""
+        if tokens is not None:
+            found = self.blocks(tokens)
+            return None if found is None else found.groupBy("token").agg(F.sum("n").alias("df"))
+        rows = None
+        for s in self._segments():
+            if s.docs and s.total:
+                own = self.spark.read.parquet(f"{self.path}/segment={s.segment}/postings").select("token", "n")
+                rows = own if rows is None else rows.unionByName(own)
+        return None if rows is None else rows.groupBy("token").agg(F.sum("n").alias("df"))
+
+    def with_all(self, wanted: DataFrame, rarest: int = 4) -> DataFrame | None:
+        """(query_id, ids): candidates for the documents that have all tokens of a query (query_id, token): those with its `rarest` ones.
+        None for an index without postings."""
+        asked = wanted.where("token is not null").distinct()
+        found = self.blocks(asked)
+        if found is None:
+            return None
+        df = found.select("token", "n").groupBy("token").agg(F.sum("n").alias("df"))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("df", "token"))
+        ranked = asked.join(df, "token", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("place", place).where(F.col("place") <= rarest)
+        need = ranked.groupBy("query_id").agg(F.count("*").alias("need"), F.min("df").alias("least")).where("least > 0").select("query_id", "need")
+        rows = found.join(ranked.select("query_id", "token"), "token").select("query_id", F.col("segment").alias("__segment"), "first", F.explode("deltas").alias("d"))
+        rows = rows.groupBy("query_id", "__segment", (F.col("first") + F.col("d")).alias("__ordinal")).agg(F.count("*").alias("n"))
+        rows = rows.join(need, "query_id").where("n = need")
+        return rows.join(self.documents(), ["__segment", "__ordinal"]).select("query_id", *self.ids)
+
+    def terms(self) -> DataFrame:
+        """(ids, token, tf) of all documents, from the forward table."""
+        rows = None
+        for s in self._segments():
+            own = self.spark.read.parquet(f"{self.path}/segment={s.segment}/documents").select(*self.ids, F.explode("__terms").alias("t")).select(*self.ids, "t.token", "t.tf")
+            rows = own if rows is None else rows.unionByName(own)
+        return rows
+
     def matched(self, tokens: DataFrame, *columns: str) -> DataFrame:
         """(ids, columns, matched): how many of `tokens` (token) each document has, if any."""
         found = self.blocks(tokens)

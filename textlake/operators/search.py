@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textlake.functions import scoring as S
 from textlake.functions import text as T
-from textlake.operators.postings import Index, counted
+from textlake.operators.postings import Index
 
 
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", tokens: Column | None = None, where: Column | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -142,17 +142,19 @@ def entity_idf(tags: DataFrame, n_docs: int, low: float = 0.3, high: float = 1.5
 COMMON = 1024
 
 
-def tf_idf(docs: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
-    """The k keywords of each document by tf * ln(n / df). Words are counted within their row; the commonest get their frequency from a
-    broadcast table of COMMON rows, and are spread in the join that gives it to the others."""
-    words = F.filter(T.words(F.col("text")), lambda w: F.length(w) >= 2)
-    tf = docs.select(id_col, F.explode(counted(words)).alias("t")).select(id_col, F.col("t.token").alias("word"), F.col("t.tf").cast("bigint").alias("tf"))
-    df = tf.groupBy("word").agg(F.count("*").alias("df"))
+def tf_idf(index: Index, k: int, id_col: str = "doc_id") -> DataFrame:
+    """The k keywords of each document of an index by tf * ln(n / df). Counts come from its forward table, frequencies from the headers of its
+    postings; the commonest words get theirs from a broadcast table of COMMON rows, and are spread in the join for the others."""
+    tf = index.terms().select(id_col, F.col("token").alias("word"), F.col("tf").cast("bigint").alias("tf")).where(F.length("word") >= 2)
+    df = index.frequencies()
+    if df is None:
+        return tf.withColumns({"df": F.lit(0).cast("bigint"), "score": F.lit(0.0), "place": F.lit(0)}).limit(0)
+    df = df.select(F.col("token").alias("word"), "df")
     top = df.orderBy(F.desc("df"), "word").limit(COMMON).select("word", F.col("df").alias("__top"))
     rows = tf.join(F.broadcast(top), "word", "left")
     rows = rows.withColumn("__spread", F.when(F.col("__top").isNotNull(), F.xxhash64(id_col, "word")).otherwise(F.lit(0).cast("bigint")))
     rows = rows.join(df.withColumn("__spread", F.lit(0).cast("bigint")), ["word", "__spread"], "left").withColumn("df", F.coalesce("__top", "df"))
-    n = docs.agg(F.count("*").alias("n"))
-    scored = rows.join(F.broadcast(n)).withColumn("score", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 6))
+    n, _ = index.statistics()
+    scored = rows.withColumn("score", F.round(F.col("tf") * F.log(F.lit(n) / F.col("df")), 6))
     place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("score"), "word"))
     return scored.withColumn("place", place).where(F.col("place") <= k).select(id_col, "word", "tf", "df", "score", "place")

@@ -8,7 +8,7 @@ from textlake.functions import scoring as S
 from textlake.functions import text as T
 from textlake.operators import corpus as C
 from textlake.operators import verify as V
-from textlake.plans.search import PARAS, WORDS, paras
+from textlake.plans.search import PARAS, WORDS, paras, words_index
 from textlake.sources.tables import table
 
 MOTIFS, LANGS = ["license", "token", "der", "zzz", "stupid"], ["en", "de", "fr", "es", "it"]
@@ -87,7 +87,7 @@ SHARED = f"SELECT item_id, doc_id, count(*) AS shared FROM {_grams('benchmark',
 
 
 def quote_verification(spark, sf):
-    return V.verify_quotes(table(spark, sf, "benchmark"), table(spark, sf, "documents"))
+    return V.verify_quotes(table(spark, sf, "benchmark"), table(spark, sf, "documents"), index=words_index(spark, sf))
 
 
 QUOTES = f"""WITH q AS (SELECT item_id, ' ' || list_aggregate(w, 'string_agg', ' ') || ' ' AS q FROM (SELECT item_id, {WORDS} AS w FROM benchmark) WHERE len(w) >= 8),

@@ -240,7 +240,7 @@ SELECT doc_id, para, score, length(p) AS chars FROM paras JOIN b USING (doc_id,
 
 
 def tfidf_keywords(spark, sf):
-    return R.tf_idf(table(spark, sf, "documents"), 5)
+    return R.tf_idf(words_index(spark, sf), 5)
 
 
 TFIDF = f"""WITH w AS (SELECT doc_id, unnest({WORDS}) AS word FROM documents), tf AS (SELECT doc_id, word, count(*) AS tf FROM w WHERE length(word) >= 2 GROUP BY 1, 2),
