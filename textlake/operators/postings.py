@@ -43,7 +43,7 @@ def counted(tokens: Column) -> Column:
         end = lambda s, k: F.coalesce(F.get(s, k + 1), F.size(t) + 1)
         return bind(starts, lambda s: F.transform(s, lambda i, k: F.struct(F.get(t, i - 1).alias("token"), (end(s, k) - i).alias("tf"))))
 
-    own = F.array_sort(F.filter(F.coalesce(tokens, F.array().cast("array<string>")), lambda x: x.isNotNull()))
+    own = F.sort_array(F.filter(F.coalesce(tokens, F.array().cast("array<string>")), lambda x: x.isNotNull()))
     return bind(own, lambda t: F.when(F.size(t) > 0, runs(t)).otherwise(F.array().cast("array<struct<token:string,tf:int>>")))
 
 
