@@ -78,3 +78,8 @@ def test_recency_halves_each_half_period(spark):
 def test_reciprocal_ranks_fall(spark):
     got = [r[0] for r in spark.range(1, 30).orderBy("id").select(S.reciprocal_rank(F.col("id"), 0.5)).collect()]
     assert got == sorted(got, reverse=True) and math.isclose(got[0], 0.5 / 21)
+
+
+def test_verbatim_quotes_in_capitals(spark):
+    got = values(spark, [T.verbatim(F.col("q"), F.col("text"))], ("GROẞE STRAẞE", "die große Straße"), ("GROSSE STRASSE", "die große Straße"), ("GROSSE GASSE", "die große Straße"), schema="q string, text string")
+    assert got == [(True,), (True,), (False,)]

@@ -211,8 +211,8 @@ def chinese_number(text: Column) -> Column:
 
 
 def verbatim(quote: Column, source: Column, prefix: int = 12, window: int = 15, step: int = 5) -> Column:
-    """Whether a quote stands in a source: as it is, in letters and digits, by its first `prefix` of these, or by any
-    `window` of them at multiples of `step`."""
+    """Whether a quote stands in a source: as it is, in letters and digits in any case (ß is SS), by its first `prefix` of
+    these, or by any `window` of them at multiples of `step`."""
 
     def found(both: Column) -> Column:
         q, s = both["q"], both["s"]
@@ -224,7 +224,8 @@ def verbatim(quote: Column, source: Column, prefix: int = 12, window: int = 15,
         )
 
     both = F.struct(letters_and_digits(quote).alias("q"), letters_and_digits(source).alias("s"))
-    return (F.length(quote) > 0) & source.contains(quote) | bind(both, found)
+    whole = bind(both, lambda b: (F.length(b["q"]) > 0) & F.upper(b["s"]).contains(F.upper(b["q"])))
+    return (F.length(quote) > 0) & source.contains(quote) | bind(both, found) | whole
 
 
 def typed_statement(text: Column, types: Sequence[str], default: str) -> tuple[Column, Column]:
