@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from textlake.operators.located import in_order, rising_chain
+from textlake.operators.located import in_order, rising_chain, surest_chain
 
 
 @pytest.mark.parametrize("seed", range(10))
@@ -39,3 +39,24 @@ def test_shuffled_copies_of_a_long_text(spark):
     chunks = [(7, k, "\n".join(lines[k * 4 : k * 4 + 4])) for k in range(20)]
     got = {x.seq: x.para for x in in_order(spark.createDataFrame(chunks, "doc_id long, seq int, content string"), spark.createDataFrame(paras, "doc_id long, para int, paragraph string")).collect()}
     assert got == {k: k * 4 for k in range(20)}
+
+
+def test_a_whole_paragraph_goes_before_a_part_of_one(spark):
+    text = ["first of all", "an end and a paragraph", "a paragraph", "more text here"]
+    paras = [(1, i, p) for i, p in enumerate(text)]
+    chunks = [(1, 0, "first of all\nan end and a paragraph"), (1, 1, "a paragraph\nmore text here")]
+    got = {r.seq: (r.para, r.method) for r in in_order(spark.createDataFrame(chunks, "doc_id long, seq int, content string"), spark.createDataFrame(paras, "doc_id long, para int, paragraph string")).collect()}
+    assert got == {0: (0, "chain"), 1: (2, "chain")}
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_surest_chains(seed):
+    r = np.random.default_rng(seed)
+    x, sure = r.integers(0, 8, 10), r.integers(0, 2, 10).astype(bool)
+    want = (0, 0)
+    for mask in range(1 << len(x)):
+        own = [i for i in range(len(x)) if mask >> i & 1]
+        if (np.diff(x[own]) > 0).all():
+            want = max(want, (len(own), int(sure[own].sum())))
+    chain = surest_chain(x, sure)
+    assert (np.diff(x[chain]) > 0).all() and (len(chain), int(sure[chain].sum())) == want
