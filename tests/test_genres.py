@@ -91,6 +91,14 @@ def test_papers_keep_titles_captions_and_paths(spark):
     assert all(r.doc_id == 1 for r in rows)
 
 
+def test_papers_lose_no_paragraph(spark):
+    paras = ["1. source", "some text", "70.32.29.134 is an address", "2. " + "a long title " * 15, "3. " + "another one " * 15, "结语"]
+    docs = spark.createDataFrame([(1, "\n\n".join(paras)), (2, "1. source")], "doc_id long, text string")
+    rows = G.papers(docs, embed=unit).orderBy("seq").collect()
+    assert {i for r in rows for i in range(r.first_para, r.last_para + 1)} == set(range(6)) and {r.doc_id for r in rows} == {1}
+    assert rows[0].path == "1. source" and all("70.32" not in r.path for r in rows)
+
+
 def test_sentences_join_by_likeness_or_names():
     s = ["aaa 白娘子", "ab", "xyz 白娘子", "q", "zzzz"]
     assert G.related_sentences(s, 250, 1, 0.9, ["白娘子"], unit) == [[0, 1], [2], [3], [4]]

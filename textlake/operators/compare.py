@@ -8,14 +8,13 @@ batches.
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlake.operators.corpus import shared_ngrams
 from textlake.operators.patterns import occurrences
+from textlake.operators.rowwise import by_row
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, n: int = 8) -> DataFrame:
@@ -65,12 +64,11 @@ def locate_span(text: str, entity: str, start: int, end: int, around: int = 50)
 def repair_spans(spans: DataFrame) -> DataFrame:
     """Rows (id, text, entity, start, end) to (id, entity, start, end, level, confidence)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, e, *locate_span(t or "", e or "", int(a), int(z))) for i, t, e, a, z in zip(b["id"], b["text"], b["entity"], b["start"], b["end"], strict=True)]
-            yield pd.DataFrame(rows, columns=["id", "entity", "start", "end", "level", "confidence"])
+    def run(i, text, entity, start, end):
+        yield (i, entity, *locate_span(text or "", entity or "", start, end))
 
-    return spans.select("id", "text", "entity", "start", "end").mapInPandas(run, "id bigint, entity string, start int, end int, level string, confidence string")
+    rows = spans.select(F.col("id").cast("bigint"), "text", "entity", F.col("start").cast("int"), F.col("end").cast("int"))
+    return by_row(rows, run, {"id": "bigint", "entity": "string", "start": "int", "end": "int", "level": "string", "confidence": "string"})
 
 
 #: A quote of 4 to 300 characters and the label that follows it.
