@@ -95,3 +95,21 @@ def test_small_edits_are_found_as_they_are(spark):
     got = {r.pair_id: (r.op, r.position) for r in A.diff(spark.createDataFrame(rows, "pair_id long, left string, right string")).collect()}
     assert got[1][0] == "delete" and got[3] == ("insert", len(base) + 1) and got[2][0] in ("replace", "insert", "delete")
     assert A.diff(spark.createDataFrame([], "pair_id long, left string, right string")).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 3, 8])
+def test_both_ways_to_maximal_strings(n, monkeypatch):
+    monkeypatch.setattr(A, "MEETINGS", 50)
+    for seed in range(4):
+        for _, left, right in pairs_of(seed):
+            want = maximal(left or "", right or "", n)
+            for find in (A.maximal, A._by_table, A._by_arrays):
+                if min(len(left or ""), len(right or "")) >= n:
+                    got = list(zip(*(x.tolist() for x in find(left, right, n)), strict=True))
+                    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_difference_shuffles_no_characters(spark):
+    rows = [(i, "some line of text that goes on " * 40, "some line of a text that went on " * 40) for i in range(3)]
+    plan = A.blocks(spark.createDataFrame(rows, "pair_id long, left string, right string"))._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Generate" not in plan

@@ -4,8 +4,9 @@ Both texts of a pair are cut into strings of n characters at every place; equal
 Meetings that follow each other on a diagonal (the same distance between the places) are one match: gaps and islands. A match is
 therefore maximal, and the work follows the meetings, not the product of the texts.
 
-`chained` keeps, per pair, the heaviest chain of matches in the order of both texts; the parts between two links of the chain are
-pairs of their own for a smaller n. What is left after the smallest n are the differences.
+`blocks` keeps, per pair, the heaviest chain of matches in the order of both texts; the parts between two links of the chain are
+compared anew for a smaller n. What is left after the smallest n are the differences. As a chain is a fold over one pair's matches, a pair is
+one row there, and its matches are found beside it (`maximal`): no character is shuffled.
 
 Defined cases
     null text: empty.     empty texts or none that share n characters: one difference, the whole.     equal texts: no difference, ratio 1.
@@ -18,10 +19,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textlake.operators.rowwise import by_row
 from textlake.sources.files import stored
 
 #: Shown for nothing.
@@ -63,80 +64,132 @@ def heaviest_chain(left: np.ndarray, right: np.ndarray, size: np.ndarray) -> np.
     totals, a chain that can be reached first in the order of left and right places."""
     order = np.lexsort((size, right, left))
     ends = np.unique(right + size)
-    best = [(0, -1)] * (len(ends) + 1)  # a Fenwick tree of (total, -row) by end in the right text
-    total, back = np.zeros(len(size), np.int64), np.full(len(size), -1)
-    waiting = order[np.argsort((left + size)[order], kind="stable")]
+    best = [(0, 0)] * (len(ends) + 1)  # a Fenwick tree of (total, -row) by end in the right text
+    total, back = [0] * len(size), [-1] * len(size)
+    waiting = order[np.argsort((left + size)[order], kind="stable")].tolist()
+    enters, leaves = (np.searchsorted(ends, right + size) + 1).tolist(), np.searchsorted(ends, right, side="right").tolist()
+    starts, stops, sizes = left.tolist(), (left + size).tolist(), size.tolist()
     done = 0
     for row in order.tolist():
-        while done < len(waiting) and left[waiting[done]] + size[waiting[done]] <= left[row]:
-            w = int(waiting[done])
-            at = int(np.searchsorted(ends, right[w] + size[w])) + 1
-            value = (int(total[w]), -w)
+        start = starts[row]
+        while done < len(waiting) and stops[waiting[done]] <= start:
+            w = waiting[done]
+            at, value = enters[w], (total[w], -w)
             while at <= len(ends):
-                best[at] = max(best[at], value)
+                if best[at] < value:
+                    best[at] = value
                 at += at & -at
             done += 1
-        at, found = int(np.searchsorted(ends, right[row], side="right")), (0, -len(size) - 1)
+        at, found = leaves[row], (0, 0)
         while at:
-            if best[at][0]:
-                found = max(found, best[at])
+            if best[at][0] > found[0] or best[at] > found:
+                found = best[at]
             at -= at & -at
-        total[row] = found[0] + size[row]
+        total[row] = found[0] + sizes[row]
         back[row] = -found[1] if found[0] else -1
-    chain, row = [], int(order[np.argmax(total[order])]) if len(order) else -1
+    chain, row = [], max(order.tolist(), key=total.__getitem__) if len(order) else -1
     while row >= 0:
         chain.append(row)
-        row = int(back[row])
+        row = back[row]
     return np.array(chain[::-1], np.int64)
 
 
-def chained(found: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The rows of `found` (key, left_at, right_at, size) that make each pair's heaviest chain."""
-    key = list(key)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        cols = [rows[c].to_numpy(np.int64) for c in ("left_at", "right_at", "size")]
-        return rows.iloc[heaviest_chain(*cols)]
-
-    kinds = dict(found.dtypes)
-    names = [*key, "left_at", "right_at", "size"]
-    return found.select(*names).groupBy(*key).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in names))
+#: Meetings looked at together; characters of a pair below which a table of strings is quicker than arrays.
+MEETINGS, SHORT = 1 << 20, 1500
+
+
+def maximal(left: str, right: str, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left_at, right_at, size) of all maximal common strings of n characters or more of two texts, in order. Only the meetings that begin or
+    end one are kept, so memory follows the matches; time follows the meetings."""
+    if len(left) < n or len(right) < n:
+        return (np.zeros(0, np.int64),) * 3
+    return _by_table(left, right, n) if len(left) + len(right) < SHORT else _by_arrays(left, right, n)
+
+
+def _by_table(left: str, right: str, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    stands: dict[str, list[int]] = {}
+    for j in range(len(right) - n + 1):
+        stands.setdefault(right[j : j + n], []).append(j)
+    out: list[tuple[int, int, int]] = []
+    for i in range(len(left) - n + 1):
+        for j in stands.get(left[i : i + n], ()):
+            if not i or not j or left[i - 1] != right[j - 1]:
+                size, most = n, min(len(left) - i, len(right) - j)
+                while size < most and left[i + size] == right[j + size]:
+                    size += 1
+                out.append((i, j, size))
+    return tuple(np.array(out, np.int64).reshape(-1, 3).T)
+
+
+def _by_arrays(left: str, right: str, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (left, right))
+    odd = np.random.default_rng(n).integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
+    gx, gy = (sum(t[k : len(t) - n + 1 + k] * odd[k] for k in range(n)) for t in (x, y))  # hashes; meetings are compared below
+    order = np.argsort(gy, kind="stable")
+    low, high = (np.searchsorted(gy[order], gx, side) for side in ("left", "right"))
+    upto = np.cumsum(high - low)
+    begins, ends = [], []
+    at = 0
+    while at < len(gx):
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + MEETINGS, "right")))
+        times = (high - low)[at:stop]
+        i = np.repeat(np.arange(at, stop), times)
+        j = order[np.repeat(low[at:stop] - (np.cumsum(times) - times), times) + np.arange(len(i))]
+        same = np.ones(len(i), bool)
+        for k in range(n):
+            same &= x[i + k] == y[j + k]
+        i, j = i[same], j[same]
+        first = (i == 0) | (j == 0) | (x[i - 1] != y[j - 1])
+        last = (i + n == len(x)) | (j + n == len(y))
+        last[~last] = x[i[~last] + n] != y[j[~last] + n]
+        begins.append((i[first], j[first]))
+        ends.append((i[last], j[last]))
+        at = stop
+    (i, j), (e, f) = (tuple(np.concatenate(c) for c in zip(*rows, strict=True)) for rows in (begins, ends))
+    begin, end = np.lexsort((i, i - j)), np.lexsort((e, e - f))  # on each diagonal beginnings and ends take turns
+    i, j, size = i[begin], j[begin], e[end] - i[begin] + n
+    order = np.lexsort((j, i))
+    return i[order], j[order], size[order]
+
+
+def gaps(links: list[tuple[int, int, int]], left: int, right: int) -> list[tuple[int, int, int, int]]:
+    """The parts (from, to, from, to) before, between and after links of a chain where both sides have characters."""
+    begins = [(0, 0), *[(i + n, j + n) for i, j, n in links]]
+    ends = [*[(i, j) for i, j, _ in links], (left, right)]
+    return [(a, z, c, e) for (a, c), (z, e) in zip(begins, ends, strict=True) if a < z and c < e]
+
+
+def common_blocks(left: str, right: str, sizes: Sequence[int]) -> list[tuple[int, int, int]]:
+    """(left_at, right_at, size): the heaviest chain of common strings of sizes[0] characters or more, between its links those of
+    sizes[1], and so on."""
+    out: list[tuple[int, int, int]] = []
+    parts = [(0, len(left), 0, len(right))]
+    for n in sizes:
+        for a, z, c, e in parts:
+            found = maximal(left[a:z], right[c:e], n)
+            chain = heaviest_chain(*found) if len(found[0]) > 1 else range(len(found[0]))
+            for i, j, size in sorted(zip(*(x[list(chain)].tolist() for x in found), strict=True)):
+                out.append((a + i, c + j, size))
+        parts = gaps(sorted(out), len(left), len(right))
+    return out
 
 
 def blocks(pairs: DataFrame, sizes: Sequence[int] = (8, 3)) -> DataFrame:
     """(pair_id, left_at, right_at, size): common strings in the order of both texts, found by strings of sizes[0] characters, between
-    them by sizes[1], and so on."""
-    key = ["pair_id", "part"]
-    texts = pairs.select("pair_id", F.lit(0).cast("bigint").alias("part"), F.lit(0).alias("left_from"), F.lit(0).alias("right_from"), F.coalesce("left", F.lit("")).alias("left"), F.coalesce("right", F.lit("")).alias("right"))
-    out = None
-    for n in sizes:
-        texts = stored(texts)
-        links = stored(chained(matches(texts, n, key), key))
-        moved = links.join(texts.select(*key, "left_from", "right_from"), key)
-        moved = moved.select("pair_id", (F.col("left_from") + F.col("left_at")).alias("left_at"), (F.col("right_from") + F.col("right_at")).alias("right_at"), "size")
-        out = moved if out is None else out.unionByName(moved)
-        texts = _between(texts, links, key)
-    return out
+    them by sizes[1], and so on. A pair is one row of one task."""
+    texts = pairs.select("pair_id", F.coalesce("left", F.lit("")).alias("left"), F.coalesce("right", F.lit("")).alias("right"))
 
+    def run(pair_id, left: str, right: str):
+        return ((pair_id, *b) for b in common_blocks(left, right, sizes))
 
-def _between(texts: DataFrame, links: DataFrame, key: list[str]) -> DataFrame:
-    """The parts of `texts` before, between and after `links` where both sides have characters, as pairs."""
-    ends = texts.select(*key, F.length("left").alias("left_at"), F.length("right").alias("right_at"), F.lit(0).alias("size"))
-    over = Window.partitionBy(*key).orderBy("left_at", "right_at", F.desc("size"))
-    before = lambda c: F.coalesce(F.lag(F.col(c) + F.col("size")).over(over), F.lit(0))
-    gaps = links.unionByName(ends).select(*key, F.row_number().over(over).alias("k"), before("left_at").alias("a"), F.col("left_at").alias("z"), before("right_at").alias("c"), F.col("right_at").alias("e"))
-    gaps = gaps.where("a < z and c < e").join(texts, key)
-    return gaps.select(
-        "pair_id", F.xxhash64("part", "k").alias("part"), (F.col("left_from") + F.col("a")).alias("left_from"), (F.col("right_from") + F.col("c")).alias("right_from"),
-        _cut("left", F.col("a"), F.col("z") - F.col("a")).alias("left"), _cut("right", F.col("c"), F.col("e") - F.col("c")).alias("right"),
-    )
+    return by_row(texts, run, {"pair_id": dict(pairs.dtypes)["pair_id"], "left_at": "int", "right_at": "int", "size": "int"})
 
 
 def diff(pairs: DataFrame, context: int = 5, sizes: Sequence[int] = (8, 3)) -> DataFrame:
     """(pair_id, op, position, before, after, left_context, right_context, ratio) for rows (pair_id, left, right): what to replace,
     delete or insert at which place of the left text (from 1) to get the right one; equal texts give no row. `ratio` is twice the
     characters in common over all."""
-    texts = stored(pairs.select("pair_id", F.coalesce("left", F.lit("")).alias("left"), F.coalesce("right", F.lit("")).alias("right")))
+    texts = stored(pairs.select("pair_id", F.coalesce("left", F.lit("")).alias("left"), F.coalesce("right", F.lit("")).alias("right")).repartition("pair_id"))
     common = blocks(texts.where("left <> right"), sizes)
     ends = texts.where("left <> right").select("pair_id", F.length("left").alias("left_at"), F.length("right").alias("right_at"), F.lit(0).alias("size"))
     over = Window.partitionBy("pair_id").orderBy("left_at", "right_at", F.desc("size"))
