@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlake.operators.rowwise import by_row
-from textlake.sources.files import stored
 
 #: Shown for nothing.
 EMPTY = "(空)"
@@ -152,11 +151,11 @@ def _by_arrays(left: str, right: str, n: int) -> tuple[np.ndarray, np.ndarray, n
     return i[order], j[order], size[order]
 
 
-def gaps(links: list[tuple[int, int, int]], left: int, right: int) -> list[tuple[int, int, int, int]]:
-    """The parts (from, to, from, to) before, between and after links of a chain where both sides have characters."""
+def between(links: list[tuple[int, int, int]], left: int, right: int) -> list[tuple[int, int, int, int]]:
+    """The parts (from, to, from, to) of two texts before, between and after the links of a chain."""
     begins = [(0, 0), *[(i + n, j + n) for i, j, n in links]]
     ends = [*[(i, j) for i, j, _ in links], (left, right)]
-    return [(a, z, c, e) for (a, c), (z, e) in zip(begins, ends, strict=True) if a < z and c < e]
+    return [(a, z, c, e) for (a, c), (z, e) in zip(begins, ends, strict=True)]
 
 
 def common_blocks(left: str, right: str, sizes: Sequence[int]) -> list[tuple[int, int, int]]:
@@ -170,7 +169,7 @@ def common_blocks(left: str, right: str, sizes: Sequence[int]) -> list[tuple[int
             chain = heaviest_chain(*found) if len(found[0]) > 1 else range(len(found[0]))
             for i, j, size in sorted(zip(*(x[list(chain)].tolist() for x in found), strict=True)):
                 out.append((a + i, c + j, size))
-        parts = gaps(sorted(out), len(left), len(right))
+        parts = [p for p in between(sorted(out), len(left), len(right)) if p[0] < p[1] and p[2] < p[3]]
     return out
 
 
@@ -189,18 +188,16 @@ def diff(pairs: DataFrame, context: int = 5, sizes: Sequence[int] = (8, 3)) -> D
     """(pair_id, op, position, before, after, left_context, right_context, ratio) for rows (pair_id, left, right): what to replace,
     delete or insert at which place of the left text (from 1) to get the right one; equal texts give no row. `ratio` is twice the
     characters in common over all."""
-    texts = stored(pairs.select("pair_id", F.coalesce("left", F.lit("")).alias("left"), F.coalesce("right", F.lit("")).alias("right")).repartition("pair_id"))
-    common = blocks(texts.where("left <> right"), sizes)
-    ends = texts.where("left <> right").select("pair_id", F.length("left").alias("left_at"), F.length("right").alias("right_at"), F.lit(0).alias("size"))
-    over = Window.partitionBy("pair_id").orderBy("left_at", "right_at", F.desc("size"))
-    before = lambda c: F.coalesce(F.lag(F.col(c) + F.col("size")).over(over), F.lit(0))
-    rows = common.unionByName(ends).select("pair_id", before("left_at").alias("a"), F.col("left_at").alias("z"), before("right_at").alias("c"), F.col("right_at").alias("e"), F.sum("size").over(Window.partitionBy("pair_id")).alias("common"))
-    rows = rows.where("a < z or c < e").join(texts, "pair_id")
-    op = F.when(F.col("a") == F.col("z"), "insert").when(F.col("c") == F.col("e"), "delete").otherwise("replace")
-    shown = lambda t, x, y: F.when(F.col(x) < F.col(y), _cut(t, F.col(x), F.col(y) - F.col(x))).otherwise(F.lit(EMPTY))
-    start = F.greatest(F.col("a") - context, F.lit(0))
-    return rows.select(
-        "pair_id", op.alias("op"), (F.col("a") + 1).alias("position"), shown("left", "a", "z").alias("before"), shown("right", "c", "e").alias("after"),
-        _cut("left", start, F.col("a") - start).alias("left_context"), _cut("left", F.col("z"), F.lit(context)).alias("right_context"),
-        F.round(2 * F.col("common") / (F.length("left") + F.length("right")), 4).alias("ratio"),
-    )
+    texts = pairs.select("pair_id", F.coalesce("left", F.lit("")).alias("left"), F.coalesce("right", F.lit("")).alias("right"))
+
+    def run(pair_id, left: str, right: str):
+        links = sorted(common_blocks(left, right, sizes))
+        common, chars = sum(n for _, _, n in links), len(left) + len(right)
+        for a, z, c, e in between(links, len(left), len(right)):
+            if a < z or c < e:
+                op = "insert" if a == z else "delete" if c == e else "replace"
+                yield pair_id, op, a + 1, left[a:z] or EMPTY, right[c:e] or EMPTY, left[max(a - context, 0) : a], left[z : z + context], common, chars
+
+    columns = {"pair_id": dict(pairs.dtypes)["pair_id"], "op": "string", "position": "int", "before": "string", "after": "string", "left_context": "string", "right_context": "string", "common": "bigint", "chars": "bigint"}
+    found = by_row(texts.where("left <> right").repartition("pair_id"), run, columns)
+    return found.withColumn("ratio", F.round(2 * F.col("common") / F.col("chars"), 4)).drop("common", "chars")
