@@ -247,3 +247,15 @@ def test_near_links_against_all_pairs(spark, monkeypatch):
     got, want = union_find(found, range(len(texts))), union_find(near, range(len(texts)))
     assert sum(got[a] == got[b] for a, b in near) >= 0.98 * len(near)
     assert all(want[x] == want[got[x]] for x in got)
+
+
+def test_near_links_leave_out_no_similar_pair(spark):
+    rows = []
+    for i in range(500):  # 50 of 62 shingles in common: 0.806
+        own = [f"w{i}x{j}" for j in range(60)]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(own[:54] + [f"v{i}x{j}" for j in range(6)]))]
+        rows.append((10_000 + i, " ".join(own[:50] + [f"u{i}x{j}" for j in range(10)])))  # 46 of 66: not similar
+    links = simhash.near_links(spark.createDataFrame(rows, "doc_id long, text string"), 5)[2]
+    root = {r.node: r.root for r in components(links).collect()}
+    assert [i for i in range(500) if 2 * i not in root or root[2 * i] != root.get(2 * i + 1)] == []
+    assert not any(10_000 + i in root for i in range(500))

@@ -31,7 +31,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlake.llm.common import attach, build_filter, own_prefix, probe_filter, releasing, stored
@@ -288,7 +288,7 @@ def near_links(docs: DataFrame, k: int = 5, part: int = PART, whole: int = WHOLE
     similar to it, so only these take part. Each is a candidate for the least text that shares a hash with it, which puts most of
     a group of copies together at the cost of four candidates a text; the multi-index then looks for near sketches of
     different groups only. What candidates connect is a cluster, in which all pairs are judged by their full sets (`confirmed`): no
-    number of candidates is kept or dropped.
+    number of candidates is kept or dropped. Similar pairs that this overlooks and no link connects are found by `missed`.
     """
     marks = stored(sketches(docs, k, id_col, text_col).where("doc_id is not null"), "sketches")
     classes = marks.groupBy("digest", "n_shingles", *SKETCH, *LEAST).agg(F.min("doc_id").cast("bigint").alias("node"), F.count("*").alias("uses"))
@@ -304,7 +304,79 @@ def near_links(docs: DataFrame, k: int = 5, part: int = PART, whole: int = WHOLE
     some = met.select("node", *SKETCH).distinct().join(components(stars), "node", "left").withColumn("root", F.coalesce("root", "node"))
     found = stored(_met(stored(some, "candidates"), SKETCH, segments, radius, apart).where("a <> b").distinct(), "found")
     clusters = components(stars.unionByName(found))
-    return marks, classes, stored(confirmed(docs, classes, clusters, k, part, whole, id_col, text_col), "links")
+    linked = stored(confirmed(docs, classes, clusters, k, part, whole, id_col, text_col), "links")
+    rest = components(missed(docs, classes, linked, k, part, whole, id_col, text_col))
+    more = confirmed(docs, classes, rest, k, part, whole, id_col, text_col)
+    return marks, classes, linked.unionByName(stored(more, "more links"))
+
+
+def least_common(size: int, part: int, whole: int) -> int:
+    """How many shingles a set of `size` has at least in common with one that is similar to it."""
+    return -(-size * part // whole)
+
+
+def missed(docs: DataFrame, classes: DataFrame, linked: DataFrame, k: int, part: int, whole: int, id_col: str, text_col: str) -> DataFrame:
+    """Edges (a, b) between classes that `linked` does not connect, among them all that are similar: an exact prefix join.
+
+    Of two similar sets each has at least part / whole of its shingles in the other, so in any one order of all shingles the sets have
+    one in common among their first size - least_common + 1. Shingles that are frequent in a bounded sample come last in the order,
+    which sets how many candidates there are, not which similar ones are found.
+    """
+    roots = components(linked)
+    nodes = classes.where("n_shingles > 0").select("node", "n_shingles", _short("digest").alias("d")).join(roots, "node", "left")
+    nodes = nodes.withColumn("root", F.coalesce("root", "node"))
+    common = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k, id_col, text_col))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, times = common.value
+        for b in batches:
+            d, first = [], []
+            for t in b.column(0):
+                own = shingle_set(t.as_py(), k)
+                if len(own):
+                    at = np.minimum(np.searchsorted(values, own), max(len(values) - 1, 0))
+                    often = np.where(values[at] == own, times[at], 0) if len(values) else np.zeros(len(own), np.int64)
+                    first.append(own[np.lexsort((own, often))[: len(own) - least_common(len(own), part, whole) + 1]].view(np.int64))
+                    d.append(np.full(len(first[-1]), int.from_bytes(digest_of(own)[:8], "big", signed=True)))
+            if d:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(d)), pa.array(np.concatenate(first))], ["d", "shingle"])
+
+    posted = stored(docs.where(F.col(id_col).isNotNull()).select(text_col).mapInArrow(releasing(prefixes), "d bigint, shingle bigint"), "posted")
+    several = posted.groupBy("shingle").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("shingle")
+    rows = stored(posted.join(several, "shingle").distinct().join(nodes, "d").select("shingle", "node", "root", "n_shingles"), "postings")
+    apart = rows.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("times"), F.min("node").alias("centre")).where("lo <> hi")
+    rows = stored(rows.join(apart.select("shingle", "times", "centre"), "shingle"), "apart")
+    few = rows.where(F.col("times") <= FEW)
+    other = few.select("shingle", F.col("node").alias("b"), F.col("root").alias("r"), F.col("n_shingles").alias("m"))
+    fits = (F.col("n_shingles") * whole >= F.col("m") * part) & (F.col("m") * whole >= F.col("n_shingles") * part)
+    pairs = few.withColumnRenamed("node", "a").join(other, "shingle").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("r")) & fits)
+    stars = rows.where((F.col("times") > FEW) & (F.col("node") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    return stored(pairs.select("a", "b").unionByName(stars).distinct(), "missed")
+
+
+#: Postings of one shingle that are paired, instead of put in one cluster; texts that are looked at for frequent shingles, and these.
+FEW, SEEN, FREQUENT = 256, 16384, 1 << 17
+
+
+def _short(digest: str) -> Column:
+    return F.conv(F.hex(F.substring(digest, 1, 8)), 16, -10).cast("bigint")
+
+
+def _frequent(docs: DataFrame, k: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of at most FREQUENT shingles that several of SEEN texts have, in the order of the hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), k).view(np.int64))], ["shingle"])
+
+    some = docs.where(F.col(id_col).isNotNull()).select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(SEEN)
+    seen = docs.join(F.broadcast(some.distinct()), id_col).select(text_col)
+    times = seen.mapInArrow(releasing(run), "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    found = times.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
+    values, counts = np.array([r.shingle for r in found], np.int64).view(np.uint64), np.array([r.n for r in found], np.int64)
+    order = np.argsort(values)
+    return values[order], counts[order]
 
 
 def deduplicate(docs: DataFrame, k: int = 5, part: int = PART, whole: int = WHOLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
