@@ -259,3 +259,20 @@ def test_near_links_leave_out_no_similar_pair(spark):
     root = {r.node: r.root for r in components(links).collect()}
     assert [i for i in range(500) if 2 * i not in root or root[2 * i] != root.get(2 * i + 1)] == []
     assert not any(10_000 + i in root for i in range(500))
+
+
+def test_postings_of_one_text_are_not_stored(spark, monkeypatch):
+    """Of the prefixes only those shingles are kept that come in several texts; pairs that their places rule out are no candidates."""
+    words = [f"w{i}" for i in range(4000)]
+    rows = [(i, " ".join(words[i * 100 : i * 100 + 60])) for i in range(20)]
+    base = words[3000:3200]
+    rows += [(50, " ".join(base)), (51, " ".join([*base[:190], "x", *base[191:]])), (60, " ".join([*words[3300:3500], *base[:30]]))]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept, plain = {}, simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, name, **o: kept.setdefault(name, plain(df, name, **o)))
+    marks = simhash.sketches(d, 5)
+    classes = marks.withColumns({"node": F.col("doc_id"), "at": F.col("doc_id"), "uses": F.lit(1).cast("bigint")})
+    none = spark.createDataFrame([], "a bigint, b bigint")
+    found = simhash.missed(d, classes, none, 5, 80, 100, "doc_id", "text")
+    assert {tuple(r) for r in found.collect()} == {(50, 51)}
+    assert all(t.count() <= 150 for t in kept.values())  # 366 shingles are in prefixes

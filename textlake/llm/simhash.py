@@ -31,7 +31,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlake.llm.common import attach, build_filter, own_prefix, probe_filter, releasing, stored
@@ -330,32 +330,43 @@ def missed(docs: DataFrame, classes: DataFrame, linked: DataFrame, k: int, part:
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, times = common.value
         for b in batches:
-            d, first = [], []
+            out: list[list[np.ndarray]] = [[], [], []]
             for t in b.column(0):
                 own = shingle_set(t.as_py(), k)
                 if len(own):
                     at = np.minimum(np.searchsorted(values, own), max(len(values) - 1, 0))
                     often = np.where(values[at] == own, times[at], 0) if len(values) else np.zeros(len(own), np.int64)
-                    first.append(own[np.lexsort((own, often))[: len(own) - least_common(len(own), part, whole) + 1]].view(np.int64))
-                    d.append(np.full(len(first[-1]), int.from_bytes(digest_of(own)[:8], "big", signed=True)))
-            if d:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(d)), pa.array(np.concatenate(first))], ["d", "shingle"])
-
-    posted = stored(docs.where(F.col(id_col).isNotNull()).select(text_col).mapInArrow(releasing(prefixes), "d bigint, shingle bigint"), "posted")
-    several = posted.groupBy("shingle").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("shingle")
-    rows = stored(posted.join(several, "shingle").distinct().join(nodes, "d").select("shingle", "node", "root", "n_shingles"), "postings")
+                    first = np.lexsort((own, often))[: len(own) - least_common(len(own), part, whole) + 1]
+                    d = int.from_bytes(digest_of(own)[:8], "big", signed=True)
+                    place = np.minimum(np.arange(len(first)), (1 << PLACE) - 1)
+                    out[0].append(own[first].view(np.int64) >> PLACE << PLACE | place)
+                    out[1].append(np.full(len(first), d))
+                    out[2].append(np.where(often[first] > 0, 1 + d % 64, 0).astype(np.int8))
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["post", "d", "spread"])
+
+    posted = docs.where(F.col(id_col).isNotNull()).select(text_col).mapInArrow(releasing(prefixes), "post bigint, d bigint, spread tinyint")
+    posted = posted.withColumn("shingle", F.shiftright("post", PLACE))
+    over = Window.partitionBy("shingle", "spread")  # one shuffle; most postings are alone and go here
+    several = posted.withColumns({"lo": F.min("d").over(over), "hi": F.max("d").over(over)}).where("spread > 0 or lo <> hi")
+    rows = stored(several.select("post", "shingle", "d"), "several").distinct()
+    place = F.col("post").bitwiseAND((1 << PLACE) - 1).alias("place")
+    rows = stored(rows.join(nodes, "d").select("shingle", "node", "root", "n_shingles", place), "postings")
     apart = rows.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("times"), F.min("node").alias("centre")).where("lo <> hi")
     rows = stored(rows.join(apart.select("shingle", "times", "centre"), "shingle"), "apart")
-    few = rows.where(F.col("times") <= FEW)
-    other = few.select("shingle", F.col("node").alias("b"), F.col("root").alias("r"), F.col("n_shingles").alias("m"))
-    fits = (F.col("n_shingles") * whole >= F.col("m") * part) & (F.col("m") * whole >= F.col("n_shingles") * part)
-    pairs = few.withColumnRenamed("node", "a").join(other, "shingle").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("r")) & fits)
+    few = rows.where(F.col("times") <= FEW).select("shingle", F.col("node").alias("a"), F.col("root").alias("q"), F.col("n_shingles").alias("n"), F.col("place").alias("i"))
+    other = few.select("shingle", F.col("a").alias("b"), F.col("q").alias("r"), F.col("n").alias("m"), F.col("i").alias("j"))
+    # the first shingle that two sets have in common is preceded by i and j others: at most min(n - i, m - j) are common
+    most, needed = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")), (F.col("n") + F.col("m")) * part
+    pairs = few.join(other, "shingle").where((F.col("a") < F.col("b")) & (F.col("q") != F.col("r")) & (most * (whole + part) >= needed))
     stars = rows.where((F.col("times") > FEW) & (F.col("node") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("node").alias("b"))
     return stored(pairs.select("a", "b").unionByName(stars).distinct(), "missed")
 
 
 #: Postings of one shingle that are paired, instead of put in one cluster; texts that are looked at for frequent shingles, and these.
 FEW, SEEN, FREQUENT = 256, 16384, 1 << 17
+#: Low bits of a posting that hold its place in the prefix (the last one stands for all beyond); the others are the shingle's high bits.
+PLACE = 16
 
 
 def _short(digest: str) -> Column:
