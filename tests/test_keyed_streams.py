@@ -80,3 +80,57 @@ def test_evictions_move_the_cursor(spark):
     for turn, tokens in enumerate([4, 4, 4, 20, 1]):
         out += fold.step(state, turn, {"turn": turn, "tokens": tokens})
     assert out == [(0, 4, 8, 1), (1, 4, 24, 0), (2, 4, 20, 0), (3, 20, 1, 0)]
+
+
+def test_a_key_has_one_timer_for_the_rows_that_wait():
+    """Not one for each time: a timer takes what is due and sets the next for what is not."""
+    import pandas as pd
+
+    from textlake.streaming.keyed import TokenBucket, _Ordered
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, x):
+            self.held = x
+
+        def clear(self):
+            self.held = None
+
+    class List(Value):
+        def appendList(self, rows):
+            self.held = (self.held or []) + rows
+
+    timers, waiting, now = [], List(), [0]
+
+    class Handle:
+        def getListState(self, *_):
+            return waiting
+
+        def getValueState(self, *_):
+            return Value()
+
+        def registerTimer(self, at):
+            timers.append(at)
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return now[0]
+
+    own = _Ordered(TokenBucket(1.0, 2.0), 10**9, ["k", "event_id", "allowed", "level"])
+    own.init(Handle())
+    rows = pd.DataFrame({"at_ms": [3000, 1000, 2000], "place": [3, 1, 2], "payload": [f'{{"event_id": {i}, "micros": {i}000000}}' for i in (3, 1, 2)]})
+    list(own.handleInputRows(("x",), iter([rows]), Times()))
+    assert timers == [1000]
+    now[0] = 2000
+    out = [tuple(r) for f in own.handleExpiredTimer(("x",), Times(), None) for r in f.itertuples(index=False)]
+    assert [r[1] for r in out] == [1, 2] and sorted(timers) == [1000, 3000, 2000 + 10**9]
+    now[0] = 3000
+    out = [tuple(r) for f in own.handleExpiredTimer(("x",), Times(), None) for r in f.itertuples(index=False)]
+    assert [r[1] for r in out] == [3] and waiting.held is None

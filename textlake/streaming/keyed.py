@@ -131,14 +131,14 @@ class _Ordered(StatefulProcessor):
         self.folded = handle.getValueState("folded", "state string, last bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = set()
+        first = None
         for b in rows:
             new = [(int(a), int(p), x) for a, p, x in zip(b["at_ms"], b["place"], b["payload"], strict=True)]
             if new:
                 self.waiting.appendList(new)
-                times |= {a for a, *_ in new}
-        for t in times:
-            self.handle.registerTimer(t)
+                first = min([a for a, *_ in new] + ([] if first is None else [first]))
+        if first is not None:  # one timer takes all rows that are due by then, and sets the next
+            self.handle.registerTimer(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -159,6 +159,7 @@ class _Ordered(StatefulProcessor):
             self.waiting.clear()
             if later:
                 self.waiting.appendList(later)
+                self.handle.registerTimer(later[0][0])
         if state is not None and last + self.idle_ms <= now:
             out += self.fold.close(state)
             self.folded.clear()
