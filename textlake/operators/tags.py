@@ -5,8 +5,8 @@ Labels are tables. Documents: doc_id, genre, plot_detail, summary (strings), per
 arrays, and dims, an array of (dim, value, listed): what a comparison is about; `listed` values count only as they are, others also
 where one contains the other.
 
-Questions are few and their label rows are broadcast by Spark below its own threshold; documents' labels are met by id for
-candidates only.
+Questions are few: what has a row for each of them, or for each of their tags, is broadcast, so that documents are not dealt by the
+few tags and questions there are. Documents' labels are met by id for candidates only.
 
 Defined cases
     null arrays and strings: empty.      an entity without a weight: 1.       a channel without a document: 0 after scaling; one whose scores
@@ -87,8 +87,8 @@ def tag_scores(queries: DataFrame, labels: DataFrame, weights: DataFrame) -> Dat
     """(query_id, doc_id, score): the cosine of weighted tag vectors, of all documents with a tag of the question."""
     own, of = telling_tags(queries, weights, "query_id"), telling_tags(labels, weights, "doc_id")
     size = lambda rows, key, name: rows.groupBy(key).agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias(name))
-    dot = own.withColumnRenamed("idf", "w").join(of, "tag").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("idf")).alias("dot"))
-    met = dot.join(size(own, "query_id", "a"), "query_id").join(size(of, "doc_id", "b"), "doc_id")
+    dot = of.join(F.broadcast(own.withColumnRenamed("idf", "w")), "tag").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("idf")).alias("dot"))
+    met = dot.join(F.broadcast(size(own, "query_id", "a")), "query_id").join(size(of, "doc_id", "b"), "doc_id")
     return met.select("query_id", "doc_id", (F.col("dot") / (F.col("a") * F.col("b"))).alias("score"))
 
 
@@ -116,7 +116,7 @@ def fused(rows: DataFrame) -> DataFrame:
         low, high = F.col(f"{c}_low"), F.col(f"{c}_high")
         scaled = F.when(F.col(c).isNull(), 0.0).when(high > low, (F.col(c) - low) / (high - low)).otherwise(0.5)
         total = total + w * scaled
-    return rows.join(ends, "query_id").withColumn("base", total).select(*rows.columns, "base")
+    return rows.join(F.broadcast(ends), "query_id").withColumn("base", total).select(*rows.columns, "base")
 
 
 def _bigrams(text: Column) -> Column:
@@ -164,7 +164,7 @@ def retrieve(rows: DataFrame, queries: DataFrame, labels: DataFrame, k: int, ali
     """(query_id, doc_id, score, hard, rank): candidates `rows` ranked. `queries`: prepared; `alike`: (query_id, doc_id, summary_alike)."""
     met = fused(rows)
     met = met.withColumn("summary_alike", F.lit(0.0)) if alike is None else met.join(alike, ["query_id", "doc_id"], "left")
-    met = met.join(queries.select("query_id", F.struct(*[c for c in queries.columns if c != "query_id"]).alias("q")), "query_id")
+    met = met.join(F.broadcast(queries.select("query_id", F.struct(*[c for c in queries.columns if c != "query_id"]).alias("q"))), "query_id")
     met = met.join(labels.select("doc_id", F.struct(*[c for c in labels.columns if c != "doc_id"]).alias("d")), "doc_id", "left")
     added, hard = boost()
     same = F.coalesce((F.col("q.genre") == F.col("d.genre")) & (F.col("q.genre") != ""), F.lit(False))

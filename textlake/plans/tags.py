@@ -10,6 +10,7 @@ from textlake.operators import search as SE
 from textlake.operators import tags as G
 from textlake.plans._indexes import index_of
 from textlake.plans.search import WORDS
+from textlake.sources.files import stored
 from textlake.sources.tables import table
 
 PERSONS, RAW, LOCATIONS = ["the", "der", "la", "un", "of"], ["th", "er", "on"], ["and", "und", "et", "les"]
@@ -44,12 +45,13 @@ def _weights(labels):
 
 def _candidates(spark, sf):
     """(labels, weights, questions, candidates)."""
-    labels = labels_of(spark, sf)
-    weights = _weights(labels)
+    whole = labels_of(spark, sf)
+    labels = stored(whole.drop("text"))  # texts are searched for labels once
+    weights = stored(_weights(labels))
     questions = spark.createDataFrame(QUESTIONS, _NAMES)
     docs = table(spark, sf, "documents")
     tokens = F.concat(T.words(F.col("text")), "persons", "locations", "plot", "topics")
-    index = index_of(spark, docs, "labelled words", tokens, ["doc_id"], ["genre"], rows=labels)
+    index = index_of(spark, docs, "labelled words", tokens, ["doc_id"], ["genre"], rows=whole)
 
     def asked(tokens_of):
         return questions.select("query_id", F.explode(tokens_of).alias("token"), F.lit(1.0).alias("weight"))
@@ -62,7 +64,7 @@ def _candidates(spark, sf):
     own = questions.select("query_id", "vec").join(vectors.withColumnRenamed("doc_id", "vec"), "vec").select("query_id", F.col("v").alias("q"))
     dense = vectors.join(F.broadcast(own)).select("query_id", "doc_id", F.round(S.dot(F.col("v"), F.col("q")), 9).alias("score"))  # the questions: a few rows
     tag = G.tag_scores(questions, labels, weights).withColumn("score", F.round("score", 9))
-    rows = G.candidates(dense, sparse, tag, plot, research)
+    rows = stored(G.candidates(dense, sparse, tag, plot, research))
     return labels, weights, questions, rows
 
 
@@ -75,7 +77,7 @@ def tag_channels(spark, sf):
 def tag_retrieval(spark, sf):
     labels, weights, questions, rows = _candidates(spark, sf)
     alike = spark.createDataFrame(ALIKE, "a string, b string, cosine double")
-    return G.retrieve(rows, G.prepared(questions, weights, alike), labels.drop("text"), 50)
+    return G.retrieve(rows, G.prepared(questions, weights, alike), labels, 50)
 
 
 def version_matches(spark, sf):
