@@ -276,3 +276,32 @@ def test_postings_of_one_text_are_not_stored(spark, monkeypatch):
     found = simhash.missed(d, classes, none, 5, 80, 100, "doc_id", "text")
     assert {tuple(r) for r in found.collect()} == {(50, 51)}
     assert all(t.count() <= 150 for t in kept.values())  # 366 shingles are in prefixes
+
+
+@pytest.mark.parametrize("few", [256, 3])
+def test_a_common_passage_makes_no_cluster(spark, monkeypatch, few):
+    """Long texts that share a passage, in prefixes too, are no candidates; similar ones among them all are, however many share a shingle."""
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "CHUNK", 4)
+    passage = [f"p{j}" for j in range(40)]
+    rows = []
+    for i in range(20):
+        own = [f"w{i}x{j}" for j in range(400 + i)]
+        rows += [(2 * i, " ".join(own + passage)), (2 * i + 1, " ".join(own[:380] + [f"v{i}x{j}" for j in range(20)] + passage))]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = simhash.sketches(d, 5)
+    classes = marks.withColumns({"node": F.col("doc_id"), "at": F.col("doc_id"), "uses": F.lit(1).cast("bigint")})
+    none = spark.createDataFrame([], "a bigint, b bigint")
+    found = simhash.missed(d, classes, none, 5, 80, 100, "doc_id", "text")
+    assert {tuple(r) for r in found.collect()} == {(2 * i, 2 * i + 1) for i in range(20)}
+
+
+def test_parities_never_differ_more_than_sets():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n, m, common = (int(x) for x in rng.integers(1, 900, 3))
+        both = rng.integers(0, 1 << 63, n + m + common, dtype=np.uint64)
+        a, b = np.unique(both[: n + common]), np.unique(both[n:])
+        x, y = (np.frombuffer(simhash.parity(s), "<u8") for s in (a, b))
+        assert simhash._differ(x, y[None])[0] == simhash._differ(y, x) <= len(np.setxor1d(a, b))
+    assert len(simhash.parity(np.zeros(0, np.uint64))) == 8

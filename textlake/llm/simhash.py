@@ -26,7 +26,7 @@ Defined cases
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 
 from textlake.llm.common import attach, build_filter, own_prefix, probe_filter, releasing, stored
 from textlake.llm.components import components
-from textlake.llm.shingles import confirmed, digest_of, shingle_hashes, shingle_set, star
+from textlake.llm.shingles import by_group, chunked, confirmed, digest_of, shingle_hashes, shingle_set, star
 
-#: Table rows of one group; hashes counted at once; candidate pairs compared at once.
-CHUNK, PIECE, PAIRS = 4096, 1 << 16, 1 << 21
+#: Table rows of one group; hashes counted at once; candidate pairs compared at once; bits of a parity.
+CHUNK, PIECE, PAIRS, MOST_BITS = 4096, 1 << 16, 1 << 21, 1 << 16
 
 
 # --- fingerprints --------------------------------------------------------------------------------------------------
@@ -74,12 +74,29 @@ def fingerprints(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str
     return docs.select(id_col, text_col).mapInArrow(releasing(run), f"doc_id {dict(docs.dtypes)[id_col]}, fp bigint")
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """A bit or two for each shingle of a set: whether an odd number of them falls on it. Two such differ in no more bits than the
+    sets differ in shingles. The longer one is folded to the shorter one's length (`_differ`)."""
+    bits = min(max(64, 1 << max(len(shingles) - 1, 0).bit_length()), MOST_BITS)
+    at = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(at.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _differ(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """In how many bits a parity differs from each row of `others` (words of 64 bits)."""
+    while one.shape[-1] > others.shape[-1]:
+        one = one[: one.shape[-1] // 2] ^ one[one.shape[-1] // 2 :]
+    while others.shape[-1] > one.shape[-1]:
+        others = others[..., : others.shape[-1] // 2] ^ others[..., others.shape[-1] // 2 :]
+    return np.bitwise_count(one ^ others).sum(axis=-1, dtype=np.int64)
+
+
 SKETCH, LEAST = ["s0", "s1", "s2", "s3"], ["m0", "m1", "m2", "m3"]
 
 
 def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row, of its distinct k-word shingles: doc_id, n_shingles, digest, s0 to s3 (256 bits) and m0 to m3 (the least of four
-    hashes)."""
+    """Per row, of its distinct k-word shingles: doc_id, n_shingles, digest, parity, s0 to s3 (256 bits) and m0 to m3 (the least of
+    four hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -89,11 +106,12 @@ def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "t
                 mixed = [_mixed(own, i) for i in range(4)]
                 rows.append([*map(vote, mixed), *[int(x.min(initial=_FULL).view(np.int64)) for x in mixed]])
             cols = np.array(rows, np.int64).reshape(-1, len(names)).T
-            first = [b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([digest_of(x) for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*first, *[pa.array(c) for c in cols]], ["doc_id", "n_shingles", "digest", *names])
+            first = [b.column(0), pa.array([len(x) for x in sets], pa.int64())]
+            first += [pa.array([f(x) for x in sets], pa.binary()) for f in (digest_of, parity)]
+            yield pa.RecordBatch.from_arrays([*first, *[pa.array(c) for c in cols]], ["doc_id", "n_shingles", "digest", "parity", *names])
 
     names = SKETCH + LEAST
-    schema = ", ".join([f"doc_id {dict(docs.dtypes)[id_col]}, n_shingles bigint, digest binary", *[f"{c} bigint" for c in names]])
+    schema = ", ".join([f"doc_id {dict(docs.dtypes)[id_col]}, n_shingles bigint, digest binary, parity binary", *[f"{c} bigint" for c in names]])
     return docs.select(id_col, text_col).mapInArrow(releasing(run), schema)
 
 
@@ -291,7 +309,7 @@ def near_links(docs: DataFrame, k: int = 5, part: int = PART, whole: int = WHOLE
     number of candidates is kept or dropped. Similar pairs that this overlooks and no link connects are found by `missed`.
     """
     marks = stored(sketches(docs, k, id_col, text_col).where("doc_id is not null"), "sketches")
-    classes = marks.groupBy("digest", "n_shingles", *SKETCH, *LEAST).agg(F.min("doc_id").cast("bigint").alias("node"), F.count("*").alias("uses"))
+    classes = marks.groupBy("digest", "n_shingles", "parity", *SKETCH, *LEAST).agg(F.min("doc_id").cast("bigint").alias("node"), F.count("*").alias("uses"))
     classes = stored(classes.withColumn("at", F.col("node")), "classes")  # an id may come with several texts: such a node is entered once for each
     tagged = F.explode(F.array(*[F.xxhash64(F.lit(i), m) for i, m in enumerate(LEAST)])).alias("value")
     each = classes.where("n_shingles > 0").select("node", *SKETCH, tagged)
@@ -321,6 +339,10 @@ def missed(docs: DataFrame, classes: DataFrame, linked: DataFrame, k: int, part:
     Of two similar sets each has at least part / whole of its shingles in the other, so in any one order of all shingles the sets have
     one in common among their first size - least_common + 1. Shingles that are frequent in a bounded sample come last in the order,
     which sets how many candidates there are, not which similar ones are found.
+
+    What two prefixes share bounds what the sets share: of the two, the one that ends first holds all that is common so far, and only
+    what follows it can be added. Pairs that this allows must also have parities that differ in few enough bits. The pairs of
+    a shingle with more than FEW postings are never rows: they are looked at within tasks, by place, size and parity.
     """
     roots = components(linked)
     nodes = classes.where("n_shingles > 0").select("node", "n_shingles", _short("digest").alias("d")).join(roots, "node", "left")
@@ -352,18 +374,69 @@ def missed(docs: DataFrame, classes: DataFrame, linked: DataFrame, k: int, part:
     rows = stored(several.select("post", "shingle", "d"), "several").distinct()
     place = F.col("post").bitwiseAND((1 << PLACE) - 1).alias("place")
     rows = stored(rows.join(nodes, "d").select("shingle", "node", "root", "n_shingles", place), "postings")
-    apart = rows.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("times"), F.min("node").alias("centre")).where("lo <> hi")
-    rows = stored(rows.join(apart.select("shingle", "times", "centre"), "shingle"), "apart")
+    apart = rows.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("times")).where("lo <> hi")
+    rows = stored(rows.join(apart.select("shingle", "times"), "shingle"), "apart")
     few = rows.where(F.col("times") <= FEW).select("shingle", F.col("node").alias("a"), F.col("root").alias("q"), F.col("n_shingles").alias("n"), F.col("place").alias("i"))
     other = few.select("shingle", F.col("a").alias("b"), F.col("q").alias("r"), F.col("n").alias("m"), F.col("i").alias("j"))
-    # the first shingle that two sets have in common is preceded by i and j others: at most min(n - i, m - j) are common
-    most, needed = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")), (F.col("n") + F.col("m")) * part
-    pairs = few.join(other, "shingle").where((F.col("a") < F.col("b")) & (F.col("q") != F.col("r")) & (most * (whole + part) >= needed))
-    stars = rows.where((F.col("times") > FEW) & (F.col("node") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    return stored(pairs.select("a", "b").unionByName(stars).distinct(), "missed")
-
-
-#: Postings of one shingle that are paired, instead of put in one cluster; texts that are looked at for frequent shingles, and these.
+    needed = (F.col("n") + F.col("m")) * part
+    allows = lambda most: most * (whole + part) >= needed
+    # a shingle that is common at places i and j: at most the lesser of these before it are common, and of those from it on as many as the shorter rest
+    most = F.least("i", "j") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+    pairs = few.join(other, "shingle").where((F.col("a") < F.col("b")) & (F.col("q") != F.col("r")) & allows(most) & allows(F.least("n", "m")))
+    pairs = pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"), F.min("i").alias("i"), F.min("j").alias("j"))
+    after = F.floor((F.greatest("n", "m") * part + whole - 1) / whole) - 1  # beyond the prefix
+    pairs = pairs.where(allows(F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))) & allows(F.col("c") + after))
+    marked = classes.select("node", "n_shingles", "parity")
+    for node, size in (("a", "n"), ("b", "m")):
+        pairs = pairs.join(marked.select(F.col("node").alias(node), F.col("n_shingles").alias(size), F.col("parity").alias(f"parity_{node}")), [node, size])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [[np.frombuffer(x.as_buffer(), "<u8") for x in b[c]] for c in ("parity_a", "parity_b")]
+            far = np.array([_differ(x, y) for x, y in zip(*words, strict=True)], np.int64)
+            size = b["n"].to_numpy() + b["m"].to_numpy()
+            yield b.select(["a", "b"]).filter(pa.array(far * (whole + part) <= size * (whole - part)))
+
+    pairs = pairs.mapInArrow(alike, "a bigint, b bigint")
+    many = rows.where(F.col("times") > FEW).withColumn("parts", F.ceil(F.col("times") / CHUNK).cast("int")).join(marked, ["node", "n_shingles"])
+    many = chunked(many.select("shingle", "node", "root", "n_shingles", "place", "parity", "parts"), "shingle")
+    crowds = many.mapInArrow(by_group("shingle", _alike(part, whole), lambda b: 1 + b.nbytes // 512), "a bigint, b bigint")
+    return stored(pairs.unionByName(crowds).distinct(), "missed")
+
+
+def _alike(part: int, whole: int) -> Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Edges that connect the sets of each group that may be similar by their sizes, their places of the group's shingle and their parities."""
+
+    def link(table: pa.Table, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for first, end in zip(starts.tolist(), [*starts[1:].tolist(), len(table)], strict=True):
+            own = table.slice(first, end - first).sort_by("n_shingles")
+            node, root, n, place = (own[c].to_numpy() for c in ("node", "root", "n_shingles", "place"))
+            words = [np.frombuffer(x.as_buffer(), "<u8") for x in own["parity"]]  # not shorter from row to row
+            cuts = [0, *(np.flatnonzero(np.diff([len(w) for w in words])) + 1).tolist(), len(words)]
+            bits = [(x, z, np.stack(words[x:z])) for x, z in zip(cuts, cuts[1:], strict=False)]
+            ends = np.searchsorted(n * part, n * whole, side="right")
+            found = []
+            for x in range(len(node)):
+                to = np.arange(x + 1, ends[x])
+                most = np.minimum(place[x], place[to]) + np.minimum(n[x] - place[x], n[to] - place[to])
+                to = to[(root[to] != root[x]) & (most * (whole + part) >= (n[x] + n[to]) * part)]
+                for low, high, block in bits:
+                    near = to[(to >= low) & (to < high)]
+                    if len(near):
+                        near = near[_differ(words[x], block[near - low]) * (whole + part) <= (n[x] + n[near]) * (whole - part)]
+                        found.append((np.full(len(near), node[x]), node[near]))
+            if found:
+                x, y = star(*map(np.concatenate, zip(*found, strict=True)))
+                a.append(x)
+                b.append(y)
+        a, b = np.concatenate(a), np.concatenate(b)
+        return np.minimum(a, b), np.maximum(a, b)
+
+    return link
+
+
+#: Postings of one shingle that are paired by a join, instead of within tasks; texts that are looked at for frequent shingles, and these.
 FEW, SEEN, FREQUENT = 256, 16384, 1 << 17
 #: Low bits of a posting that hold its place in the prefix (the last one stands for all beyond); the others are the shingle's high bits.
 PLACE = 16
