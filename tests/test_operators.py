@@ -89,6 +89,21 @@ def test_quotes_are_verified_word_for_word(spark):
     assert rows_of(V.verify_quotes(quotes, docs)) == [(1, 1, 7, True), (2, 0, None, False)]
 
 
+def test_quotes_need_no_index_and_one_pass(spark, monkeypatch):
+    """The query builds no index of all words, and the plan reads and shuffles no text a second time; a repeated id counts by rows."""
+    from textlake.plans import analytics, search
+
+    quotes = spark.createDataFrame([(1, "a b c d e f g h i"), (2, "a b c d e f g h x"), (3, "too short")], "item_id int, text string")
+    texts = [(7, "So: A b, c d e f g h i! a b c d e f g h i"), (7, "a b c d e f g h I"), (8, "a b c d e f g h ix"), (9, None), (10, "a b c d e f g")]
+    tables = {"benchmark": quotes, "documents": spark.createDataFrame(texts, "doc_id int, text string")}
+    monkeypatch.setattr(analytics, "table", lambda spark, sf, name: tables[name])
+    monkeypatch.setattr(search, "table", None)  # the index would read it
+    found = analytics.quote_verification(spark, "")
+    assert rows_of(found) == [(1, 2, 7, True), (2, 0, None, False)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("doc_id#") and plan.count("LogicalRDD [doc_id#") == 1
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_diff_rebuilds_the_right_side(spark, seed):
     rng = random.Random(seed)

@@ -140,25 +140,34 @@ def windows(paras: DataFrame, size: int = 3, overlap: int = 1) -> DataFrame:
 TABLE = 1 << 14
 
 
-def ngram_hits(grams: DataFrame, docs: DataFrame, n: int, id_col: str) -> DataFrame:
-    """(id, gram): the distinct n-word strings of `docs` that are in `grams` (gram), and few others: each string's hash is tried
-    against a table of bits in its row, and only hits become strings and rows."""
-    at = F.pmod(F.xxhash64(F.split("gram", " ")), F.lit(64 * TABLE)).cast("bigint")
+def with_ngrams(grams: DataFrame, docs: DataFrame, n: int, *columns: str) -> DataFrame:
+    """(columns, gram): for each row of `docs` the distinct n-word strings of its text that are in `grams` (gram), and few others. At
+    each place, the hash of the first two words is tried against a table of bits in the row, then that of all n; only hits become
+    strings and rows, so a text is cut into words once and no word is shuffled."""
+    own = F.split("gram", " ")
+    at = lambda *x: F.pmod(F.xxhash64(*x), F.lit(64 * TABLE))
+    each = F.explode(F.array(at(*[F.get(own, k) for k in range(min(n, 2))]), at(own))).alias("at")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("at") % 64).cast("int"))
-    bits = grams.select(at.alias("at")).groupBy(F.floor(F.col("at") / 64).cast("int").alias("k")).agg(F.bit_or(bit).alias("w"))
+    bits = grams.select(each).groupBy(F.floor(F.col("at") / 64).cast("int").alias("k")).agg(F.bit_or(bit).alias("w"))
     table = [0] * TABLE
     for r in bits.collect():  # TABLE rows at most
         table[r.k] = r.w
     row = docs.sparkSession.createDataFrame([(table,)], "__bits array<bigint>")
-    rows = docs.select(id_col, T.words(F.col("text")).alias("__words")).where(F.size("__words") >= n).join(F.broadcast(row))  # one row
+    rows = docs.select(*columns, T.words(F.col("text")).alias("__words")).join(F.broadcast(row))  # one row
+
+    def holds(place: Column) -> Column:
+        return F.getbit(F.get("__bits", F.shiftright(place, 6).cast("int")), place.bitwiseAND(63).cast("int")) == 1
 
     def hit(i: Column) -> Column:
-        place = F.pmod(F.xxhash64(F.slice("__words", i, n)), F.lit(64 * TABLE)).cast("bigint")
-        return F.getbit(F.get("__bits", F.floor(place / 64).cast("int")), (place % 64).cast("int")) == 1
+        return holds(at(*[F.get("__words", i - 1 + k) for k in range(min(n, 2))])) & holds(at(F.slice("__words", i, n)))
+
+    places = F.when(F.size("__words") >= n, F.filter(F.sequence(F.lit(1), F.greatest(F.size("__words") - n + 1, F.lit(1))), hit))
+    return rows.select(*columns, F.explode(F.array_distinct(F.transform(places, lambda i: F.array_join(F.slice("__words", i, n), " ")))).alias("gram"))
 
-    places = F.filter(F.sequence(F.lit(1), F.size("__words") - n + 1), hit)
-    found = rows.select(id_col, F.explode(F.transform(places, lambda i: F.array_join(F.slice("__words", i, n), " "))).alias("gram"))
-    return found.distinct()
+
+def ngram_hits(grams: DataFrame, docs: DataFrame, n: int, id_col: str) -> DataFrame:
+    """(id, gram): the distinct n-word strings of `docs` that are in `grams` (gram), and few others."""
+    return with_ngrams(grams, docs, n, id_col).distinct()
 
 
 def shared_ngrams(left: DataFrame, right: DataFrame, n: int, left_id: str, right_id: str) -> DataFrame:

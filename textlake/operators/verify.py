@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlake.functions import text as T
-from textlake.operators.corpus import ngram_hits
+from textlake.operators.corpus import with_ngrams
 from textlake.operators.postings import Index
 
 
@@ -18,18 +18,18 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def verify_quotes(quotes: DataFrame, docs: DataFrame, anchor: int = 8, quote_id: str = "item_id", index: Index | None = None) -> DataFrame:
     """For each quote of `anchor` words or more: in how many documents it stands word for word, and the first of these.
 
-    Candidates are the documents that have the quote's rarest words, from a stored `index` of their words, or else those that share its first
-    `anchor` words; they are compared word for word then.
+    Candidates are the documents that share the quote's first `anchor` words, which one pass over the texts finds, or else those that have its
+    rarest words in a stored `index`, if there is one already; they are compared word for word then.
     """
     own = quotes.select(quote_id, T.words(F.col("text")).alias("words")).where(F.size("words") >= anchor)
     asked = own.select(F.col(quote_id).alias("query_id"), F.explode("words").alias("token"))
     own = own.select(quote_id, F.array_join("words", " ").alias("quote"), F.array_join(F.slice("words", 1, anchor), " ").alias("gram"))
     candidates = None if index is None else index.with_all(asked)
     if candidates is None:
-        candidates = ngram_hits(own.select("gram"), docs, anchor, "doc_id").join(own, "gram").select("doc_id", quote_id, "quote")
+        met = with_ngrams(own.select("gram"), docs, anchor, "doc_id", "text").join(own, "gram")
     else:
-        candidates = candidates.withColumnRenamed("query_id", quote_id).join(own, quote_id).select("doc_id", quote_id, "quote")
-    met = candidates.join(docs.select("doc_id", "text"), "doc_id")
+        candidates = candidates.distinct().withColumnRenamed("query_id", quote_id).join(own, quote_id).select("doc_id", quote_id, "quote")
+        met = candidates.join(docs.select("doc_id", "text"), "doc_id")
     line = F.concat(F.lit(" "), F.array_join(T.words(F.col("text")), " "), F.lit(" "))
     met = met.where(line.contains(F.concat(F.lit(" "), "quote", F.lit(" "))))
     found = met.groupBy(quote_id).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
