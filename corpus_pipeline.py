@@ -18,9 +18,21 @@ from textlake.llm.queries import tokenizer_path
 #: Texts whose rank-order score is below this are in no known language; natural text scores 0.4 and more.
 LEAST_SCORE = 0.3
 
+#: Bytes of one Arrow batch of texts. By Spark's default it takes up to 64 MB, which a task holds several times: outside the
+#: executor's heap, where buffers grow by doubling, and in its Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands texts to Python in batches of BATCH_BYTES; a size that it has set itself stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, or far from every language's profile, go."""
+    small_batches(spark)
     trained = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
     return language_id.keep_known(docs, trained, LEAST_SCORE)
 
@@ -32,6 +44,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies (five-word shingles, similarity 0.8) the one with the smallest doc_id stays."""
+    small_batches(spark)
     return simhash.deduplicate(docs, k=5)
 
 
@@ -42,6 +55,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the text that they decode to."""
+    small_batches(spark)
     return bpe.encode(docs, tokenizer_path("word_bpe_49k.json"))
 
 

@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -57,3 +59,23 @@ def test_every_operator_is_registered():
     assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "exact dedup", "SimHash near-dedup", "mixing", "BPE"]
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), 2000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["size"])
+
+    try:
+        corpus_pipeline.encoded(spark, docs, "")
+        found = [r.size for r in docs.mapInArrow(sizes, "size long").collect()]
+        assert sum(found) > 18e6 and max(found) < 5e6
+        spark.conf.set(key, "1m")
+        corpus_pipeline.encoded(spark, docs, "")
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)

@@ -1,5 +1,8 @@
 import hashlib
 import random
+import subprocess
+import sys
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -37,6 +40,28 @@ def test_bpe_caches_do_not_change_results(monkeypatch):
         assert small.names(t) == whole.names(t)
 
 
+def test_bpe_caches_stay_small():
+    own = bpe.Bpe(WORD)
+    tracemalloc.start()
+    try:
+        for k in range(0, 150_000, 1000):
+            own.names(" ".join(f"q{i:x}" for i in range(k, k + 1000)))
+        assert tracemalloc.get_traced_memory()[1] < 18e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_bpe_holds_one_vocabulary():
+    own = bpe.Bpe(WORD)
+    assert own.cut("it's")[0][0] == "it" and own.normalized("ÀΣ\t b") == "àσ b"
+    code = (
+        "import re, pyarrow, numpy, regex, tokenizers, pyspark.sql; from textlake.llm import bpe\n"
+        "held = lambda: int(re.search(r'RssAnon:\\s+(\\d+)', open('/proc/self/status').read())[1])\n"
+        f"before = held(); bpe.model({WORD!r}); print(held() - before)"
+    )
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 40_000
+
+
 def test_merge_skips_stale_entries_on_long_words():
     own, lib = bpe.Bpe(WORD), Tokenizer.from_file(WORD)
     rng = random.Random(3)

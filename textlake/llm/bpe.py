@@ -30,10 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlake.llm.characters import unsettled
-from textlake.llm.common import releasing
+from textlake.llm.common import release, releasing
 
-#: Remembered pieces of each of a worker's two caches (about 0.2 KB each); when the young one is full, it becomes the old.
-CACHE_PIECES = 400_000
+#: Remembered pieces of each of a worker's two caches (about 0.25 KB each, 16 MB in all); when the young one is full, it becomes
+#: the old. Most other pieces occur once, so larger caches save no time.
+CACHE_PIECES = 1 << 15
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -65,8 +66,10 @@ class Bpe:
             left, right = pair if isinstance(pair, (list, tuple)) else pair.split(" ")
             self.rank[self.vocab[left], self.vocab[right]] = at
             self.merged.append(self.vocab[left + right])
-        # The file's own normaliser and cutter, for texts with characters that Unicode versions treat differently.
-        library = Tokenizer.from_file(path)
+        # The file's own normaliser and cutter, for texts with characters that Unicode versions treat differently. They need no
+        # vocabulary: the library would hold it beside this one.
+        bare = {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None, "decoder": None}
+        library = Tokenizer.from_str(json.dumps(spec | bare))
         self.normalized, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.unsettled = unsettled(True)
         normalizers = {n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])}
@@ -181,7 +184,9 @@ class Bpe:
 
 @lru_cache(maxsize=2)
 def model(path: str) -> Bpe:
-    return Bpe(path)
+    bpe = Bpe(path)
+    release()  # of the parsed file
+    return bpe
 
 
 #: Ids in one output batch, about; a longer text is a batch of its own.
