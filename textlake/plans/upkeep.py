@@ -26,7 +26,7 @@ LIKE = 0.3
 
 
 def _pairs(spark, sf):
-    return M.greedy_pairs(M.similar_pairs(_vectors(spark, sf), LIKE).withColumn("cosine", F.round("cosine", 9)))
+    return M.greedy_similar(_vectors(spark, sf), LIKE, 9)
 
 
 #: One pass over all pairs, best first, with the ids that are taken in a list.
